@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from quillmap.functions.random import philox_sql
 from quillmap.llm.leaks import leaked_passages, leaks
+from quillmap.llm.neighbours import nearest_vectors
 from quillmap.llm.pieces import split_documents
 from quillmap.llm.stable_sample import audit_receipts, stable_sample
 from quillmap.llm.tokens import encode_corpus
 from quillmap.session import load
 
 SEED, ANCHOR_SEED, TARGET = 42, 1001, 100
+WIDTH, K_HIT = 96, 10
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -26,6 +28,15 @@ def p1_sample(spark: SparkSession, root: str) -> DataFrame:
     return stable_sample(load(spark, root, "testbed_rows"), ["testbed_id"], "row_id", "snapshot_no", SEED, ANCHOR_SEED, TARGET)
 
 
+def p4_neighbors(spark: SparkSession, root: str) -> DataFrame:
+    """The ten most similar corpus vectors of every corpus and query vector, with similarity and rank."""
+    return nearest_vectors(load(spark, root, "probe_corpus"), "vec_id", "corpus_vector", WIDTH, K_HIT, load(spark, root, "probe_queries"), "query_id", "query_vector")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return p4_neighbors(spark, root).select("side", F.col("id").alias("vec_id"), F.col("neighbor").alias("neighbor_id"))
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(load(spark, root, "documents"))
 
@@ -49,7 +60,7 @@ def p8_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_documents(load(spark, root, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sample, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sample, p4_found, p4_neighbors, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
 
 _KEY = "SELECT x0 FROM (" + philox_sql(str(SEED), str(ANCHOR_SEED), "(SELECT 1 AS one)", "one", words=True) + ")"
 
