@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.functions.random import philox_sql
+from quillmap.llm.clusters import SimilarityClusters, similarity_clusters
 from quillmap.llm.leaks import leaked_passages, leaks
 from quillmap.llm.neighbours import nearest_vectors
 from quillmap.llm.pieces import split_documents
@@ -17,6 +18,7 @@ from quillmap.session import load
 
 SEED, ANCHOR_SEED, TARGET = 42, 1001, 100
 WIDTH, K_HIT = 96, 10
+LINKED, SMALLEST, TYPICAL = 0.85, 5, 5
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -37,6 +39,18 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_neighbors(spark, root).select("side", F.col("id").alias("vec_id"), F.col("neighbor").alias("neighbor_id"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    found = similarity_clusters(load(spark, root, "probe_corpus"), "vec_id", "corpus_vector", WIDTH, LINKED, SMALLEST)
+    return found.select(F.col("i").alias("vec_id"), F.col("first").alias("first_vec_id"))
+
+
+def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Each cluster's size, medoid and most typical members."""
+    clusters = SimilarityClusters(load(spark, root, "probe_corpus"), "vec_id", "corpus_vector", WIDTH, LINKED)
+    found = clusters.described(SMALLEST, TYPICAL)
+    return found.select(F.col("first").alias("first_vec_id"), "size", "medoid", F.concat_ws(",", F.col("typical").cast("array<string>")).alias("typical"))
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(load(spark, root, "documents"))
 
@@ -60,7 +74,7 @@ def p8_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_documents(load(spark, root, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sample, p4_found, p4_neighbors, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_sample, p4_found, p4_neighbors, p5_found, p5_clusters, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
 
 _KEY = "SELECT x0 FROM (" + philox_sql(str(SEED), str(ANCHOR_SEED), "(SELECT 1 AS one)", "one", words=True) + ")"
 
