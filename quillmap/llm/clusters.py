@@ -310,8 +310,8 @@ class SimilarityClusters:
             total = unpack(table.column("total"), width).astype(np.float64).sum(axis=0, keepdims=True)
             return pa.table([table.column("p")[:1], pa.array([int(table.column("n").to_numpy().sum())], pa.int64()), pack(total)], names=["p", "n", "total"])
 
-        merged = sums.groupBy("p").applyInArrow(final, "k int, n long, total binary").where(F.col("n") >= least_size)
-        rows = self.held.join(self.unions, "p").join(merged, "k").select("k", "i", "u", "total")
+        merged = sums.groupBy("p").applyInArrow(final, "p int, n long, total binary").where(F.col("n") >= least_size).withColumnRenamed("p", "k")
+        rows = self.held.join(self.unions.join(merged, "k"), "p").select("k", "i", "u", "total")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
