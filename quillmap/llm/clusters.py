@@ -191,24 +191,37 @@ def _sums(held: DataFrame, width: int) -> DataFrame:
     return held.mapInArrow(partial, "p int, n long, total binary").groupBy("p").applyInArrow(final, "p int, n long, total binary")
 
 
-def _radii(held: DataFrame, sums: DataFrame) -> DataFrame:
-    """``p, centre, least``: the centre of every cluster of several members and their lowest cosine to it."""
-    width_of = lambda raw: len(raw) // 4
-    joined = held.join(sums.where("n > 1").select("p", "total"), "p").select("p", "u", "total")
+def _radii(held: DataFrame, sums: DataFrame, width: int) -> DataFrame:
+    """``p, centre, least``: the centre of every cluster of several members and their lowest cosine to it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Centres go to the members in blocks of a bounded number, so members aren't shuffled.
+    """
+    several = sums.where("n > 1").select("p", "total")
+    slices = max(1, -(-several.count() // BATCH))
+    found = None
+    for s in range(slices):
+        part = (several if slices == 1 else several.where(F.pmod(F.xxhash64("p"), F.lit(slices)) == s)).sort("p").toArrow()
+        shared = held.sparkSession.sparkContext.broadcast((part.column("p").to_numpy(), units(unpack(part.column("total"), width))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            number, centre = shared.value
+            low = np.full(len(number), 2.0)
+            for batch in batches:
+                u, p = unpack(batch.column(0), width), batch.column(1).to_numpy()
+                at = np.searchsorted(number, p)
+                mine = np.flatnonzero((at < len(number)) & (number[np.minimum(at, len(number) - 1)] == p)) if len(number) else np.empty(0, np.int64)
+                np.minimum.at(low, at[mine], np.einsum("ij,ij->i", u[mine].astype(np.float64), centre[at[mine]].astype(np.float64)))
+            seen = np.flatnonzero(low < 2)
+            yield pa.record_batch([pa.array(number[seen], pa.int32()), pa.array(low[seen])], names=["p", "least"])
+
+        lowest = held.select("u", "p").mapInArrow(run, "p int, least double").groupBy("p").agg(F.min("least").alias("least"))
+        found = lowest if found is None else found.unionByName(lowest)
+
+    def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            width = width_of(batch.column(1)[0].as_py())
-            u, c = unpack(batch.column(1), width), units(unpack(batch.column(2), width))
-            p, cosine = batch.column(0).to_numpy(), np.einsum("ij,ij->i", u.astype(np.float64), c.astype(np.float64))
-            own, first, at = np.unique(p, return_index=True, return_inverse=True)
-            low = np.full(len(own), 2.0)
-            np.minimum.at(low, at, cosine)
-            yield pa.record_batch([pa.array(own, pa.int32()), pack(c[first]), pa.array(low)], names=["p", "centre", "least"])
+            yield pa.record_batch([batch.column(0), pack(units(unpack(batch.column(1), width))), batch.column(2)], names=["p", "centre", "least"])
 
-    return joined.mapInArrow(run, "p int, centre binary, least double").groupBy("p").agg(F.min("centre").alias("centre"), F.min("least").alias("least"))
+    return several.join(found, "p").mapInArrow(centred, "p int, centre binary, least double")
 
 
 def _member_links(held: DataFrame, radii: DataFrame, component: DataFrame, width: int, least: float) -> DataFrame:
@@ -219,6 +232,7 @@ def _member_links(held: DataFrame, radii: DataFrame, component: DataFrame, width
     Centres are read in blocks of a bounded number.
     """
     spark = held.sparkSession
+    linked = bool(component.head(1))
     table = radii.join(component, radii["p"] == component["node"], "left").select("p", "centre", "least", F.coalesce("component", "p").alias("k"))
     theta = float(np.arccos(least))
     passing = None
@@ -244,7 +258,9 @@ def _member_links(held: DataFrame, radii: DataFrame, component: DataFrame, width
                     if len(x):
                         yield pa.record_batch([pa.array(own[x]), pa.array(number[y].astype(np.int32)), batch.column(0).take(pa.array(x)), batch.column(1).take(pa.array(x))], names=["p", "q", "i", "u"])
 
-        members = held.join(component, held["p"] == component["node"], "left").select("i", "u", "p", F.coalesce("component", "p").alias("k"))
+        members = held.select("i", "u", "p", F.col("p").alias("k"))
+        if linked:
+            members = held.join(component, held["p"] == component["node"], "left").select("i", "u", "p", F.coalesce("component", "p").alias("k"))
         found = members.mapInArrow(run, "p int, q int, i long, u binary")
         passing = found if passing is None else passing.unionByName(found)
     passing = stage(passing, "passing")
@@ -286,7 +302,7 @@ class SimilarityClusters:
         links = stage(links, "links")
         component = stage(connected_components(links), "component") if links.head(1) else spark.createDataFrame([], "node int, component int")
         self.sums = stage(_sums(self.held, width), "sums")
-        more = stage(_member_links(self.held, _radii(self.held, self.sums), component, width, least), "links")
+        more = stage(_member_links(self.held, _radii(self.held, self.sums, width), component, width, least), "links")
         if more.head(1):
             component = stage(connected_components(links.unionByName(more)), "component")
         self.unions = self.sums.select("p").join(component, F.col("p") == F.col("node"), "left").select("p", F.coalesce("component", "p").alias("k"))
