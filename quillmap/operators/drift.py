@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.operators.shred import _KINDS, parse_record
+from quillmap.session import stage
 
 #: Costs of an edit script's steps.
 COSTS = {"added": 1.0, "removed": 1.0, "renamed": 0.5, "moved": 0.75, "retyped": 0.25}
@@ -116,56 +118,69 @@ def agreements(members: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def edit_script(old: dict[str, str], new: dict[str, str], agree: list[tuple[str, str]]) -> list[tuple[str, str, str, float]]:
-    """The cheapest script ``step, old_path, new_path, cost`` between two trees of paths.
+    """The cheapest script ``step, old_path, new_path, cost`` between two trees of paths, by trying all choices.
 
-    ``old``, ``new``: the kind of each path ('' where only nulls are). As a source may serve several new nodes, the
-    cheapest choice of one node doesn't hinder another's: each new node takes all sources that agree with it where that
-    is cheaper than adding it, and old nodes that serve none are removed. Steps are in the order of their new paths.
+    ``old``, ``new``: the kind of each path ('' where only nulls are). Exponential; it defines what ``edit_scripts`` does
+    at any scale and serves its tests.
     """
-    steps, served, filled = [], set(), set()
-    for a, b in sorted(agree, key=lambda p: (p[1], p[0])):
-        kin = a.rpartition(".")[0] == b.rpartition(".")[0]
-        cost = COSTS["renamed" if kin else "moved"]
-        if cost < COSTS["added"] + COSTS["removed"]:
-            steps.append(("renamed" if kin else "moved", a, b, cost))
-            served.add(a)
-            filled.add(b)
-    steps += [("added", "", p, COSTS["added"]) for p in sorted(new.keys() - old.keys() - filled)]
-    steps += [("removed", p, "", COSTS["removed"]) for p in sorted(old.keys() - new.keys() - served)]
-    steps += [("retyped", p, p, COSTS["retyped"]) for p in sorted(old.keys() & new.keys()) if old[p] and new[p] and old[p] != new[p]]
-    return steps
+    from itertools import product
+
+    came, gone = sorted(new.keys() - old.keys()), sorted(old.keys() - new.keys())
+    retyped = [("retyped", p, p, COSTS["retyped"]) for p in sorted(old.keys() & new.keys()) if old[p] and new[p] and old[p] != new[p]]
+
+    def step(a: str, b: str) -> tuple[str, str, str, float]:
+        kind = "renamed" if a.rpartition(".")[0] == b.rpartition(".")[0] else "moved"
+        return kind, a, b, COSTS[kind]
+
+    best, least = [], float("inf")
+    for choice in product(*[[None, *[a for a in gone if (a, b) in agree]] for b in came]):
+        steps = [step(a, b) if a else ("added", "", b, COSTS["added"]) for a, b in zip(choice, came)]
+        steps += [("removed", a, "", COSTS["removed"]) for a in gone if a not in choice]
+        cost = sum(s[3] for s in steps)
+        if cost < least:
+            best, least = steps, cost
+    # Sources of equal right to one new node are all named; the copies beyond the first replace a removal each.
+    named = {(s[1], s[2]) for s in best}
+    also = [step(a, b) for a, b in agree if (a, b) not in named]
+    served = {a for a, _ in agree}
+    return [s for s in best if s[0] != "removed" or s[1] not in served] + also + retyped
 
 
 def edit_scripts(members: DataFrame) -> DataFrame:
     """``stream, before, later, step, old_path, new_path, cost`` for every file and the one written before it.
 
-    One group of a pair holds the changed paths and agreements of two files, bounded by the width of their schemas.
-    Unchanged paths cost nothing and are left out. Lines delivered twice change nothing; files without a whole line are
-    not in the series; a file name written at two times is two files.
+    Unchanged paths cost nothing and are left out. As one old node may serve several new ones, the choice for one new node
+    never hinders another's: the cheapest script takes each agreement there is (a rename or move costs less than an
+    addition and a removal), adds the new nodes without one, and removes the old nodes that serve none. That makes it a
+    plan of joins, without a task that holds a whole tree. Lines delivered twice change nothing; files without a whole
+    line are not in the series; a file name written at two times is two files.
     """
     pair = ["stream", "before", "later"]
-    schema = schemas(members)
-    changed = differences(schema, successions(schema))
-    agree = agreements(members, changed)
-    kinds = lambda c: F.concat_ws("/", c)
-    moved = changed.where(F.col("old").isNull() | F.col("new").isNull() | (F.size("old") > 0) & (F.size("new") > 0) & (F.col("old") != F.col("new")))
-    rows = moved.select(*pair, F.when(F.col("old").isNotNull(), F.col("path")).alias("o"), F.when(F.col("new").isNotNull(), F.col("path")).alias("n"), kinds("old").alias("ok"), kinds("new").alias("nk"))
-    rows = rows.unionByName(agree.select(*pair, F.col("old_path").alias("o"), F.col("new_path").alias("n"), F.lit("=").alias("ok"), F.lit("=").alias("nk")))
-    flat = rows.select("stream", F.col("before.written_at").alias("bt"), F.col("before.file_name").alias("bf"), F.col("later.written_at").alias("lt"), F.col("later.file_name").alias("lf"), "o", "n", "ok", "nk")
-    stamp = flat.schema["bt"].dataType.simpleString()
-
-    def script(group: pd.DataFrame) -> pd.DataFrame:
-        links = group["ok"].eq("=") & group["nk"].eq("=")
-        nodes, agree_rows = group[~links], group[links]
-        old = {p: k for p, k in zip(nodes["o"], nodes["ok"]) if p is not None}
-        new = {p: k for p, k in zip(nodes["n"], nodes["nk"]) if p is not None}
-        out = pd.DataFrame(edit_script(old, new, list(zip(agree_rows["o"], agree_rows["n"]))), columns=["step", "old_path", "new_path", "cost"])
-        for c in ("stream", "bt", "bf", "lt", "lf"):
-            out[c] = group[c].iloc[0]
-        return out[["stream", "bt", "bf", "lt", "lf", "step", "old_path", "new_path", "cost"]]
-
-    done = flat.groupBy("stream", "bt", "bf", "lt", "lf").applyInPandas(script, f"stream string, bt {stamp}, bf string, lt {stamp}, lf string, step string, old_path string, new_path string, cost double")
-    return done.select("stream", F.struct(F.col("bt").alias("written_at"), F.col("bf").alias("file_name")).alias("before"), F.struct(F.col("lt").alias("written_at"), F.col("lf").alias("file_name")).alias("later"), "step", "old_path", "new_path", "cost")
+    schema = stage(schemas(members), "schemas")
+    changed = stage(differences(schema, successions(schema)).where("old IS NULL OR new IS NULL OR (size(old) > 0 AND size(new) > 0 AND old != new)"), "changed")
+    agree = stage(agreements(members, changed), "agreements")
+    parent = lambda c: F.regexp_replace(c, r"\.?[^.]*$", "")
+    kin = parent("old_path") == parent("new_path")
+    none = F.lit("")
+
+    def steps(df: DataFrame, step: Column, old: Column, new: Column) -> DataFrame:
+        cost = F.coalesce(*[F.when(F.col("step") == k, F.lit(c)) for k, c in COSTS.items()])
+        return df.select(*pair, step.alias("step"), old.alias("old_path"), new.alias("new_path")).withColumn("cost", cost)
+
+    path = F.col("path")
+    filled = agree.select(*pair, F.col("new_path").alias("path")).distinct()
+    served = agree.select(*pair, F.col("old_path").alias("path")).distinct()
+    added = changed.where("old IS NULL").join(filled, [*pair, "path"], "left_anti")
+    removed = changed.where("new IS NULL").join(served, [*pair, "path"], "left_anti")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            steps(agree, F.when(kin, "renamed").otherwise("moved"), F.col("old_path"), F.col("new_path")),
+            steps(added, F.lit("added"), none, path),
+            steps(removed, F.lit("removed"), path, none),
+            steps(changed.where("old IS NOT NULL AND new IS NOT NULL"), F.lit("retyped"), path, path),
+        ],
+    )
 
 
 def changes(members: DataFrame) -> DataFrame:
