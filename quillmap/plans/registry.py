@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillmap.plans import base, evidence, maps, panels, quality
 
-from pyspark.sql import DataFrame, SparkSession
-
-from quillmap.plans import evidence, panels
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL = base.QUERIES, base.SQL
+MODULES = (evidence, maps, panels, quality)
 
 for _f in (evidence.p2_found, evidence.p2_runs, evidence.p2_deltas, evidence.p2_signatures, panels.p3_found, panels.p3_scripts, panels.p3_table):
     QUERIES[_f.__name__] = _f
