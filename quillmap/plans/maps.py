@@ -11,6 +11,7 @@ from quillmap.functions import vector as vec
 from quillmap.operators import graph, knn, metrics
 from quillmap.operators.components import connected_components
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, map_knn, points, query, r6, space_knn
+from quillmap.session import stage
 
 # ---- row-level vector scalars
 
@@ -376,10 +377,11 @@ def graph_components(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def graph_communities(spark: SparkSession, root: str) -> DataFrame:
-    """Communities by label propagation (an approximation of modularity communities), with sizes."""
-    n = _all(spark, root)
-    c = graph.label_propagation(graph.t_conorm(graph.uniform(n, K)))
-    return c.groupBy("community").agg(F.count("*").alias("n"))
+    """Communities by local moves (an approximation of modularity communities), with sizes and the modularity they reach."""
+    e = stage(graph.t_conorm(graph.uniform(_all(spark, root), K)), "graph")
+    c = graph.communities(e)
+    m = graph.modularity(e.where("src < dst"), c)
+    return c.groupBy("community").agg(F.count("*").alias("n")).crossJoin(m.select(r6("modularity")))
 
 
 @query(

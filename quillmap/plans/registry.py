@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillmap.plans import base, evidence, maps, panels, quality, tables
+from quillmap.plans import base, evidence, maps, panels, programs, quality, tables
 
 QUERIES, SQL = base.QUERIES, base.SQL
-MODULES = (evidence, maps, panels, quality, tables)
+MODULES = (evidence, maps, panels, programs, quality, tables)
 
 for _f in (evidence.p2_found, evidence.p2_runs, evidence.p2_deltas, evidence.p2_signatures, panels.p3_found, panels.p3_scripts, panels.p3_table):
     QUERIES[_f.__name__] = _f
