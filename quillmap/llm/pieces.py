@@ -183,8 +183,8 @@ def split_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
     A map over the rows without a shuffle. Texts within the limit are one piece, or left out with ``oversized_only``: a
     token has at least one byte, so texts of up to ``limit`` bytes aren't even encoded then. Null and empty texts have no
-    piece. Words of any length are cut between characters; a single character of more tokens than the limit (possible
-    only for limits under 4) stays whole. Repeated rows are cut each; other columns are ignored, also clashing ones.
+    piece. Words of any length are cut between characters; a single character of more tokens than the limit or
+    the overlap (possible only for ones under 4) stays whole. Repeated rows are cut each; other columns are ignored, also clashing ones.
     """
     if not 0 < overlap < limit:
         raise ValueError("the overlap must be at least 1 and below the limit")
