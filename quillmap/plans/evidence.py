@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +18,38 @@ class EvidenceTables:
     """Runs, panels, purities, corpora and deltas of the bodies; every child row holds its parents' names."""
 
     def __init__(self, docs: DataFrame, key: str = "record_id", body: str = "body"):
-        self.shredded = t = Shredded(stage(shred(docs, key, body, CONTENT), "nodes"), key)
-        self.runs = t.children(t.member(t.root(), "runs", _COLLECTION), "run", named_by="label").where(F.col("run").isNotNull())
-        self.panels = t.member(self.runs, "panel_full")
-        self.purities = t.children(t.member(self.panels, "purity"), "purity", kinds=None)
-        self.corpora = t.children(t.member(t.root(), "corpora", _COLLECTION), "corpus", named_by="corpus").where(F.col("corpus").isNotNull())
-        deltas = t.member(self.corpora, "paired_deltas", _COLLECTION)
-        flat = t.with_fields(t.children(deltas.where(F.col("kind") == "array"), "place"), "contrast", "metric")
-        contrasts = t.children(deltas.where(F.col("kind") == "object"), "contrast", kinds=_COLLECTION)
+        self.shredded, self.key = Shredded(stage(shred(docs, key, body, CONTENT), "nodes"), key), key
+
+    # Tables that others are built on are written once, so no plan holds the chain of joins twice.
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        t = self.shredded
+        return stage(t.children(t.member(t.root(), "runs", _COLLECTION), "run", named_by="label").where(F.col("run").isNotNull()), "runs")
+
+    @cached_property
+    def panels(self) -> DataFrame:
+        return stage(self.shredded.member(self.runs, "panel_full"), "panels")
+
+    @cached_property
+    def purities(self) -> DataFrame:
+        t = self.shredded
+        return t.children(t.member(self.panels, "purity"), "purity", kinds=None)
+
+    @cached_property
+    def corpora(self) -> DataFrame:
+        t = self.shredded
+        return stage(t.children(t.member(t.root(), "corpora", _COLLECTION), "corpus", named_by="corpus").where(F.col("corpus").isNotNull()), "corpora")
+
+    @cached_property
+    def deltas(self) -> DataFrame:
+        t = self.shredded
+        collections = stage(t.member(self.corpora, "paired_deltas", _COLLECTION), "deltas")
+        flat = t.with_fields(t.children(collections.where(F.col("kind") == "array"), "place"), "contrast", "metric")
+        contrasts = t.children(collections.where(F.col("kind") == "object"), "contrast", kinds=_COLLECTION)
         nested = t.children(contrasts, "metric", named_by="metric")
-        columns = [key, "doc", "node", "corpus", "contrast", "metric"]
-        self.deltas = flat.select(*columns).unionByName(nested.select(*columns)).dropna(subset=["contrast", "metric"])
+        columns = [self.key, "doc", "node", "corpus", "contrast", "metric"]
+        return flat.select(*columns).unionByName(nested.select(*columns)).dropna(subset=["contrast", "metric"])
 
 
 class RegistryTables:
@@ -37,7 +58,7 @@ class RegistryTables:
     def __init__(self, registry: DataFrame, key: str = "registry_id"):
         self.shredded = t = Shredded(stage(shred_columns(registry, key, "events"), "nodes"), key)
         events = t.children(t.member(t.root(), "events", ("array",)), "place").drop("place")
-        self.events = t.with_fields(events, "event_id", "evidence_id", "recorded_utc", "status", "diagnostic_only").dropna(subset=["event_id"])
+        self.events = stage(t.with_fields(events, "event_id", "evidence_id", "recorded_utc", "status", "diagnostic_only").dropna(subset=["event_id"]), "events")
         signatures = t.children(t.member(self.events.select(key, "doc", "node", "event_id", F.lit("object").alias("kind")), "source_signatures", ("array",)), "place").drop("place")
         self.signatures = t.with_fields(signatures, "path", "sha256").dropna(subset=["path"])
 

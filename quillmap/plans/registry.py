@@ -14,3 +14,39 @@ SQL["p2_signatures"] = """
     WITH e AS (SELECT registry_id, unnest(events) AS e FROM status_registry),
          s AS (SELECT registry_id, e.event_id AS event_id, unnest(e.source_signatures) AS s FROM e WHERE e.event_id IS NOT NULL)
     SELECT DISTINCT registry_id, event_id, s.path AS path, s.sha256 AS sha256 FROM s WHERE s.path IS NOT NULL"""
+
+_MEMBERS = """{out} AS (SELECT record_id, {up}k AS {name}, json_extract(o, '$."' || k || '"') AS e FROM (SELECT record_id, {up}o, unnest(json_keys(o)) AS k FROM (SELECT record_id, {up}json_extract({of}, '$.{label}') AS o FROM {source} WHERE json_type({of}, '$.{label}') = 'OBJECT'))
+        UNION ALL SELECT record_id, {up}json_extract_string(e, '$.{own}'), e FROM (SELECT record_id, {up}unnest(json_extract({of}, '$.{label}[*]')) AS e FROM {source} WHERE json_type({of}, '$.{label}') = 'ARRAY')),
+    {out}_ AS (SELECT * FROM {out} WHERE json_type(e) = 'OBJECT' AND {name} IS NOT NULL)"""
+
+_BODIES = f"""
+    WITH s AS (SELECT DISTINCT record_id, body FROM evidence_docs WHERE json_valid(body)),
+    t AS (SELECT record_id, CASE WHEN json_type(body) = 'VARCHAR' THEN json_extract_string(body, '$') ELSE body END AS j FROM s),
+    b AS (SELECT record_id, CASE WHEN json_type(j, '$.payload') IS NOT NULL AND json_type(j, '$.runs') IS NULL AND json_type(j, '$.corpora') IS NULL THEN json_extract(j, '$.payload') ELSE j::JSON END AS j FROM t WHERE json_valid(j)),
+    {_MEMBERS.format(out="runs", name="run", of="j", label="runs", own="label", source="b", up="")},
+    {_MEMBERS.format(out="corpora", name="corpus", of="j", label="corpora", own="corpus", source="b", up="")},
+    panels AS (SELECT record_id, run, json_extract(e, '$.panel_full') AS p FROM runs_ WHERE json_type(e, '$.panel_full') = 'OBJECT'),
+    purities AS (SELECT record_id, run, k FROM (SELECT record_id, run, json_extract(p, '$.purity') AS o, unnest(json_keys(json_extract(p, '$.purity'))) AS k FROM panels WHERE json_type(p, '$.purity') = 'OBJECT') WHERE json_type(o, '$."' || k || '"') <> 'NULL'),
+    flat AS (SELECT record_id, corpus, json_extract_string(d, '$.contrast') AS contrast, json_extract_string(d, '$.metric') AS metric, d FROM (SELECT record_id, corpus, unnest(json_extract(e, '$.paired_deltas[*]')) AS d FROM corpora_ WHERE json_type(e, '$.paired_deltas') = 'ARRAY') WHERE json_type(d) = 'OBJECT'),
+    contrasts AS (SELECT record_id, corpus, k AS contrast, json_extract(o, '$."' || k || '"') AS m FROM (SELECT record_id, corpus, json_extract(e, '$.paired_deltas') AS o, unnest(json_keys(json_extract(e, '$.paired_deltas'))) AS k FROM corpora_ WHERE json_type(e, '$.paired_deltas') = 'OBJECT')),
+    nested AS (SELECT record_id, corpus, contrast, k AS metric, json_extract(m, '$."' || k || '"') AS d FROM (SELECT record_id, corpus, contrast, m, unnest(json_keys(m)) AS k FROM contrasts WHERE json_type(m) = 'OBJECT')),
+    deltas AS (SELECT * FROM flat UNION ALL SELECT * FROM nested WHERE json_type(d) = 'OBJECT')"""
+
+SQL["p2_found"] = f"""{_BODIES},
+    ev AS (SELECT registry_id, unnest(events) AS e FROM status_registry), sg AS (SELECT registry_id, e.event_id AS event_id, unnest(e.source_signatures) AS s FROM ev WHERE e.event_id IS NOT NULL)
+    SELECT DISTINCT * FROM (
+        SELECT 'evidence_docs' AS origin, record_id, 'run' AS entity, '' AS parent_key, run AS child_key FROM runs_
+        UNION ALL SELECT 'evidence_docs', record_id, 'panel', run, 'panel_full' FROM panels
+        UNION ALL SELECT 'evidence_docs', record_id, 'purity', run, k FROM purities
+        UNION ALL SELECT 'evidence_docs', record_id, 'corpus', '', corpus FROM corpora_
+        UNION ALL SELECT 'evidence_docs', record_id, 'delta', corpus, contrast || '/' || metric FROM deltas
+        UNION ALL SELECT 'status_registry', registry_id, 'event', '', e.event_id FROM ev WHERE e.event_id IS NOT NULL
+        UNION ALL SELECT 'status_registry', registry_id, 'signature', event_id, s.path FROM sg WHERE s.path IS NOT NULL)"""
+
+SQL["p2_deltas"] = f"""{_BODIES}
+    SELECT DISTINCT record_id, corpus, contrast, metric, try_cast(json_extract_string(d, '$.mean') AS DOUBLE) AS mean, try_cast(json_extract_string(d, '$.sd') AS DOUBLE) AS sd, try_cast(json_extract_string(d, '$.n') AS BIGINT) AS n FROM deltas"""
+
+_FIELD = "try_cast(json_extract_string(e, '$.\"{}\"') AS {}) AS {}"
+SQL["p2_runs"] = f"""{_BODIES}
+    SELECT DISTINCT record_id, run, {_FIELD.format("run_dir", "VARCHAR", "run_dir")}, {_FIELD.format("wall_s", "DOUBLE", "wall_s")}, {_FIELD.format("ffr", "DOUBLE", "ffr")}, {_FIELD.format("density", "DOUBLE", "density")},
+        {_FIELD.format("recall@k", "DOUBLE", "recall_at_k")}, {_FIELD.format("hiD_reference_key", "VARCHAR", "hiD_reference_key")}, {_FIELD.format("no_model_reference", "BOOLEAN", "no_model_reference")} FROM runs_"""
