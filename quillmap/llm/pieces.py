@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -17,8 +18,8 @@ LIMIT, OVERLAP = 1024, 64
 #: Strength of the boundary before a word: none inside one, then words, clauses, sentences, lines, paragraphs.
 INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 _BREAK = regex.compile(r"\r\n|[\n\r\u0085  \x0b\x0c]")
-_SENTENCE_END = regex.compile(r"""[.!?…。！？]["'”’)\]»」]*\s*$""")
-_CLAUSE_END = regex.compile(r"[,;:—–，；：、)\]}]\s*$")
+_SENTENCE_END = regex.compile(r"""[.!?…。！？]["'”’)\]»」]*$""")
+_CLAUSE_END = regex.compile(r"[,;:—–，；：、)\]}]$")
 
 
 @dataclass
@@ -42,46 +43,56 @@ def _split_word(word: str, encode: PrefixEncoder, most: int) -> Iterator[str]:
         at += len(part)
 
 
+#: Strength of the boundary after a word, by its text alone; emptied when full, which only costs time.
+_AFTER: dict[str, int] = {}
+_INHERITED = -1
+
+
+def _after(word: str) -> int:
+    """A word of the pattern is letters, digits, a run of other signs, or white space, each with at most one blank before."""
+    if len(_AFTER) >= 200_000:
+        _AFTER.clear()
+    if word.isspace():
+        breaks = len(_BREAK.findall(word))
+        strength = PARAGRAPH if breaks > 1 else LINE if breaks else _INHERITED
+    elif word[-1].isalnum():
+        strength = WORD
+    else:
+        strength = SENTENCE if _SENTENCE_END.search(word) else CLAUSE if _CLAUSE_END.search(word) else WORD
+    _AFTER[word] = strength
+    return strength
+
+
 def units(text: str, encode: PrefixEncoder, most: int) -> Units:
     """Units of a text of at most ``most`` tokens each and the strengths of their boundaries."""
-    out = Units([], [], [])
-    at, before = 0, PARAGRAPH
+    start, size, strength = [], [], []
+    at, before, lines = 0, PARAGRAPH, 0
+    ids_of, after_of = encode._words.get, _AFTER.get
     for word in encode.words(text):
-        parts = [word] if len(encode.word(word)) <= most else list(_split_word(word, encode, most))
-        for n, part in enumerate(parts):
-            out.start.append(at)
-            out.size.append(len(encode.word(part)))
-            out.strength.append(before if n == 0 else INSIDE)
-            at += len(part)
-        before = WORD
-        if word.isspace():
-            breaks = len(_BREAK.findall(word))
-            # A run of white space may end a line whose punctuation stands in the word before it.
-            before = PARAGRAPH if breaks > 1 else LINE if breaks else max(WORD, _ending(text, out.start[-1]))
-        elif not word[-1].isalnum():
-            before = _ending(text, at)
-    _lift_blank_lines(text, out)
-    out.start.append(len(text))
-    return out
-
-
-def _ending(text: str, at: int) -> int:
-    tail = text[max(0, at - 8) : at]
-    return SENTENCE if _SENTENCE_END.search(tail) else CLAUSE if _CLAUSE_END.search(tail) else WORD
-
-
-def _lift_blank_lines(text: str, out: Units) -> None:
-    """White space split over several words counts as one: the boundary after all of it has its full strength."""
-    run = 0
-    for n, at in enumerate(out.start):
-        end = out.start[n + 1] if n + 1 < len(out.start) else len(text)
-        if run and out.strength[n] != INSIDE:
-            out.strength[n] = max(out.strength[n], PARAGRAPH if run > 1 else LINE)
-        word = text[at:end]
-        if word.isspace():
-            run += len(_BREAK.findall(word))
+        n = len(ids_of(word) or encode.word(word))
+        if n <= most:
+            start.append(at)
+            size.append(n)
+            strength.append(before)
+            at += len(word)
+        else:
+            for k, part in enumerate(_split_word(word, encode, most)):
+                start.append(at)
+                size.append(len(encode.word(part)))
+                strength.append(INSIDE if k else before)
+                at += len(part)
+        after = after_of(word)
+        if after is None:
+            after = _after(word)
+        if after >= LINE:  # white space split over several words counts as one
+            lines += 1 if after == LINE else 2
+            before = PARAGRAPH if lines > 1 else LINE
+        elif after == _INHERITED:  # a run of blanks after a sentence still ends it
+            before = max(before, WORD)
         else:
-            run = 0
+            before, lines = after, 0
+    start.append(len(text))
+    return Units(start, size, strength)
 
 
 def merge(size: list[int], strength: list[int], limit: int, overlap: int) -> list[int]:
@@ -125,41 +136,55 @@ def cut(text: str, encode: PrefixEncoder, limit: int = LIMIT, overlap: int = OVE
         return [(0, len(text), whole, 0)]
     u = units(text, encode, max(1, min(overlap, limit - overlap)))
     n = len(u.size)
+    upto, cuts = [0, *accumulate(u.size)], [0, *accumulate(int(x == INSIDE) for x in u.strength)]
+
+    def count(a: int, b: int) -> int:
+        """Tokens of units a to b as a text of their own.
+
+        Without parts of words that is the sum of the words', but for white space at its end: the pattern leaves the last
+        blank of a run to the next word, which isn't there any more.
+        """
+        if cuts[min(b + 1, n)] > cuts[a]:
+            return encode.count(text[u.start[a] : u.start[b]])
+        w = b
+        if b < n:
+            while w > a and text[u.start[w - 1] : u.start[w]].isspace():
+                w -= 1
+        return upto[w] - upto[a] + (encode.count(text[u.start[w] : u.start[b]]) if w < b else 0)
+
     # Segments: whole sentences or lines where they fit, clauses or words of those that don't.
     firsts, room = [], limit - overlap
     stack = [(0, n, SENTENCE)]
     while stack:
         a, b, level = stack.pop()
-        if level <= INSIDE or sum(u.size[a:b]) <= room and level < SENTENCE:
-            firsts.append(a) if level > INSIDE else firsts.extend(range(a, b))
+        if level <= INSIDE:
+            firsts.extend(range(a, b))
             continue
-        marks = [a, *[k for k in range(a + 1, b) if u.strength[k] >= level], b]
-        for x, y in zip(marks, marks[1:]):
-            if sum(u.size[x:y]) <= room:
-                stack.append((x, y, WORD)) if level > WORD else firsts.append(x)
+        x = a
+        for y in [*(k for k in range(a + 1, b) if u.strength[k] >= level), b]:
+            if upto[y] - upto[x] <= room:
+                firsts.append(x)
             else:
                 stack.append((x, y, level - 1))
-    firsts = sorted(set(firsts))
-    ends = [*firsts[1:], n]
-    sizes = [sum(u.size[a:b]) for a, b in zip(firsts, ends)]
+            x = y
+    firsts.sort()
+    sizes = [upto[b] - upto[a] for a, b in zip(firsts, [*firsts[1:], n])]
     groups = [firsts[k] for k in merge(sizes, [u.strength[k] for k in firsts], limit, overlap)]
     pieces, begin_before = [], -1
-    queue = [(a, b) for a, b in zip(groups, [*groups[1:], n])][::-1]
+    queue = list(zip(groups, [*groups[1:], n]))[::-1]
     while queue:
         a, b = queue.pop()
         begin = a if not pieces else _overlap_start(u, a, begin_before + 1, overlap)
-        start, end = u.start[begin], u.start[b]
-        tokens = encode.count(text[start:end])
+        tokens = count(begin, b)
         if tokens > limit and b - a > 1:  # parts of one long word may need more tokens together than apart
             middle = max(range(a + 1, b), key=lambda k: (u.strength[k], -abs(2 * k - a - b)))
             queue += [(middle, b), (a, middle)]
             continue
-        repeated = encode.count(text[start : u.start[a]])
+        repeated = count(begin, a) if begin < a else 0
         while (tokens > limit or repeated > overlap) and begin < a - 1:
             begin += 1
-            start = u.start[begin]
-            tokens, repeated = encode.count(text[start:end]), encode.count(text[start : u.start[a]])
-        pieces.append((start, end, tokens, repeated))
+            tokens, repeated = count(begin, b), count(begin, a)
+        pieces.append((u.start[begin], u.start[b], tokens, repeated))
         begin_before = begin
     return pieces
 
