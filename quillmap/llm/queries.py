@@ -95,3 +95,21 @@ SQL: dict[str, str] = {
              drawn AS ({philox_sql("row_id", "x0", "ledger, seeded", "testbed_id, row_id, first_epoch")})
         SELECT testbed_id, row_id, first_epoch, rate FROM drawn JOIN rates USING (testbed_id, first_epoch) WHERE draw < rate""",
 }
+
+_COSINE = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
+_USABLE = "len({v}) = 96 AND len(list_filter({v}, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter({v}, lambda x: x <> 0)) > 0"
+_CORPUS = f"c AS MATERIALIZED (SELECT vec_id AS id, corpus_vector::DOUBLE[] AS v FROM probe_corpus WHERE {_USABLE.format(v='corpus_vector')})"
+_ASKED = f"q AS MATERIALIZED (SELECT query_id AS id, query_vector::DOUBLE[] AS v FROM probe_queries WHERE {_USABLE.format(v='query_vector')})"
+
+#: The ten nearest by brute force: equal to the index where one block holds all vectors, as in the small tables.
+SQL["p4_found"] = f"""
+    WITH {_CORPUS}, {_ASKED},
+    s AS (SELECT 'corpus' AS side, a.id, b.id AS other, round({_COSINE}, 12) AS s FROM c a JOIN c b ON a.id <> b.id UNION ALL SELECT 'query', a.id, b.id, round({_COSINE}, 12) FROM q a, c b)
+    SELECT side, id AS vec_id, other AS neighbor_id FROM s QUALIFY row_number() OVER (PARTITION BY side, id ORDER BY s DESC, other) <= {K_HIT}"""
+
+SQL["p5_found"] = f"""
+    WITH RECURSIVE {_CORPUS},
+    l AS MATERIALIZED (SELECT a.id AS s, b.id AS t FROM c a JOIN c b ON a.id > b.id AND {_COSINE} >= {LINKED}), u AS MATERIALIZED (SELECT s, t FROM l UNION SELECT t, s FROM l),
+    r(node, other) AS (SELECT id, id FROM c UNION SELECT r.node, u.t FROM r JOIN u ON u.s = r.other),
+    k AS (SELECT node, min(other) AS first FROM r GROUP BY node), n AS (SELECT first, count(*) AS n FROM k GROUP BY first HAVING count(*) >= {SMALLEST})
+    SELECT node AS vec_id, first AS first_vec_id FROM k JOIN n USING (first)"""
