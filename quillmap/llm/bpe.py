@@ -74,7 +74,6 @@ class PrefixEncoder:
         self._pairs: dict[tuple[int, int], bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
         self._find = regex.compile(WORDS).findall
-        self._iter = regex.compile(WORDS).finditer
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of both tokens' joined bytes is just the two tokens."""
@@ -145,9 +144,13 @@ class PrefixEncoder:
             more(known(word) or self.word(word))
         return ids
 
-    def count(self, text: str) -> int:
+    def sizes(self, words: list[str]) -> list[int]:
+        """Tokens of each of the words."""
         known = self._words.get
-        return sum(len(known(word) or self.word(word)) for word in self._find(text))
+        return [len(known(word) or self.word(word)) for word in words]
+
+    def count(self, text: str) -> int:
+        return sum(self.sizes(self._find(text)))
 
 
 _ENCODERS: dict[str, PrefixEncoder] = {}

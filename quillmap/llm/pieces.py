@@ -63,13 +63,12 @@ def _after(word: str) -> int:
     return strength
 
 
-def units(text: str, encode: PrefixEncoder, most: int) -> Units:
-    """Units of a text of at most ``most`` tokens each and the strengths of their boundaries."""
+def units(words: list[str], sizes: list[int], encode: PrefixEncoder, most: int) -> Units:
+    """Units of a text, given its words and their tokens, of at most ``most`` tokens each, and their boundaries' strengths."""
     start, size, strength = [], [], []
     at, before, lines = 0, PARAGRAPH, 0
-    ids_of, after_of = encode._words.get, _AFTER.get
-    for word in encode.words(text):
-        n = len(ids_of(word) or encode.word(word))
+    after_of = _AFTER.get
+    for word, n in zip(words, sizes):
         if n <= most:
             start.append(at)
             size.append(n)
@@ -91,7 +90,7 @@ def units(text: str, encode: PrefixEncoder, most: int) -> Units:
             before = max(before, WORD)
         else:
             before, lines = after, 0
-    start.append(len(text))
+    start.append(at)
     return Units(start, size, strength)
 
 
@@ -131,10 +130,12 @@ def cut(text: str, encode: PrefixEncoder, limit: int = LIMIT, overlap: int = OVE
     """
     if not text:
         return []
-    whole = encode.count(text)
+    words = encode.words(text)
+    tokens_of = encode.sizes(words)
+    whole = sum(tokens_of)
     if whole <= limit:
         return [(0, len(text), whole, 0)]
-    u = units(text, encode, max(1, min(overlap, limit - overlap)))
+    u = units(words, tokens_of, encode, max(1, min(overlap, limit - overlap)))
     n = len(u.size)
     upto, cuts = [0, *accumulate(u.size)], [0, *accumulate(int(x == INSIDE) for x in u.strength)]
 
