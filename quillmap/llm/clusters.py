@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmap.llm.vectors import greedy_pivots, pack, priorities, units, unpack, usable_rows
@@ -58,18 +58,31 @@ def _draw() -> Column:
 
 
 class Pivots:
-    """Pivots in the order they were found, in batches of bounded size."""
+    """Pivots in the order they were found, numbered from 0; each round's are written to the shared folder."""
 
     def __init__(self, width: int):
-        self.ids: list[np.ndarray] = []
-        self.rows: list[np.ndarray] = []
+        self.rounds: list[tuple[int, int, DataFrame]] = []
         self.width = width
 
     def __len__(self) -> int:
-        return sum(map(len, self.ids))
-
-    def starts(self) -> list[int]:
-        return np.cumsum([0, *map(len, self.ids)])[:-1].tolist()
+        return sum(n for _, n, _ in self.rounds)
+
+    def add(self, spark: SparkSession, ids: np.ndarray, rows: np.ndarray) -> None:
+        first = len(self)
+        table = pa.table({"p": pa.array(np.arange(first, first + len(ids)), pa.int32()), "i": pa.array(ids), "u": pack(rows)})
+        self.rounds.append((first, len(ids), stage(spark.createDataFrame(table), "pivots")))
+
+    def blocks(self, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The first number and the rows of blocks of rounds, of at most ``most`` rows where a round isn't larger itself."""
+        at = 0
+        while at < len(self.rounds):
+            end, n = at + 1, self.rounds[at][1]
+            while end < len(self.rounds) and n + self.rounds[end][1] <= most:
+                n += self.rounds[end][1]
+                end += 1
+            parts = [unpack(df.sort("p").select("u").toArrow().column("u"), self.width) for _, _, df in self.rounds[at:end]]
+            yield self.rounds[at][0], np.concatenate(parts)
+            at = end
 
 
 def _absorb(left: DataFrame, rows: np.ndarray, least: float) -> DataFrame:
@@ -100,8 +113,7 @@ def find_pivots(vectors: DataFrame, width: int, least: float, batch: int = BATCH
         ids, rows = ids[order], rows[order]
         chosen = greedy_pivots(rows, least)
         if len(chosen):
-            pivots.ids.append(ids[chosen])
-            pivots.rows.append(rows[chosen])
+            pivots.add(vectors.sparkSession, ids[chosen], rows[chosen])
         if share == 1.0:
             break
         if len(chosen):
@@ -115,26 +127,13 @@ def find_pivots(vectors: DataFrame, width: int, least: float, batch: int = BATCH
     return pivots
 
 
-def _blocks(pivots: Pivots, most: int) -> list[tuple[int, np.ndarray]]:
-    """Pivots of all rounds as blocks of at most ``most`` rows, with the number of the first."""
-    rows = pivots.rows
-    out: list[tuple[int, np.ndarray]] = []
-    start = 0
-    for r in rows:
-        if out and len(out[-1][1]) + len(r) <= most:
-            out[-1] = (out[-1][0], np.concatenate([out[-1][1], r]))
-        else:
-            out.append((start, r))
-        start += len(r)
-    return out
-
-
 def _assign(unit: DataFrame, pivots: Pivots, least: float) -> tuple[DataFrame, DataFrame]:
     """``i, u, p`` with the closest pivot's number, and ``src, dst``: pivots linked by a vector similar to both."""
-    blocks = _blocks(pivots, 65_536)
-    spark = unit.sparkSession
+    spark, held = unit.sparkSession, None
     kept: DataFrame = unit.withColumns({"p": F.lit(-1), "c": F.lit(-2.0).cast("float"), "more": F.array().cast("array<int>")})
-    for start, rows in blocks:
+    for start, rows in pivots.blocks(4 * BATCH):
+        if held is not None:  # one block of pivots at a time, in the workers as on the driver
+            kept = held
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], start: int = start, shared=shared) -> Iterator[pa.RecordBatch]:
@@ -157,8 +156,10 @@ def _assign(unit: DataFrame, pivots: Pivots, least: float) -> tuple[DataFrame, D
                     cosine[a : a + 512] = np.where(closer, value, cosine[a : a + 512])
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(best, pa.int32()), pa.array(cosine, pa.float32()), pa.array(also, pa.list_(pa.int32()))], names=["i", "u", "p", "c", "more"])
 
-        kept = kept.mapInArrow(run, "i long, u binary, p int, c float, more array<int>")
-    held = stage(kept, "assigned")
+        done = stage(kept.mapInArrow(run, "i long, u binary, p int, c float, more array<int>"), "assigned")
+        if held is not None:
+            unstage(held)
+        held = done
     links = held.select("p", F.explode("more").alias("q")).where("p != q").select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).distinct()
     return held.select("i", "u", "p"), links
 
