@@ -6,12 +6,13 @@ told by id, not by place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmap.functions.vector import cosine, distance, dot, doubles
 
@@ -63,7 +64,7 @@ def block_top_k(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray,
         rough = distances(part, c, metric)
         if same:
             rough[ids[:, None] == cid[None, :]] = np.inf
-        take = min(k + spare, len(c))
+        take = min(min(k, len(c)) + spare, len(c))
         picked = np.argpartition(rough, take - 1, axis=1)[:, :take]
         near = np.take_along_axis(rough, picked, axis=1)
         margin = 1e-7 * (1 + np.abs(near).min(axis=1))
@@ -84,32 +85,107 @@ def block_top_k(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
+def meet_blocks(left: DataFrame, right: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
+    """Every row of ``left`` meets every row of ``right``, block by block: ``meet`` gets a block of each and gives rows.
+
+    Both have ``id`` and ``v`` and may have more columns. They are cut into blocks by id hash, and each pair of blocks is
+    one task's work, so no task holds more than two blocks. For a stated query set against all rows.
+    """
+    nl, nr = max(1, -(-left.count() // block)), max(1, -(-right.count() // block))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda df: F.lit(None).cast(T.StructType([f for f in df.schema if f.name not in ("id", "v")]))
+    more = lambda df: F.struct(*[c for c in df.columns if c not in ("id", "v")])
+    a = left.select(part(nl).alias("a"), every(nr).alias("b"), F.lit(0).alias("side"), "id", "v", *([more(left).alias("l")] if len(left.columns) > 2 else []), *([none(right).alias("r")] if len(right.columns) > 2 else []))
+    b = right.select(every(nl).alias("a"), part(nr).alias("b"), F.lit(1).alias("side"), "id", "v", *([none(left).alias("l")] if len(left.columns) > 2 else []), *([more(right).alias("r")] if len(right.columns) > 2 else []))
+
+    def both(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        x, y = (table.filter(pa.array(side == n)) for n in (0, 1))
+        return meet(x, y)
+
+    return a.unionByName(b).groupBy("a", "b").applyInArrow(both, schema)
+
+
 def exact_knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", exclude_self: bool = True, block: int = BLOCK, key: str = "id", vector: str = "v") -> DataFrame:
     """``src, dst, dist, rank``: the k nearest corpus rows of every query row (metric: l2, cosine, or ip for -dot).
 
-    Both sides are cut into blocks by id hash; each pair of blocks meets once, keeps its k best by matrix products, and a
-    window keeps the k best of those. No task holds more than two blocks. With ``exclude_self`` equal ids aren't
-    neighbours. Rows with a null id or vector are left out; a query with fewer than k others has fewer rows.
+    Blocks of queries and corpus meet once and keep their k best by matrix products; a window keeps the k best of those.
+    With ``exclude_self`` equal ids aren't neighbours. Rows with a null id or vector are left out; a query with fewer than
+    k others has fewer rows.
     """
     q = queries.select(F.col(key).alias("id"), doubles(vector).alias("v")).dropna()
     c = corpus.select(F.col(key).alias("id"), doubles(vector).alias("v")).dropna()
-    nq, nc = max(1, -(-q.count() // block)), max(1, -(-c.count() // block))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = q.select(part(nq).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("b"), F.lit(0).alias("side"), "id", "v")
-    right = c.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"), part(nc).alias("b"), F.lit(1).alias("side"), "id", "v")
     kind = q.schema["id"].dataType.simpleString()
 
-    def meet(table: pa.Table) -> pa.Table:
-        side, ids, v = table.column("side").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("v"))
-        qs, cs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        row, best, d = block_top_k(v[qs], ids[qs], v[cs], ids[cs], k, metric, exclude_self) if len(qs) and len(cs) else (np.empty(0, int),) * 2 + (np.empty(0),)
-        return pa.table([pa.array(ids[qs[row]]), pa.array(ids[cs[best]]), pa.array(d, pa.float64())], names=["src", "dst", "dist"])
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        qid, cid = x.column("id").to_numpy(), y.column("id").to_numpy()
+        row, best, d = block_top_k(_matrix(x.column("v")), qid, _matrix(y.column("v")), cid, k, metric, exclude_self) if len(qid) and len(cid) else (np.empty(0, int),) * 2 + (np.empty(0),)
+        return pa.table([pa.array(qid[row]), pa.array(cid[best]), pa.array(d, pa.float64())], names=["src", "dst", "dist"])
 
-    near = left.unionByName(right).groupBy("a", "b").applyInArrow(meet, f"src {kind}, dst {kind}, dist double")
+    near = meet_blocks(q, c, meet, f"src {kind}, dst {kind}, dist double", block)
     best = Window.partitionBy("src").orderBy("dist", "dst")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def ranks_of(pairs: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``src, dst, rank``: the place of ``dst`` in ``src``'s order of distance over all points, for given pairs.
+
+    Each source carries its pairs' distances through the blocks, which count the points that come before; only counts are
+    added up, so nothing of the size of all pairs is made. A source's pairs are as many as its neighbours.
+    """
+    p = points.select("id", doubles("v").alias("v")).dropna()
+    a, b = p.select(F.col("id").alias("src"), F.col("v").alias("q")), p.select(F.col("id").alias("dst"), F.col("v").alias("c"))
+    far = pairs.select("src", "dst").distinct().join(b, "dst").groupBy("src").agg(F.collect_list("dst").alias("ids"), F.collect_list("c").alias("ends"))
+    sources = far.join(a, "src").select(F.col("src").alias("id"), F.col("q").alias("v"), "ids", "ends")
+    kind = p.schema["id"].dataType.simpleString()
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        v, own, cid = _matrix(y.column("v")), x.column("id").to_pylist(), y.column("id").to_numpy()
+        q = _matrix(x.column("v"))
+        src, dst, n = [], [], []
+        for i, (me, more) in enumerate(zip(own, x.column("l").to_pylist())):
+            d = np.sqrt(((v - q[i]) ** 2).sum(axis=1))
+            ends = np.sqrt(((np.array(more["ends"]) - q[i]) ** 2).sum(axis=1))
+            ids = np.array(more["ids"])
+            others = cid != me
+            before = (d[None, :] < ends[:, None]) | (d[None, :] == ends[:, None]) & (cid[None, :] < ids[:, None])
+            src += [me] * len(ids)
+            dst += more["ids"]
+            n += (before & others[None, :]).sum(axis=1).tolist()
+        return pa.table([pa.array(src, x.column("id").type), pa.array(dst, x.column("id").type), pa.array(n, pa.int64())], names=["src", "dst", "n"])
+
+    counted = meet_blocks(sources, p, meet, f"src {kind}, dst {kind}, n long", block)
+    return counted.groupBy("src", "dst").agg((F.sum("n") + 1).alias("rank"))
+
+
+def label_distances(anchors: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``id, mine, label, n, total``: sums of each anchor's distances to the points of every label, itself left out.
+
+    ``anchors`` and ``points``: ``id, v, label``.
+    """
+    a, p = (df.select("id", doubles("v").alias("v"), F.col("label").cast("long").alias("label")).dropna() for df in (anchors, points))
+    kind = p.schema["id"].dataType.simpleString()
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        q, c = _matrix(x.column("v")), _matrix(y.column("v"))
+        mine = np.array([r["label"] for r in x.column("l").to_pylist()], np.int64)
+        names, at = np.unique(np.array([r["label"] for r in y.column("r").to_pylist()], np.int64), return_inverse=True)
+        onto = np.eye(len(names))[at] if len(names) else np.empty((0, 0))
+        rows = []
+        for s in range(0, len(q), _STRIP):
+            part, ids = q[s : s + _STRIP], x.column("id").to_numpy()[s : s + _STRIP]
+            other = (ids[:, None] != y.column("id").to_numpy()[None, :]).astype(float) if len(c) else np.empty((len(part), 0))
+            d = np.sqrt(((part[:, None, :] - c[None]) ** 2).sum(axis=2)) if len(c) else np.empty((len(part), 0))
+            rows.append((ids, mine[s : s + _STRIP], (d * other) @ onto, other @ onto))
+        out = [np.concatenate(z) for z in ([np.repeat(r[0], len(names)) for r in rows], [np.repeat(r[1], len(names)) for r in rows], [np.tile(names, len(r[0])) for r in rows], [r[3].ravel() for r in rows], [r[2].ravel() for r in rows])] if rows else [np.empty(0)] * 5
+        kinds = (x.column("id").type, pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(z.astype(t.to_pandas_dtype()), t) for z, t in zip(out, kinds)], names=["id", "mine", "label", "n", "total"])
+
+    sums = meet_blocks(a, p, meet, f"id {kind}, mine long, label long, n long, total double", block)
+    return sums.groupBy("id", "mine", "label").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
+
+
 _METRIC = {"l2": distance, "cosine": lambda a, b: F.lit(1.0) - cosine(a, b), "ip": lambda a, b: -dot(a, b)}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions.vector import distance, doubles
+from quillmap.operators import knn
 
 
 def as_points(z: DataFrame) -> DataFrame:
@@ -37,11 +38,11 @@ def density_preservation(hi: DataFrame, lo: DataFrame, eps: float = 1e-12) -> Da
 
 
 def neighbour_ranks(points: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``src, dst, rank``: the place of every other point in each anchor's order of distance. For bounded anchor sets."""
-    a = anchors.select(F.col("id").alias("src"), doubles("v").alias("q"))
-    met = points.select(F.col("id").alias("dst"), doubles("v").alias("c")).join(F.broadcast(a), F.col("src") != F.col("dst"))
-    order = Window.partitionBy("src").orderBy("dist", "dst")
-    return met.select("src", "dst", distance(F.col("q"), F.col("c")).alias("dist")).withColumn("rank", F.row_number().over(order))
+    """``src, dst, rank``: the place of every other point in each anchor's order of distance.
+
+    The result has anchors times points rows; for the ranks of some pairs ``knn.ranks_of`` makes no such table.
+    """
+    return knn.exact_knn(anchors, points, 2**31 - 1).select("src", "dst", "dist", "rank")
 
 
 def rank_penalty(ranks: DataFrame, neighbours: DataFrame, k: int, m: int) -> DataFrame:
@@ -126,12 +127,11 @@ def label_agreement(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def silhouette(points: DataFrame, labels: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``id, silhouette`` of a bounded set of anchors against all points: (b - a) / max(a, b) of mean distances by label."""
-    a = points.join(anchors.select("id"), "id", "left_semi").join(labels, "id").select(F.col("id").alias("src"), doubles("v").alias("q"), F.col("label").alias("mine"))
-    met = points.join(labels, "id").select(F.col("id").alias("dst"), doubles("v").alias("c"), "label").join(F.broadcast(a), F.col("src") != F.col("dst"))
-    per = met.groupBy("src", "mine", "label").agg(F.avg(distance(F.col("q"), F.col("c"))).alias("d"))
+    """``id, silhouette`` of anchors against all points: (b - a) / max(a, b) of mean distances by label."""
+    rows = points.join(labels, "id")
+    per = knn.label_distances(rows.join(anchors.select("id"), "id", "left_semi"), rows).withColumn("d", F.col("total") / F.col("n"))
     own, other = F.min(F.when(F.col("label") == F.col("mine"), F.col("d"))), F.min(F.when(F.col("label") != F.col("mine"), F.col("d")))
-    s = per.groupBy(F.col("src").alias("id")).agg(own.alias("a"), other.alias("b"))
+    s = per.groupBy("id").agg(own.alias("a"), other.alias("b"))
     return s.select("id", F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
 
 

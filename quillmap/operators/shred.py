@@ -30,7 +30,7 @@ def parse_record(body: str | None, wrappers: tuple[str, ...] = WRAPPERS, content
     for _ in range(16):
         if isinstance(value, str):
             try:
-                value = json.loads(value.lstrip("﻿"))
+                value = json.loads(value.lstrip("\ufeff"))
             except (ValueError, RecursionError):
                 return None
         elif isinstance(value, dict) and (inner := next((w for w in wrappers if w in value), None)) and not any(c in value for c in content):

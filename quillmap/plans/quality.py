@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmap.functions import vector as vec
 from quillmap.operators import knn, metrics
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, map_knn, points, query, r6, space_knn
+from quillmap.session import stage
 
 _BOTH = f"WITH {E}, {Z}, {knn_sql('h', 'e')}, {knn_sql('l', 'z')}"
 _ANCHORS = f"a AS (SELECT id AS src FROM e WHERE id % {ASK} = 0)"
@@ -61,9 +62,10 @@ def density_preservation(spark: SparkSession, root: str) -> DataFrame:
 def trustworthiness_continuity(spark: SparkSession, root: str) -> DataFrame:
     """Per anchor, from its ranks of all points in space and map."""
     p, z = points(spark, root), metrics.as_points(flat_map(spark, root))
-    hi, lo, m = metrics.neighbour_ranks(p, asked(p)), metrics.neighbour_ranks(z, asked(z)), p.count()
-    t = metrics.rank_penalty(hi, lo, K, m).select("src", F.round("score", 6).alias("trustworthiness"))
-    return t.join(metrics.rank_penalty(lo, hi, K, m).select("src", F.round("score", 6).alias("continuity")), "src")
+    near_hi, near_lo, m = stage(space_knn(spark, root), "near"), stage(map_knn(spark, root), "near"), p.count()
+    hi, lo = knn.ranks_of(near_lo, p), knn.ranks_of(near_hi, z)
+    t = metrics.rank_penalty(hi, near_lo, K, m).select("src", F.round("score", 6).alias("trustworthiness"))
+    return t.join(metrics.rank_penalty(lo, near_hi, K, m).select("src", F.round("score", 6).alias("continuity")), "src")
 
 
 #: Pairs of each id with others at fixed strides: as many for each row, none with itself.
@@ -310,8 +312,6 @@ def per_point_diagnostics(spark: SparkSession, root: str) -> DataFrame:
 )
 def decision_panel(spark: SparkSession, root: str) -> DataFrame:
     """Recall, fixed-fraction recall, density and purity from one neighbour table of each side."""
-    from quillmap.session import stage
-
     hi, lo = stage(space_knn(spark, root, 25), "hi"), stage(map_knn(spark, root, 25), "lo")
     met = hi.select("src", "dst", F.col("rank").alias("h")).join(lo.select("src", "dst", F.col("rank").alias("l")), ["src", "dst"], "left")
     ten = (F.col("h") <= 10) & F.col("l").isNotNull()
@@ -341,8 +341,6 @@ def mahalanobis(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {Z}, r AS (SELECT id, x, row_number() OVER (ORDER BY x, id) AS i, count(*) OVER () AS n FROM z) SELECT id, round(i / (n + 1), 6) AS ecdf FROM r")
 def empirical_cdf(spark: SparkSession, root: str) -> DataFrame:
     """rank / (n + 1), the rank by a prefix sum over ranges of the value."""
-    from quillmap.session import stage
-
     z = stage(flat_map(spark, root).select("id", "x").repartitionByRange(32, "x", "id").withColumn("part", F.spark_partition_id()), "ranges")
     sizes = z.groupBy("part").agg(F.count("*").alias("n"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

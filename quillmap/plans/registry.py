@@ -50,3 +50,22 @@ _FIELD = "try_cast(json_extract_string(e, '$.\"{}\"') AS {}) AS {}"
 SQL["p2_runs"] = f"""{_BODIES}
     SELECT DISTINCT record_id, run, {_FIELD.format("run_dir", "VARCHAR", "run_dir")}, {_FIELD.format("wall_s", "DOUBLE", "wall_s")}, {_FIELD.format("ffr", "DOUBLE", "ffr")}, {_FIELD.format("density", "DOUBLE", "density")},
         {_FIELD.format("recall@k", "DOUBLE", "recall_at_k")}, {_FIELD.format("hiD_reference_key", "VARCHAR", "hiD_reference_key")}, {_FIELD.format("no_model_reference", "BOOLEAN", "no_model_reference")} FROM runs_"""
+
+SQL["p3_found"] = """
+    WITH RECURSIVE w AS (SELECT DISTINCT stream, file_name, written_at, body::JSON AS j FROM panel_lines WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+    m(stream, file_name, written_at, run, path, kind, v) AS (
+        SELECT stream, file_name, written_at, json_extract_string(j, '$.run_dir'), k, json_type(j, '$."' || k || '"'), json_extract(j, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(j)) AS k FROM w)
+        UNION ALL SELECT stream, file_name, written_at, run, path || '.' || k, json_type(v, '$."' || k || '"'), json_extract(v, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(v)) AS k FROM m WHERE kind = 'OBJECT')),
+    x AS (SELECT stream, file_name, written_at, run, path, CASE kind WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,
+        CASE WHEN kind IN ('VARCHAR', 'BOOLEAN', 'ARRAY', 'OBJECT', 'NULL') THEN json_extract_string(v, '$') ELSE (json_extract_string(v, '$')::DOUBLE)::VARCHAR END AS val FROM m),
+    s AS MATERIALIZED (SELECT stream, file_name, written_at, path, string_agg(DISTINCT kind, '/' ORDER BY kind) AS kinds FROM x GROUP BY ALL),
+    p AS (SELECT * FROM (SELECT stream, file_name AS later, lag(file_name) OVER (PARTITION BY stream ORDER BY written_at, file_name) AS before FROM (SELECT DISTINCT stream, file_name, written_at FROM s)) WHERE before IS NOT NULL),
+    gone AS (SELECT p.stream, before, later, path FROM p JOIN s ON s.stream = p.stream AND s.file_name = before WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.stream = p.stream AND t.file_name = later AND t.path = s.path)),
+    came AS (SELECT p.stream, before, later, path FROM p JOIN s ON s.stream = p.stream AND s.file_name = later WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.stream = p.stream AND t.file_name = before AND t.path = s.path)),
+    val AS MATERIALIZED (SELECT DISTINCT stream, file_name, run, path, kind, val FROM x WHERE kind IS NOT NULL AND run IS NOT NULL),
+    ren AS (SELECT g.later, g.path AS old_path, c.path AS new_path FROM gone g JOIN came c ON c.stream = g.stream AND c.later = g.later JOIN val a ON a.stream = g.stream AND a.file_name = g.before AND a.path = g.path
+        JOIN val b ON b.stream = g.stream AND b.file_name = g.later AND b.path = c.path AND b.run = a.run GROUP BY ALL HAVING bool_and(a.kind = b.kind AND a.kind <> 'object' AND a.val = b.val))
+    SELECT later AS file_name, 'renamed' AS change_kind, old_path, new_path FROM ren
+    UNION ALL SELECT later, 'added', '', path FROM came WHERE (later, path) NOT IN (SELECT (later, new_path) FROM ren)
+    UNION ALL SELECT later, 'removed', path, '' FROM gone WHERE (later, path) NOT IN (SELECT (later, old_path) FROM ren)
+    UNION ALL SELECT later, 'retyped', a.path, a.path FROM p JOIN s a ON a.stream = p.stream AND a.file_name = before JOIN s b ON b.stream = p.stream AND b.file_name = later AND b.path = a.path WHERE a.kinds <> b.kinds"""
