@@ -60,15 +60,6 @@ def cached(spark: SparkSession, folder: str, key: str, build: Callable[[], DataF
     return spark.read.parquet(path)
 
 
-def ordered_identity(df: DataFrame, key: str, content: Column) -> DataFrame:
-    """One row ``identity``: the hash of all rows' hashes in the order of the key (which must be unique).
-
-    It gathers 64 characters a row in one task: for registries and receipts. ``identity_tree`` is for large tables.
-    """
-    rows = df.select(F.col(key).alias("k"), F.sha2(content, 256).alias("h"))
-    return rows.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"])), 256).alias("identity"))
-
-
 def identity_tree(df: DataFrame, key: str, content: Column, width: int = 4096) -> str:
     """The root of a hash tree over rows in the order of a whole-number key: each level hashes ranges of ``width`` keys.
 
@@ -105,3 +96,40 @@ def edge_cosines(edges: DataFrame, points: DataFrame) -> DataFrame:
 def block_rows(width: int, budget_mb: float, strip: int = 512) -> int:
     """How many rows a block of vectors may have: two blocks in double precision and a strip of distances fit the budget."""
     return max(1, int(budget_mb * 2**20 / (2 * 8 * width + 8 * strip)))
+
+
+def one_factor(a: dict, b: dict, factor: str) -> None:
+    """Two configurations may differ in one leaf only."""
+    found = sorted(config_difference(a, b))
+    if found != [factor]:
+        raise ValueError(f"the arms differ in {found}, not just in {factor}")
+
+
+def load_structured(text: str) -> object:
+    """A JSON document, or YAML where a parser is installed."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("not JSON, and no YAML parser is installed") from None
+        return yaml.safe_load(text)
+
+
+def expand_sweep(base: dict, sweep: dict[str, list]) -> list[dict]:
+    """All configurations of a grid of dotted paths, the last path varying fastest."""
+    from copy import deepcopy
+    from itertools import product
+
+    out = []
+    for values in product(*sweep.values()):
+        config = deepcopy(base)
+        for path, value in zip(sweep, values):
+            at = config
+            *inner, leaf = path.split(".")
+            for name in inner:
+                at = at.setdefault(name, {})
+            at[leaf] = value
+        out.append(config)
+    return out

@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact by blocks, exact by a plan of joins, and approximate by inverted lists.
+"""Nearest neighbours: exact by blocks, and approximate by inverted lists.
 
 Neighbours are ordered by (distance, id). A row is never its own neighbour where queries and corpus share ids; self is
 told by id, not by place.
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmap.functions.vector import cosine, distance, dot, doubles
+from quillmap.functions.vector import doubles
 
 #: Rows of a block of either side; a meeting of two blocks holds two of them and a strip of distances.
 BLOCK = 4096
@@ -186,18 +186,6 @@ def label_distances(anchors: DataFrame, points: DataFrame, block: int = BLOCK) -
     return sums.groupBy("id", "mine", "label").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
 
 
-_METRIC = {"l2": distance, "cosine": lambda a, b: F.lit(1.0) - cosine(a, b), "ip": lambda a, b: -dot(a, b)}
-
-
-def declared_knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", exclude_self: bool = True) -> DataFrame:
-    """The same as a plan of joins and windows, for few queries: every query row meets every corpus row."""
-    q = queries.select(F.col("id").alias("src"), doubles("v").alias("q"))
-    c = corpus.select(F.col("id").alias("dst"), doubles("v").alias("c"))
-    met = c.join(q, F.col("src") != F.col("dst") if exclude_self else F.lit(True))
-    best = Window.partitionBy("src").orderBy("dist", "dst")
-    return met.select("src", "dst", _METRIC[metric](F.col("q"), F.col("c")).alias("dist")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
 def centroid_labels(points: DataFrame, centroids: np.ndarray, key: str = "id", vector: str = "v") -> DataFrame:
     """``id, cid, dist``: the nearest centroid of every row (ties to the smaller number); a map over the rows.
 

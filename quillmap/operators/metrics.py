@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions.vector import distance, doubles
 from quillmap.operators import knn
+from quillmap.operators.sampling import positions
 
 
 def as_points(z: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def twonn(neighbours: DataFrame, discard: float = 0.1) -> DataFrame:
     """One value ``dimension``: the through-origin fit of -log(1 - F) on log(r2 / r1), the top share discarded."""
     per = neighbours.where("rank <= 2").groupBy("src").agg(F.max(F.when(F.col("rank") == 1, F.col("dist"))).alias("r1"), F.max(F.when(F.col("rank") == 2, F.col("dist"))).alias("r2"))
     mu = per.where("r1 > 0").select("src", F.log(F.col("r2") / F.col("r1")).alias("l"))
-    ranked = mu.withColumn("i", F.row_number().over(Window.orderBy("l", "src"))).crossJoin(F.broadcast(mu.agg(F.count("*").alias("n"))))
+    ranked = positions(mu, ["l", "src"]).withColumn("i", F.col("pos") + 1).crossJoin(F.broadcast(mu.agg(F.count("*").alias("n"))))
     used = ranked.where(F.col("i") <= F.floor(F.col("n") * (1 - discard))).withColumn("g", -F.log(1 - F.col("i") / (F.col("n") + 1)))
     return used.agg((F.sum(F.col("l") * F.col("g")) / F.sum(F.col("l") * F.col("l"))).alias("dimension"))
 

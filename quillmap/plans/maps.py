@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions import vector as vec
-from quillmap.operators import graph, knn, metrics
+from quillmap.operators import graph, knn, metrics, sampling
 from quillmap.operators.components import connected_components
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, map_knn, points, query, r6, space_knn
 from quillmap.session import stage
@@ -116,13 +116,6 @@ def knn_exact(spark: SparkSession, root: str) -> DataFrame:
     return space_knn(spark, root).select("src", "dst", "rank", r6("dist"))
 
 
-@query(f"WITH {E}, {knn_sql('n', 'e')} {_NEAR}")
-def knn_declared(spark: SparkSession, root: str) -> DataFrame:
-    """The same as a plan of joins and windows."""
-    p = points(spark, root)
-    return knn.declared_knn(asked(p), p, K).select("src", "dst", "rank", r6("dist"))
-
-
 @query(f"WITH {E}, {knn_sql('n', 'e', metric='cosine')} {_NEAR}")
 def knn_cosine(spark: SparkSession, root: str) -> DataFrame:
     return space_knn(spark, root, metric="cosine").select("src", "dst", "rank", r6("dist"))
@@ -346,7 +339,11 @@ def weight_cdf(spark: SparkSession, root: str) -> DataFrame:
 def weight_deciles(spark: SparkSession, root: str) -> DataFrame:
     """The share of draws each decile of edges is to have."""
     w = _all(spark, root).select("src", "dst", (1 - F.col("dist") / 2).alias("weight"))
-    t = w.withColumn("decile", F.ntile(10).over(Window.orderBy("weight", "src", "dst")))
+    n = w.count()
+    small, more = n // 10, n % 10  # the first deciles have one more where ten doesn't divide the edges
+    pos = F.col("pos")
+    decile = F.when(pos < more * (small + 1), F.floor(pos / (small + 1))).otherwise(more + F.floor((pos - more * (small + 1)) / max(1, small))) + 1
+    t = sampling.positions(w, ["weight", "src", "dst"]).withColumn("decile", decile.cast("int"))
     per = t.groupBy("decile").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     return per.select("decile", "n", F.round(F.col("w") / F.sum("w").over(Window.partitionBy()), 6).alias("mass"))
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions import vector as vec
-from quillmap.operators import artefacts, checks, graph, knn, sampling
+from quillmap.operators import artefacts, checks, graph, knn, projector, sampling
+from quillmap.operators.metrics import as_points as knn_points
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, map_knn, points, query, r6, space_knn
 from quillmap.plans.tables import _h, _RUNS
 from quillmap.session import load, shared_dir, stage
@@ -134,7 +135,7 @@ def boundary_gap(spark: SparkSession, root: str) -> DataFrame:
 def reproduction_canary(spark: SparkSession, root: str) -> DataFrame:
     """Stored lists against computed ones: swaps are allowed where the scores are equal within a tolerance."""
     p = points(spark, root)
-    stored = knn.declared_knn(asked(p), p, K).select("src", "rank", F.col("dst").alias("a"), F.col("dist").alias("da"))
+    stored = knn.exact_knn(asked(p), p, K, block=64).select("src", "rank", F.col("dst").alias("a"), F.col("dist").alias("da"))
     fresh = space_knn(spark, root).select("src", "rank", F.col("dst").alias("b"), F.col("dist").alias("db"))
     met = stored.join(fresh, ["src", "rank"], "full_outer")
     return met.agg(F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("bigint")).alias("missing"), F.sum((F.abs(F.col("da") - F.col("db")) > 1e-7).cast("bigint")).alias("beyond_tolerance"), F.count("*").alias("n"))
@@ -183,21 +184,41 @@ def effective_lengths(spark: SparkSession, root: str) -> DataFrame:
     return d.select("doc_id", n.alias("effective"), (n > 128).alias("cut"))
 
 
-@query("SELECT sha256(string_agg(h, '' ORDER BY doc_id)) AS identity FROM (SELECT doc_id, sha256(length(text)::VARCHAR || ':' || text) AS h FROM documents WHERE text IS NOT NULL)")
+@query(
+    """WITH r AS (SELECT doc_id AS k, sha256(length(text)::VARCHAR || ':' || text) AS h FROM documents WHERE text IS NOT NULL), a AS (SELECT k // 4096 AS k, sha256(string_agg(k::VARCHAR || h, '' ORDER BY k)) AS h FROM r GROUP BY 1),
+    b AS (SELECT k // 4096 AS k, sha256(string_agg(k::VARCHAR || h, '' ORDER BY k)) AS h FROM a GROUP BY 1) SELECT CASE WHEN (SELECT count(*) FROM a) = 1 THEN (SELECT max(h) FROM a) ELSE (SELECT max(h) FROM b) END AS identity"""
+)
 def text_identity(spark: SparkSession, root: str) -> DataFrame:
-    """One hash over all texts in id order: hashes of length-prefixed rows, of hash ranges, then of those.
-
-    Here one level holds the whole table's row hashes (64 characters each); ``artefacts.identity`` does it in levels.
-    """
+    """One hash over all texts in id order: a tree over hashes of length-prefixed rows."""
     d = load(spark, root, "documents").where("text IS NOT NULL")
-    return artefacts.ordered_identity(d, "doc_id", F.concat(F.length("text").cast("string"), F.lit(":"), F.col("text")))
+    found = artefacts.identity_tree(d, "doc_id", F.concat(F.length("text").cast("string"), F.lit(":"), F.col("text")))
+    return spark.createDataFrame([(found,)], "identity string")
+
+
+@query()
+def random_projection_floor(spark: SparkSession, root: str) -> DataFrame:
+    """Recall of a map by a fixed random projection: what a map without any training reaches."""
+    p = points(spark, root)
+    w = np.random.default_rng(61).normal(size=(64, 2)) / 8
+    z = knn_points(projector.transform(p, projector.Projector([w], [np.zeros(2)])))
+    r = knn.recall(knn.exact_knn(asked(z), z, K), space_knn(spark, root), K)
+    return r.agg(F.count("*").alias("anchors"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
+@query("WITH ev AS (SELECT DISTINCT registry_id, e.evidence_id AS evidence_id, lower(e.status) AS status FROM (SELECT registry_id, unnest(events) AS e FROM status_registry) WHERE e.event_id IS NOT NULL AND e.evidence_id IS NOT NULL) SELECT registry_id, evidence_id, coalesce(max(status) FILTER (status IN ('accepted', 'invalidated')), max(status), 'unknown') AS state FROM ev GROUP BY 1, 2")
+def evidence_state(spark: SparkSession, root: str) -> DataFrame:
+    """The state of each evidence: a review's verdict before any other status, unknown without one."""
+    e = load(spark, root, "status_registry").select("registry_id", F.explode("events").alias("e")).where("e.event_id IS NOT NULL AND e.evidence_id IS NOT NULL")
+    s = F.lower("e.status")
+    verdict = F.max(F.when(s.isin("accepted", "invalidated"), s))
+    return e.groupBy("registry_id", F.col("e.evidence_id").alias("evidence_id")).agg(F.coalesce(verdict, F.max(s), F.lit("unknown")).alias("state"))
 
 
 @query("SELECT lr, k, seed FROM (SELECT unnest([0.1, 0.01])::DOUBLE AS lr), (SELECT unnest([5, 10, 15]) AS k), (SELECT unnest([1, 2]) AS seed)")
 def sweep_grid(spark: SparkSession, root: str) -> DataFrame:
     """All settings of a sweep."""
-    rows = list(itertools.product([0.1, 0.01], [5, 10, 15], [1, 2]))
-    return spark.createDataFrame(rows, "lr double, k int, seed int")
+    grid = artefacts.expand_sweep({"optimizer": {"lr": 1.0}}, {"optimizer.lr": [0.1, 0.01], "k": [5, 10, 15], "seed": [1, 2]})
+    return spark.createDataFrame([(c["optimizer"]["lr"], c["k"], c["seed"]) for c in grid], "lr double, k int, seed int")
 
 
 @query(f"WITH {Z}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM z) SELECT id, round((x - x0) / (x1 - x0), 6) AS x, round((y - y0) / (y1 - y0), 6) AS y, label FROM z, b ORDER BY {_h(53, 'id')}, id LIMIT 200")

@@ -47,10 +47,22 @@ def test_ties_near_duplicates_and_short_lists(spark):
     assert knn.exact_knn(few.where("id < 0"), few, 10).count() == 0
 
 
-def test_declared_equals_blocks(spark):
-    v = vectors(spark, np.random.default_rng(2).normal(size=(40, 6)))
-    a = {(r["src"], r["dst"], r["rank"]) for r in knn.exact_knn(v, v, 4).collect()}
-    assert a == {(r["src"], r["dst"], r["rank"]) for r in knn.declared_knn(v, v, 4).collect()}
+def test_ranks_of_pairs(spark):
+    x = np.random.default_rng(2).normal(size=(40, 6))
+    v = vectors(spark, x)
+    full = brute(x, 39)
+    pairs = spark.createDataFrame([(0, 5), (0, 9), (3, 1), (39, 0)], "src long, dst long")
+    for block in (7, 4096):
+        got = {(r["src"], r["dst"]): r["rank"] for r in knn.ranks_of(pairs, v, block).collect()}
+        assert got == {(a, b): full[a].index(b) + 1 for a, b in got} and len(got) == 4
+
+
+def test_label_distances(spark):
+    x = np.random.default_rng(3).normal(size=(30, 2))
+    v = vectors(spark, x).selectExpr("id", "v", "id % 3 AS label")
+    for r in knn.label_distances(v.where("id < 4"), v, 7).collect():
+        d = [math.dist(x[r["id"]], x[j]) for j in range(30) if j % 3 == r["label"] and j != r["id"]]
+        assert r["n"] == len(d) and r["total"] == pytest.approx(sum(d))
 
 
 def test_inverted_lists_with_all_probes_are_exact(spark):
