@@ -6,14 +6,32 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once for each application: they need not find it where the driver does."""
+    context, here = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _SHIPPED or not here.is_dir():
+        return
+    _SHIPPED.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="quillmap-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/{here.name}.zip", "w") as z:
+        for path in sorted(here.rglob("*.py")):
+            z.write(path, f"{here.name}/{path.relative_to(here)}")
+    context.addPyFile(f"{folder}/{here.name}.zip")
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One table of a data folder; a single Parquet file and a folder of part files both work."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
