@@ -47,6 +47,7 @@ class PermutationIndex:
     parts: np.ndarray  # parts of each block
     salts: np.ndarray  # splits of each block's readers
     reach: int
+    k: int
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the nearest pivots of unit rows, in order."""
@@ -59,9 +60,12 @@ class PermutationIndex:
         # What a file's rows may reach: cosine of the mean direction plus three deviations of the rest.
         m = self.closeness[near]
         spread = np.sqrt(np.clip(1 - cosines**2, 0, 1) * np.clip(1 - m**2, 0, 1) / self.pivots.shape[1])
-        unsure = np.flatnonzero((cosines[:, :1] * m[:, :1] < cosines[:, 1:] * m[:, 1:] + 3 * spread[:, 1:]).any(axis=1))
-        for a in range(0, len(unsure), 512):
-            some = unsure[a : a + 512]
+        rivals = (cosines[:, :1] * m[:, :1] < cosines[:, 1:] * m[:, 1:] + 3 * spread[:, 1:]).any(axis=1)
+        # A file of hardly more rows than are asked for holds too few besides the query, whatever its closeness.
+        unsure = np.flatnonzero(rivals | (self.count[near[:, 0]] <= 2 * self.k))
+        tile = max(16, (1 << 20) // len(self.pivots))
+        for a in range(0, len(unsure), tile):
+            some = unsure[a : a + tile]
             files = self.ranked(near[some])
             upto = np.cumsum(self.count[files], axis=1)
             for i, row, total in zip(some, files, upto):
@@ -85,8 +89,9 @@ class PermutationIndex:
 def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     near, cosines = [], []
     length = min(length, len(pivots))
-    for a in range(0, len(rows), 1024):
-        s = rows[a : a + 1024] @ pivots.T
+    tile = max(64, (1 << 21) // len(pivots))  # a tile of cosines has the same size for any number of pivots
+    for a in range(0, len(rows), tile):
+        s = rows[a : a + tile] @ pivots.T
         top = np.argpartition(-s, length - 1, axis=1)[:, :length]
         c = np.take_along_axis(s, top, axis=1)
         o = np.argsort(-c, axis=1, kind="stable")
@@ -108,7 +113,7 @@ def sample_units(vectors: DataFrame, width: int, size: int) -> np.ndarray:
     return units(rows[np.argsort(priorities(ids), kind="stable")])
 
 
-def fit(vectors: DataFrame, width: int, sample: int = SAMPLE, separation: float = SEPARATION, block: int = BLOCK, reach: int = REACH, readers: float = 1.0) -> PermutationIndex | None:
+def fit(vectors: DataFrame, width: int, k: int, sample: int = SAMPLE, separation: float = SEPARATION, block: int = BLOCK, reach: int = REACH, readers: float = 1.0) -> PermutationIndex | None:
     """Pivots of a sample, and the sizes of their files over all rows. None if no vector is usable."""
     rows = sample_units(vectors, width, sample)
     if not len(rows):
@@ -144,7 +149,7 @@ def fit(vectors: DataFrame, width: int, sample: int = SAMPLE, separation: float
             room = block if n <= block else 0
         blocks[p] = len(parts) - 1
         room -= n if n <= block else 0
-    index = PermutationIndex(pivots, order, count, closeness, blocks, np.array(parts), np.ones(len(parts), np.int64), reach)
+    index = PermutationIndex(pivots, order, count, closeness, blocks, np.array(parts), np.ones(len(parts), np.int64), reach, k)
     # How many rows read each block beside its own is estimated from the sample, only to split the work evenly.
     reads = index.reads(*index.nearest(rows))
     load = np.bincount(np.concatenate([r[1:] for r in reads]), minlength=len(parts)) * (count.sum() / len(rows)) * (1 + readers)
@@ -245,7 +250,7 @@ def nearest_vectors(corpus: DataFrame, key: str, vector: str, width: int, k: int
     copies = _copies(base, width)
     single = base.join(copies.where("id != first").select(F.col("id").alias("i")), "i", "left_anti")
     more = asked.count() / max(1, base.count()) if asked is not None else 0.0
-    index = fit(base, width, readers=more, **settings)
+    index = fit(base, width, k, readers=more, **settings)
     if index is None:
         return base.sparkSession.createDataFrame([], "side string, id long, neighbor long, similarity double, rank int")
     placed = _place(single, index, width, 0)
