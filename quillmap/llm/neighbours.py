@@ -30,7 +30,7 @@ BLOCK = 4096
 #: Queries that read a block beside its own rows; more are split.
 READERS = 16_384
 #: Rows that a query meets at least if its own file may not hold its nearest.
-REACH = 16_384
+REACH = 32_768
 
 _LEFT, _RIGHT, _READER, _SHELF = range(4)
 
