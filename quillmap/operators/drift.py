@@ -12,13 +12,12 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmap.operators.shred import _KINDS, parse_record
-from quillmap.session import stage
+from quillmap.session import stage, unstage
 
 #: Costs of an edit script's steps.
 COSTS = {"added": 1.0, "removed": 1.0, "renamed": 0.5, "moved": 0.75, "retyped": 0.25}
@@ -189,43 +188,57 @@ def changes(members: DataFrame) -> DataFrame:
     return edit_scripts(members).select(F.col("later.file_name").alias("file_name"), kind.alias("change_kind"), "old_path", "new_path")
 
 
-def projections(scripts: DataFrame) -> DataFrame:
-    """``stream, written_at, file_name, path, name``: what a path that is renamed later is called in the end.
+def final_names(scripts: DataFrame) -> DataFrame:
+    """``stream, at, path, name``: each rename's old path, the last file that has it, and what it is called in the end.
 
-    ``written_at, file_name`` are of the last file that has the path under the old name; the projection holds for it and
-    the files before it, back to the path's last rename. A group is the renames of one stream, bounded by its files times
-    their changes.
+    Every rename points at the next one of the name it gives; pointers are doubled until none moves, so the number of
+    joins grows with the logarithm of the longest chain and no task holds a stream. Of several targets of one old path the
+    first by name goes on.
     """
-    renames = scripts.where(F.col("step").isin("renamed", "moved")).select("stream", F.col("before.written_at").alias("bt"), F.col("before.file_name").alias("bf"), "old_path", "new_path")
-    stamp = renames.schema["bt"].dataType.simpleString()
-
-    def compose(group: pd.DataFrame) -> pd.DataFrame:
-        final: dict[str, str] = {}
-        rows = []
-        for (t, f), step in sorted(group.groupby(["bt", "bf"]), key=lambda x: x[0], reverse=True):
-            now = {}
-            for a, b in sorted(zip(step["old_path"], step["new_path"])):
-                now.setdefault(a, final.get(b, b))
-            final |= now
-            rows += [(group["stream"].iloc[0], t, f, a, n) for a, n in now.items()]
-        return pd.DataFrame(rows, columns=["stream", "written_at", "file_name", "path", "name"])
-
-    return renames.groupBy("stream").applyInPandas(compose, f"stream string, written_at {stamp}, file_name string, path string, name string")
+    renames = scripts.where(F.col("step").isin("renamed", "moved"))
+    events = renames.groupBy("stream", F.col("before").alias("at"), F.col("old_path").alias("path")).agg(F.min_by(F.struct("later", "new_path"), "new_path").alias("to"))
+    events = stage(events.select("stream", "at", "path", F.col("to.later").alias("since"), F.col("to.new_path").alias("name")), "renames")
+    # In the order of a path's files, an arrival's next departure is the first rename of the path at or after its file.
+    arrivals = events.select("stream", F.col("name").alias("p"), F.col("since").alias("t"), F.struct("at", "path").alias("arrival"), F.lit(None).cast(events.select(F.struct("at", "path").alias("x")).schema["x"].dataType).alias("departure"), F.lit(0).alias("kind"))
+    leaving = events.select("stream", F.col("path").alias("p"), F.col("at").alias("t"), F.lit(None).cast(events.select(F.struct("at", "path").alias("x")).schema["x"].dataType).alias("arrival"), F.struct("at", "path").alias("departure"), F.lit(1).alias("kind"))
+    after = Window.partitionBy("stream", "p").orderBy("t", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    linked = arrivals.unionByName(leaving).withColumn("next", F.first("departure", True).over(after)).where("arrival IS NOT NULL").select("stream", F.col("arrival").alias("me"), "next")
+    state = events.select("stream", F.struct("at", "path").alias("me"), "name").join(linked, ["stream", "me"], "left")
+    held = None
+    while True:
+        state = stage(state.select("stream", "me", "name", "next"), "names")
+        if held is not None:
+            unstage(held)
+        held = state
+        if not state.where("next IS NOT NULL").head(1):
+            break
+        ahead = state.select("stream", F.col("me").alias("next"), F.col("name").alias("_name"), F.col("next").alias("_next"))
+        state = state.join(ahead, ["stream", "next"], "left").select("stream", "me", F.coalesce("_name", "name").alias("name"), F.col("_next").alias("next"))
+    return state.select("stream", F.col("me.at").alias("at"), F.col("me.path").alias("path"), "name")
+
+
+def projections(members: DataFrame, scripts: DataFrame) -> DataFrame:
+    """``stream, written_at, file_name, path, name``: for each file the paths that are called otherwise in the end.
+
+    A path of a file takes the first rename at or after the file.
+    """
+    at = F.struct("written_at", "file_name")
+    has = members.select("stream", "path", at.alias("t")).distinct()
+    events = final_names(scripts).select("stream", "path", F.col("at").alias("t"), "name")
+    both = has.withColumns({"name": F.lit(None).cast("string"), "kind": F.lit(0)}).unionByName(events.withColumn("kind", F.lit(1)))
+    after = Window.partitionBy("stream", "path").orderBy("t", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    named = both.withColumn("name", F.first("name", True).over(after)).where("kind = 0 AND name IS NOT NULL")
+    return named.select("stream", F.col("t.written_at").alias("written_at"), F.col("t.file_name").alias("file_name"), "path", "name")
 
 
 def consistent(members: DataFrame, scripts: DataFrame) -> DataFrame:
     """The members of all files under their last names: ``name`` beside the columns of ``members``.
 
-    A path takes the projection of the first rename at or after its file. Values stay text with their kind, so a member
-    whose type changes keeps all its values.
+    The projections, a row for each renamed path of a file, are joined to the members. Values stay text with their kind,
+    so a member whose type changes keeps all its values.
     """
-    p = projections(scripts).withColumnsRenamed({"written_at": "_t", "file_name": "_f", "path": "_p", "stream": "_s"})
-    at = F.struct(F.col("_t"), F.col("_f"))
-    plan = p.groupBy("_s", "_p").agg(F.sort_array(F.collect_list(F.struct(at.alias("upto"), "name"))).alias("_plan"))
-    met = members.join(plan, (members["stream"] == plan["_s"]) & (members["path"] == plan["_p"]), "left").drop("_s", "_p")
-    here = F.struct(F.col("written_at").alias("_t"), F.col("file_name").alias("_f"))
-    first = F.get(F.filter("_plan", lambda x: x["upto"] >= here), F.lit(0))
-    return met.withColumn("name", F.coalesce(first["name"], F.col("path"))).drop("_plan")
+    renamed = projections(members, scripts)
+    return members.join(renamed, [*FILE, "path"], "left").withColumn("name", F.coalesce("name", "path"))
 
 
 def wide_table(named: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -26,5 +26,5 @@ def p3_scripts(spark: SparkSession, root: str) -> DataFrame:
 def p3_table(spark: SparkSession, root: str) -> DataFrame:
     """All lines as one table: a row for each member under its last name."""
     members = _members(spark, root, ["line_id", *drift.FILE])
-    named = drift.consistent(members, drift.edit_scripts(members))
+    named = drift.consistent(members, stage(drift.edit_scripts(members), "scripts"))
     return named.where(F.col("kind") != "object").select("line_id", "stream", "file_name", F.col("run").alias("run_dir"), "name", "kind", "value")

@@ -75,3 +75,11 @@ def test_plan_equals_exhaustive_script(spark):
     new = {"run_dir": "string", "d": "number", "e": "boolean", "o": "object", "o.x": "number", "f": "number"}
     agree = [("a", "d"), ("a", "f"), ("b", "d"), ("b", "f")]
     assert got == {s[:3] for s in drift.edit_script(old, new, agree)}
+
+
+def test_long_chains_and_names_used_again(spark):
+    names = ["a", "b", "c", "a", "d", "e", "f", "g", "b"]
+    files = [("s", f"{i:02d}", i, [{"run_dir": "r", n: 7, "other": i}]) for i, n in enumerate(names)]
+    members = drift.member_rows(lines(spark, files), ["line_id", *drift.FILE])
+    named = drift.consistent(members, drift.edit_scripts(members)).where("value = '7' AND path != 'other'")
+    assert sorted((r["file_name"], r["path"], r["name"]) for r in named.collect()) == [(f"{i:02d}", n, "b") for i, n in enumerate(names)]
