@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -109,10 +110,19 @@ def sample_units(vectors: DataFrame, width: int, size: int) -> np.ndarray:
     draw = F.shiftrightunsigned(F.xxhash64("i"), 11).cast("double") * F.lit(2.0**-53)
     table = (vectors if share == 1.0 else vectors.where(draw < share)).toArrow()
     at, rows = usable_rows(table.column("v"), width)
+    if not len(at) and share < 1.0:  # hardly any row is usable: look among those that are
+        table = vectors.mapInArrow(partial(_usable_only, width=width), vectors.schema).limit(size).toArrow()
+        at, rows = usable_rows(table.column("v"), width)
     ids = table.column("i").to_numpy()[at]
     return units(rows[np.argsort(priorities(ids), kind="stable")])
 
 
+def _usable_only(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, _ = usable_rows(batch.column(1), width)
+        yield batch.take(pa.array(at, pa.int64()))
+
+
 def fit(vectors: DataFrame, width: int, k: int, sample: int = SAMPLE, separation: float = SEPARATION, block: int = BLOCK, reach: int = REACH, readers: float = 1.0) -> PermutationIndex | None:
     """Pivots of a sample, and the sizes of their files over all rows. None if no vector is usable."""
     rows = sample_units(vectors, width, sample)

@@ -119,6 +119,14 @@ def test_small_and_empty(spark):
     assert sorted((r["id"], r["neighbor"], r["similarity"]) for r in two) == [(0, 1, 1.0), (1, 0, 1.0)]
 
 
+def test_hardly_any_usable_row(spark):
+    x = [None] * 400 + [[1, 0], [1, 0.1], [0, 1]] + [[0, 0]] * 400
+    got = lists(nearest_vectors(table(spark, x), "vec_id", "vector", 2, 1, sample=2))
+    assert got == {("corpus", 400): [401], ("corpus", 401): [400], ("corpus", 402): [401]}
+    found = similarity_clusters(table(spark, x), "vec_id", "vector", 2, 0.85, 1, batch=2).collect()
+    assert sorted(tuple(r) for r in found) == [(400, 400, 2), (401, 400, 2), (402, 402, 1)]
+
+
 def components(x, least):
     w = x.astype(np.float64)
     w /= np.linalg.norm(w, axis=1)[:, None]
