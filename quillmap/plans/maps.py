@@ -107,7 +107,7 @@ def low_similarity_kernel(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- neighbours
 
-_NEAR = "SELECT src, dst, rank, round(dist, 6) AS dist FROM n"
+_NEAR = "SELECT src, dst, rank::INTEGER AS rank, round(dist, 6) AS dist FROM n"
 
 
 @query(f"WITH {E}, {knn_sql('n', 'e')} {_NEAR}")
@@ -142,7 +142,7 @@ def knn_cross(spark: SparkSession, root: str) -> DataFrame:
     return knn.exact_knn(asked(p), p.where("id % 2 = 1"), K, exclude_self=False).select("src", "dst", "rank", r6("dist"))
 
 
-@query(f"WITH {E}, {knn_sql('n', 'e', 15)}, s AS (SELECT 5 AS k UNION ALL SELECT 10 UNION ALL SELECT 15) SELECT k::INTEGER AS k, src, dst, rank FROM n JOIN s ON rank <= k")
+@query(f"WITH {E}, {knn_sql('n', 'e', 15)}, s AS (SELECT 5 AS k UNION ALL SELECT 10 UNION ALL SELECT 15) SELECT k::INTEGER AS k, src, dst, rank::INTEGER AS rank FROM n JOIN s ON rank <= k")
 def knn_several_k(spark: SparkSession, root: str) -> DataFrame:
     """The longest list once, cut to several lengths."""
     n = space_knn(spark, root, 15)

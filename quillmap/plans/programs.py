@@ -111,7 +111,7 @@ def out_of_domain_panel(spark: SparkSession, root: str) -> DataFrame:
     return per.crossJoin(met.agg(F.avg("recall").alias("all"))).select("label", r6("ffr"), F.round(F.col("ffr") / F.col("all"), 6).alias("retention"))
 
 
-@query(f"WITH {E}, {knn_sql('n', 'e')} SELECT src, dst, rank FROM n")
+@query(f"WITH {E}, {knn_sql('n', 'e')} SELECT src, dst, rank::INTEGER AS rank FROM n")
 def cached_truth(spark: SparkSession, root: str) -> DataFrame:
     """The map-independent neighbours, written under a key of their data and settings and read back at the next use."""
     p = points(spark, root)
@@ -149,7 +149,7 @@ def faithfulness(spark: SparkSession, root: str) -> DataFrame:
     return c.agg(F.round(F.min("c"), 6).alias("row_floor"), F.round(F.avg("c"), 6).alias("mean"), (F.min("c") >= 0.95).alias("rows_ok"), (F.avg("c") >= 0.98).alias("mean_ok"))
 
 
-@query(f"WITH {_RUNS}, p AS (SELECT stream, run_dir, row_number() OVER (PARTITION BY stream ORDER BY ffr DESC, run_dir) AS place, ffr FROM a) SELECT stream, run_dir, place, round(ffr, 6) AS ffr FROM p WHERE place <= 3")
+@query(f"WITH {_RUNS}, p AS (SELECT stream, run_dir, row_number() OVER (PARTITION BY stream ORDER BY ffr DESC, run_dir) AS place, ffr FROM a) SELECT stream, run_dir, place::INTEGER AS place, round(ffr, 6) AS ffr FROM p WHERE place <= 3")
 def gallery_order(spark: SparkSession, root: str) -> DataFrame:
     """The best three runs of each stream in order."""
     from quillmap.plans.tables import _runs

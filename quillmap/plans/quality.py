@@ -208,7 +208,7 @@ def spatial_bins(spark: SparkSession, root: str) -> DataFrame:
     return metrics.spatial_bins(flat_map(spark, root), o).select("bx", F.col("by").alias("by_"), "n", r6("jaccard"))
 
 
-@query(f"WITH {E}, {knn_sql('r', 'e', None)} SELECT src, dst, rank FROM r")
+@query(f"WITH {E}, {knn_sql('r', 'e', None)} SELECT src, dst, rank::INTEGER AS rank FROM r")
 def rank_matrix(spark: SparkSession, root: str) -> DataFrame:
     """The rank of every point from every anchor."""
     p = points(spark, root)
