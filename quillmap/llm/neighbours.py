@@ -1,9 +1,9 @@
 """The k most similar vectors of every vector, by a permutation index.
 
 A vector is represented by its nearest pivots in order, and posted in the inverted file of the nearest. A query reads its
-own file; unless the pivots show that no other file can hold as similar vectors, it also reads further files, ranked by
-the footrule distance between its order of pivots and the file's, until enough rows are met. All rows of the files read
-are reranked by exact cosines.
+own file; unless the pivots show that no other file can hold as similar vectors, it also reads the files of the near
+pivots that can, and further files, ranked by the footrule distance between its order of pivots and the file's, until
+enough rows are met. All rows of the files read are reranked by exact cosines.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ PREFIX = 8
 BLOCK = 4096
 #: Queries that read a block beside its own rows; more are split.
 READERS = 16_384
-#: Rows that a query meets at least if its own file may not hold its nearest.
+#: Rows outside its own file that a query meets at least if that may not hold its nearest. A file that holds more by itself
+#: counts as a PREFIX-th of this, so that a few such files don't end the reading.
 REACH = 32_768
 
 _LEFT, _RIGHT, _READER, _SHELF = range(4)
@@ -61,17 +62,18 @@ class PermutationIndex:
         # What a file's rows may reach: cosine of the mean direction plus three deviations of the rest.
         m = self.closeness[near]
         spread = np.sqrt(np.clip(1 - cosines**2, 0, 1) * np.clip(1 - m**2, 0, 1) / self.pivots.shape[1])
-        rivals = (cosines[:, :1] * m[:, :1] < cosines[:, 1:] * m[:, 1:] + 3 * spread[:, 1:]).any(axis=1)
+        rivals = cosines[:, :1] * m[:, :1] < cosines[:, 1:] * m[:, 1:] + 3 * spread[:, 1:]
         # A file of hardly more rows than are asked for holds too few besides the query, whatever its closeness.
-        unsure = np.flatnonzero(rivals | (self.count[near[:, 0]] <= 2 * self.k))
+        unsure = np.flatnonzero(rivals.any(axis=1) | (self.count[near[:, 0]] <= 2 * self.k))
+        weight = np.where(self.count > self.reach, -(-self.reach // PREFIX), self.count)
         tile = max(16, (1 << 20) // len(self.pivots))
         for a in range(0, len(unsure), tile):
             some = unsure[a : a + tile]
             files = self.ranked(near[some])
-            upto = np.cumsum(self.count[files], axis=1)
+            upto = np.cumsum(np.where(files == near[some, :1], 0, weight[files]), axis=1)
             for i, row, total in zip(some, files, upto):
                 seen = row[: np.searchsorted(total, self.reach) + 1]
-                blocks = self.block[seen]
+                blocks = self.block[np.concatenate([seen, near[i, 1:][rivals[i]]])]
                 out[i] = np.concatenate([home[i : i + 1], np.setdiff1d(blocks, home[i : i + 1])])
         return out
 
@@ -124,7 +126,10 @@ def _usable_only(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 
 def fit(vectors: DataFrame, width: int, k: int, sample: int = SAMPLE, separation: float = SEPARATION, block: int = BLOCK, reach: int = REACH, readers: float = 1.0) -> PermutationIndex | None:
-    """Pivots of a sample, and the sizes of their files over all rows. None if no vector is usable."""
+    """Pivots of a sample, and the sizes of their files over all rows. None if no vector is usable.
+
+    ``vectors``: the rows that are posted, without copies.
+    """
     rows = sample_units(vectors, width, sample)
     if not len(rows):
         return None
@@ -259,8 +264,8 @@ def nearest_vectors(corpus: DataFrame, key: str, vector: str, width: int, k: int
     asked = queries.select(queries[query_key].cast("long").alias("i"), queries[query_vector].cast("array<float>").alias("v")).where(F.col("i").isNotNull()) if queries is not None else None
     copies = _copies(base, width)
     single = base.join(copies.where("id != first").select(F.col("id").alias("i")), "i", "left_anti")
-    more = asked.count() / max(1, base.count()) if asked is not None else 0.0
-    index = fit(base, width, k, readers=more, **settings)
+    more = asked.count() / max(1, single.count()) if asked is not None else 0.0
+    index = fit(single, width, k, readers=more, **settings)
     if index is None:
         return base.sparkSession.createDataFrame([], "side string, id long, neighbor long, similarity double, rank int")
     placed = _place(single, index, width, 0)

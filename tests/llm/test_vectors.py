@@ -94,6 +94,38 @@ def test_recall_of_the_index(spark, monkeypatch):
     assert sum(len(set(got[k]) & set(v)) for k, v in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
+def test_large_files_do_not_end_the_reading():
+    pivots = units(np.random.default_rng(8).normal(size=(12, 6)))
+    order = neighbours.nearest_pivots(pivots, pivots, 8)[0]
+    count = np.full(12, 30)
+    count[:2] = 5000  # the home of one query, and the first rival of another
+    ix = neighbours.PermutationIndex(pivots, order, count, np.full(12, 0.9), np.arange(12), np.ones(12, np.int64), np.ones(12, np.int64), 100, 10)
+    rng = np.random.default_rng(9)
+    near, cosines = ix.nearest(units(np.concatenate([pivots[0] + 0.4 * rng.normal(size=(200, 6)), pivots[5] + 0.4 * rng.normal(size=(200, 6))])))
+    m = ix.closeness[near]
+    spread = np.sqrt((1 - cosines**2) * (1 - m**2) / 6)
+    rivals = cosines[:, :1] * m[:, :1] < cosines[:, 1:] * m[:, 1:] + 3 * spread[:, 1:]
+    seen = [0, 0]
+    for n, read in enumerate(ix.reads(near, cosines)):
+        others = read[1:]
+        assert read[0] == near[n, 0] and near[n, 0] not in others
+        assert set(near[n, 1:][rivals[n]]) <= set(others)
+        if rivals[n].any():
+            seen[0] += near[n, 0] < 2
+            seen[1] += near[n, 0] >= 2 and min(others) < 2
+            assert count[others][count[others] <= 100].sum() + 13 * (count[others] > 100).sum() >= 100
+    assert min(seen) > 20
+
+
+def test_index_is_fitted_on_what_is_posted(spark, monkeypatch):
+    x = np.concatenate([np.tile(mixture(1, 12, 1, 5), (300, 1)), mixture(200, 12, 10, 6)])
+    fitted = []
+    fit = neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *a, **s: fitted.append(fit(*a, **s)) or fitted[-1])
+    nearest_vectors(table(spark, x), "vec_id", "vector", 12, 5)
+    assert fitted[0].count.sum() == 201
+
+
 def test_exact_where_everything_is_read(spark):
     x = mixture(400, 12, 10, 4)
     got = lists(nearest_vectors(table(spark, x), "vec_id", "vector", 12, 7, block=60, reach=10_000, sample=200))
