@@ -9,11 +9,14 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmap.session import stage
+
 #: Members under which a record may be wrapped before it is stored.
 WRAPPERS = ("payload",)
 _KINDS = {str: "string", bool: "boolean", int: "number", float: "number", type(None): "null", list: "array", dict: "object"}
@@ -140,3 +143,34 @@ class Shredded:
     def with_fields(self, entities: DataFrame, *labels: str) -> DataFrame:
         """Entities with columns of their scalar members; missing and null ones are null."""
         return entities.join(self.fields(*labels), [*self.id, "node"], "left")
+
+    def with_own(self, entities: DataFrame, name: str) -> DataFrame:
+        """Entities with their own scalar as text; objects and arrays have none."""
+        return entities.join(self.nodes.select(*self.id, "node", F.col("scalar").alias(name)), [*self.id, "node"], "left")
+
+    def values(self, entities: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+        """Every scalar at any depth below entities: ``key, doc, node`` of the entity, ``path, kind, value``; nulls have none.
+
+        A path is the chain of labels, in arrays of places, joined by dots; a dot in a label is written ``\\.``. Objects and
+        arrays named in ``apart`` right below an entity are left out, being entities of their own.
+        """
+        child = self.nodes.where("kind != 'null'").select(*self.id, F.col("parent").alias("_at"), F.col("node").alias("_node"), "label", "ordinal", "kind", "scalar")
+        level = entities.select(*self.id, "node", F.col("node").alias("_at"), F.lit("").alias("path"), F.lit("object").alias("_in")).distinct()
+        parts, inner = [], F.col("kind").isin("object", "array")
+        while True:
+            below = level.join(child, [*self.id, "_at"]).drop("_at")
+            if not parts:
+                below = below.where(~(inner & F.col("label").isin(*apart)))
+            step = F.when(F.col("_in") == "array", F.col("ordinal").cast("string")).otherwise(F.replace("label", F.lit("."), F.lit("\\.")))
+            path = step if not parts else F.concat("path", F.lit("."), step)
+            below = stage(below.select(*self.id, "node", F.col("_node").alias("_at"), path.alias("path"), F.col("kind"), "scalar"), "values")
+            parts.append(below.where(~inner).select(*self.id, "node", "path", "kind", F.col("scalar").alias("value")))
+            level = below.where(inner).select(*self.id, "node", "_at", "path", F.col("kind").alias("_in"))
+            if level.isEmpty():
+                return reduce(DataFrame.unionByName, parts)
+
+    def with_values(self, entities: DataFrame, **paths: str) -> DataFrame:
+        """Entities with a text column for each path below them; missing and null ones are null."""
+        found = self.values(entities).where(F.col("path").isin(*paths.values())).groupBy(*self.id, "node")
+        wide = found.agg(*[F.max(F.when(F.col("path") == p, F.col("value"))).alias(c) for c, p in paths.items()])
+        return entities.join(wide, [*self.id, "node"], "left")

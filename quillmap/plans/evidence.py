@@ -36,6 +36,12 @@ class EvidenceTables:
         t = self.shredded
         return t.children(t.member(self.panels, "purity"), "purity", kinds=None)
 
+    @cached_property
+    def arm_means(self) -> DataFrame:
+        t = self.shredded
+        metrics = t.children(t.member(self.corpora, "arm_means"), "metric")
+        return t.with_own(t.children(metrics, "arm", kinds=None), "mean").dropna(subset=["metric", "arm"])
+
     @cached_property
     def corpora(self) -> DataFrame:
         t = self.shredded
@@ -107,3 +113,82 @@ def p2_deltas(spark: SparkSession, root: str) -> DataFrame:
 def p2_signatures(spark: SparkSession, root: str) -> DataFrame:
     r = RegistryTables(load(spark, root, "status_registry"))
     return r.signatures.select("registry_id", "event_id", "path", "sha256").distinct()
+
+
+_FIELDS = {
+    "run": {"run_dir": "string", "wall_s": "double", "ffr": "double", "purity_k256": "double", "purity_k1024": "double", "density": "double", "recall@k": "double", "hiD_reference_key": "string", "no_model_reference": "boolean"},
+    "panel": {
+        "schema": "string", "n": "bigint", "k_hit": "bigint", "anchor_seed": "bigint", "anchor_hash": "string",
+        "provenance.scorer": "string", "provenance.device": "string", "provenance.coords_sha": "string", "provenance.peak_gpu_gb": "double",
+        "guards.coords_finite": "boolean", "guards.emb_zero_rows": "bigint", "guards.hit_guard.boundary_min_gap": "double", "guards.hit_guard.overselect": "bigint",
+    },
+    "corpus": {"reference_key": "string", "n_maps": "bigint", "evaluator_wall_peak.max_wall_s": "double", "evaluator_wall_peak.wall_ok": "boolean"},
+}
+
+
+def column_of(path: str) -> str:
+    return path.replace("@", "_at_").replace(".", "_")
+
+
+def _wide(e: EvidenceTables, entities: DataFrame, fields: dict[str, str], *keys: str) -> DataFrame:
+    wide = e.shredded.with_values(entities, **{column_of(p): p for p in fields})
+    return wide.select(*keys, *[F.expr(f"try_cast({column_of(p)} as {kind})").alias(column_of(p)) for p, kind in fields.items()]).distinct()
+
+
+def p2_runs_full(spark: SparkSession, root: str) -> DataFrame:
+    """The table of runs with all the scalars that runs have; what else a body holds is in p2_values."""
+    e = EvidenceTables(load(spark, root, "evidence_docs"))
+    return _wide(e, e.runs, _FIELDS["run"], "record_id", "run")
+
+
+def p2_panels(spark: SparkSession, root: str) -> DataFrame:
+    """The table of full panels with their provenance and guards, each under its run."""
+    e = EvidenceTables(load(spark, root, "evidence_docs"))
+    return _wide(e, e.panels, _FIELDS["panel"], "record_id", "run")
+
+
+def p2_purities(spark: SparkSession, root: str) -> DataFrame:
+    e = EvidenceTables(load(spark, root, "evidence_docs"))
+    return e.shredded.with_own(e.purities, "value").select("record_id", "run", "purity", F.expr("try_cast(value as double)").alias("value")).distinct()
+
+
+def p2_corpora(spark: SparkSession, root: str) -> DataFrame:
+    """The table of corpora; their arms' means are in p2_arm_means."""
+    e = EvidenceTables(load(spark, root, "evidence_docs"))
+    return _wide(e, e.corpora, _FIELDS["corpus"], "record_id", "corpus")
+
+
+def p2_arm_means(spark: SparkSession, root: str) -> DataFrame:
+    e = EvidenceTables(load(spark, root, "evidence_docs"))
+    return e.arm_means.select("record_id", "corpus", "metric", "arm", F.expr("try_cast(mean as double)").alias("mean")).distinct()
+
+
+def values_found(docs: DataFrame) -> DataFrame:
+    """``record_id, entity, parent_key, child_key, path, kind, value``: every scalar of every record and of its children."""
+    e, top = EvidenceTables(docs), F.lit("")
+    apart = {"record": CONTENT, "run": ("panel_full",), "corpus": ("paired_deltas",)}
+    parts = [
+        ("record", e.shredded.root(), top, top),
+        ("run", e.runs, top, F.col("run")),
+        ("panel", e.panels, F.col("run"), F.lit("panel_full")),
+        ("corpus", e.corpora, top, F.col("corpus")),
+        ("delta", e.deltas, F.col("corpus"), F.concat_ws("/", "contrast", "metric")),
+    ]
+    out = []
+    for entity, entities, parent, child in parts:
+        keyed = entities.select("record_id", "doc", "node", parent.alias("parent_key"), child.alias("child_key"))
+        met = keyed.join(e.shredded.values(entities, apart.get(entity, ())), ["record_id", "doc", "node"])
+        out.append(met.select("record_id", F.lit(entity).alias("entity"), "parent_key", "child_key", "path", "kind", "value"))
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def p2_values(spark: SparkSession, root: str) -> DataFrame:
+    return values_found(load(spark, root, "evidence_docs"))
+
+
+def p2_events(spark: SparkSession, root: str) -> DataFrame:
+    """The table of events with all their members but the signatures; the column is typed, so times keep their microseconds."""
+    e = load(spark, root, "status_registry").select("registry_id", F.explode("events").alias("e")).where("e.event_id IS NOT NULL")
+    plain = [F.col(f"e.{c}").alias(c) for c in ("event_id", "evidence_id", "recorded_utc", "status", "reason")]
+    source = [F.col(f"e.reviewer_source.{c}").alias(f"reviewer_source_{c}") for c in ("uri", "sha256")]
+    return e.select("registry_id", *plain, *source, "e.replaces", "e.superseded_by", "e.diagnostic_only").distinct()

@@ -7,7 +7,10 @@ from quillmap.plans import base, evidence, maps, panels, programs, quality, tabl
 QUERIES, SQL = base.QUERIES, base.SQL
 MODULES = (evidence, maps, panels, programs, quality, tables)
 
-for _f in (evidence.p2_found, evidence.p2_runs, evidence.p2_deltas, evidence.p2_signatures, panels.p3_found, panels.p3_scripts, panels.p3_table):
+for _f in (
+    evidence.p2_found, evidence.p2_runs, evidence.p2_deltas, evidence.p2_signatures, evidence.p2_runs_full, evidence.p2_panels, evidence.p2_purities, evidence.p2_corpora,
+    evidence.p2_arm_means, evidence.p2_values, evidence.p2_events, panels.p3_found, panels.p3_scripts, panels.p3_table,
+):
     QUERIES[_f.__name__] = _f
 
 SQL["p2_signatures"] = """
@@ -51,6 +54,26 @@ SQL["p2_runs"] = f"""{_BODIES}
     SELECT DISTINCT record_id, run, {_FIELD.format("run_dir", "VARCHAR", "run_dir")}, {_FIELD.format("wall_s", "DOUBLE", "wall_s")}, {_FIELD.format("ffr", "DOUBLE", "ffr")}, {_FIELD.format("density", "DOUBLE", "density")},
         {_FIELD.format("recall@k", "DOUBLE", "recall_at_k")}, {_FIELD.format("hiD_reference_key", "VARCHAR", "hiD_reference_key")}, {_FIELD.format("no_model_reference", "BOOLEAN", "no_model_reference")} FROM runs_"""
 
+def _wide(of: str, fields: dict[str, str]) -> str:
+    types = {"string": "VARCHAR"}
+    return ", ".join(f"try_cast(json_extract_string({of}, '$." + ".".join(f'"{x}"' for x in p.split(".")) + f"') AS {types.get(k, k)}) AS {evidence.column_of(p)}" for p, k in fields.items())
+
+
+SQL["p2_runs_full"] = f"{_BODIES} SELECT DISTINCT record_id, run, {_wide('e', evidence._FIELDS['run'])} FROM runs_"
+SQL["p2_panels"] = f"{_BODIES} SELECT DISTINCT record_id, run, {_wide('p', evidence._FIELDS['panel'])} FROM panels"
+SQL["p2_corpora"] = f"{_BODIES} SELECT DISTINCT record_id, corpus, {_wide('e', evidence._FIELDS['corpus'])} FROM corpora_"
+SQL["p2_purities"] = f"""{_BODIES} SELECT DISTINCT record_id, run, u.k AS purity, try_cast(json_extract_string(p, '$.purity."' || u.k || '"') AS DOUBLE) AS value
+    FROM (SELECT record_id, run, p, unnest(json_keys(json_extract(p, '$.purity'))) AS k FROM panels WHERE json_type(p, '$.purity') = 'OBJECT') u WHERE json_type(p, '$.purity."' || u.k || '"') <> 'NULL'"""
+SQL["p2_arm_means"] = f"""{_BODIES},
+    am AS (SELECT record_id, corpus, json_extract(e, '$.arm_means') AS a FROM corpora_ WHERE json_type(e, '$.arm_means') = 'OBJECT'),
+    mt AS (SELECT record_id, corpus, k AS metric, json_extract(a, '$."' || k || '"') AS m FROM (SELECT *, unnest(json_keys(a)) AS k FROM am)),
+    ar AS (SELECT record_id, corpus, metric, k AS arm, m FROM (SELECT *, unnest(json_keys(m)) AS k FROM mt WHERE json_type(m) = 'OBJECT'))
+    SELECT DISTINCT record_id, corpus, metric, arm, try_cast(json_extract_string(m, '$."' || arm || '"') AS DOUBLE) AS mean FROM ar WHERE json_type(m, '$."' || arm || '"') <> 'NULL'"""
+SQL["p2_events"] = """
+    SELECT DISTINCT registry_id, e.event_id AS event_id, e.evidence_id AS evidence_id, e.recorded_utc AS recorded_utc, e.status AS status, e.reason AS reason, e.reviewer_source.uri AS reviewer_source_uri,
+        e.reviewer_source.sha256 AS reviewer_source_sha256, e.replaces AS replaces, e.superseded_by AS superseded_by, e.diagnostic_only AS diagnostic_only
+    FROM (SELECT registry_id, unnest(events) AS e FROM status_registry) WHERE e.event_id IS NOT NULL"""
+
 SQL["p3_found"] = """
     WITH RECURSIVE w AS (SELECT DISTINCT stream, file_name, written_at, body::JSON AS j FROM panel_lines WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
     m(stream, file_name, written_at, run, path, kind, v) AS (

@@ -84,3 +84,27 @@ def test_nested_columns(spark):
     df = spark.createDataFrame([(7, [("e", None)], 1)], "k long, events array<struct<id:string,v:int>>, other int")
     rows = {(r["label"], r["kind"], r["scalar"]) for r in shred_columns(df, "k", "events").collect()}
     assert ("id", "string", "e") in rows and ("events", "array", None) in rows
+
+
+def test_every_scalar_is_kept(spark):
+    from quillmap.plans.evidence import values_found
+
+    run = {"purity_k256": 0.5, "new": {"a.b": [1, None, {"c": True}]}, "no": None, "panel_full": {"n": 3, "guards": {"hit_guard": {"overselect": 8}}, "purity": {"k64": 0.25}}}
+    body = {"seed": 7, "runs": {"a": run, "b": {}}, "corpora": [{"corpus": "x", "n_maps": 6, "arm_means": {"ffr": {"p": 0.5}}, "paired_deltas": [{"contrast": "p", "metric": "m", "mean": 1.5}]}]}
+    docs = spark.createDataFrame([(1, json.dumps(body)), (1, json.dumps(body)), (2, None)], "record_id long, body string")
+    got = {tuple(r)[1:] for r in values_found(docs).collect() if r["record_id"] == 1}
+    assert got == {
+        ("record", "", "", "seed", "number", "7"),
+        ("run", "", "a", "purity_k256", "number", "0.5"),
+        ("run", "", "a", "new.a\\.b.0", "number", "1"),
+        ("run", "", "a", "new.a\\.b.2.c", "boolean", "true"),
+        ("panel", "a", "panel_full", "n", "number", "3"),
+        ("panel", "a", "panel_full", "guards.hit_guard.overselect", "number", "8"),
+        ("panel", "a", "panel_full", "purity.k64", "number", "0.25"),
+        ("corpus", "", "x", "corpus", "string", "x"),
+        ("corpus", "", "x", "n_maps", "number", "6"),
+        ("corpus", "", "x", "arm_means.ffr.p", "number", "0.5"),
+        ("delta", "x", "p/m", "contrast", "string", "p"),
+        ("delta", "x", "p/m", "metric", "string", "m"),
+        ("delta", "x", "p/m", "mean", "number", "1.5"),
+    }
