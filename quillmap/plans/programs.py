@@ -12,6 +12,7 @@ from quillmap.functions import vector as vec
 from quillmap.operators import artefacts, checks, graph, knn, projector, sampling
 from quillmap.operators.metrics import as_points as knn_points
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, map_knn, points, query, r6, space_knn
+from quillmap.plans.quality import _frac
 from quillmap.plans.tables import _h, _RUNS
 from quillmap.session import load, shared_dir, stage
 from quillmap.sources.readers import read_table
@@ -102,9 +103,22 @@ def held_out_queries(spark: SparkSession, root: str) -> DataFrame:
     SELECT label, round(ffr, 6) AS ffr, round(ffr / (SELECT avg(ffr) FROM f), 6) AS retention FROM g"""
 )
 def out_of_domain_panel(spark: SparkSession, root: str) -> DataFrame:
-    """Fixed-fraction recall of each group of queries, over that of all."""
+    """Recall of each group of queries among 50 neighbours, over that of all."""
+    return _out_of_domain(spark, root, 50)
+
+
+@query(
+    f"""WITH {E}, {Z}, {knn_sql('h', 'e')}, {knn_sql('l', 'z', None)}, s AS (SELECT greatest({K}, ceil(count(*) * 0.01)) AS k FROM e), f AS (SELECT h.src, count(l.dst) FILTER (l.rank <= k) / 10 AS ffr FROM h CROSS JOIN s LEFT JOIN l ON l.src = h.src AND l.dst = h.dst GROUP BY h.src), g AS (SELECT label, avg(ffr) AS ffr FROM f JOIN e ON e.id = src GROUP BY label)
+    SELECT label, round(ffr, 6) AS ffr, round(ffr / (SELECT avg(ffr) FROM f), 6) AS retention FROM g"""
+)
+def out_of_domain_panel_frac(spark: SparkSession, root: str) -> DataFrame:
+    """The same among the nearest max(10, 1 %): fixed-fraction recall."""
+    return _out_of_domain(spark, root, _frac(points(spark, root).count()))
+
+
+def _out_of_domain(spark: SparkSession, root: str, k: int) -> DataFrame:
     p = points(spark, root)
-    lo = map_knn(spark, root, 50)
+    lo = map_knn(spark, root, k)
     f = knn.recall(lo, space_knn(spark, root), K).select(F.col("src").alias("id"), "recall")
     met = f.join(p.select("id", "label"), "id")
     per = met.groupBy("label").agg(F.avg("recall").alias("ffr"))

@@ -171,10 +171,26 @@ def neighbourhood_hit(spark: SparkSession, root: str) -> DataFrame:
     SELECT round(hi, 6) AS space_purity, round(lo, 6) AS map_purity, round(lo / hi, 6) AS purity FROM p, q"""
 )
 def region_purity(spark: SparkSession, root: str) -> DataFrame:
-    """Label agreement of a share of neighbours in the map over the same in the space."""
+    """Label agreement of 25 neighbours in the map over the same in the space."""
+    return _region_purity(spark, root, 25)
+
+
+_SHARE = f"f AS (SELECT greatest({K}, ceil(count(*) * 0.01)) AS k FROM e)"
+
+
+@query(
+    f"""WITH {E}, {Z}, {knn_sql('h', 'e', None)}, {knn_sql('l', 'z', None)}, {_SHARE}, p AS (SELECT avg((a.label = b.label)::INTEGER) AS hi FROM h JOIN z a ON a.id = src JOIN z b ON b.id = dst, f WHERE rank <= k), q AS (SELECT avg((a.label = b.label)::INTEGER) AS lo FROM l JOIN z a ON a.id = src JOIN z b ON b.id = dst, f WHERE rank <= k)
+    SELECT round(hi, 6) AS space_purity, round(lo, 6) AS map_purity, round(lo / hi, 6) AS purity FROM p, q"""
+)
+def region_purity_frac(spark: SparkSession, root: str) -> DataFrame:
+    """The same of the nearest max(10, 1 %)."""
+    return _region_purity(spark, root, _frac(points(spark, root).count()))
+
+
+def _region_purity(spark: SparkSession, root: str, k: int) -> DataFrame:
     labels = points(spark, root).select("id", "label")
-    hi = metrics.label_agreement(space_knn(spark, root, 25), labels).agg(F.avg("share").alias("space_purity"))
-    lo = metrics.label_agreement(map_knn(spark, root, 25), labels).agg(F.avg("share").alias("map_purity"))
+    hi = metrics.label_agreement(space_knn(spark, root, k), labels).agg(F.avg("share").alias("space_purity"))
+    lo = metrics.label_agreement(map_knn(spark, root, k), labels).agg(F.avg("share").alias("map_purity"))
     return hi.crossJoin(lo).select(r6("space_purity"), r6("map_purity"), F.round(F.col("map_purity") / F.col("space_purity"), 6).alias("purity"))
 
 
@@ -311,14 +327,29 @@ def per_point_diagnostics(spark: SparkSession, root: str) -> DataFrame:
     (SELECT round(avg((x.label = y.label)::INTEGER), 6) FROM l JOIN z x ON x.id = src JOIN z y ON y.id = dst) AS purity"""
 )
 def decision_panel(spark: SparkSession, root: str) -> DataFrame:
-    """Recall, fixed-fraction recall, density and purity from one neighbour table of each side."""
-    hi, lo = stage(space_knn(spark, root, 25), "hi"), stage(map_knn(spark, root, 25), "lo")
+    """Recall, 25-neighbour recall, density and purity from one neighbour table of each side."""
+    return _decision_panel(spark, root, 25)
+
+
+@query(
+    f"""WITH {E}, {Z}, {knn_sql('h', 'e', 15)}, {knn_sql('l', 'z', None)}, {_SHARE}, n AS (SELECT h.src, count(l.dst) FILTER (h.rank <= 10 AND l.rank <= 10) / 10 AS recall, count(l.dst) FILTER (h.rank <= 10 AND l.rank <= k) / 10 AS ffr FROM h CROSS JOIN f LEFT JOIN l ON l.src = h.src AND l.dst = h.dst GROUP BY h.src),
+    hr AS (SELECT src, ln(avg(dist) + 1e-12) AS a FROM h GROUP BY src), lr AS (SELECT src, ln(avg(dist) + 1e-12) AS b FROM l WHERE rank <= 15 GROUP BY src)
+    SELECT (SELECT count(*) FROM n) AS anchors, (SELECT round(avg(recall), 6) FROM n) AS recall, (SELECT round(avg(ffr), 6) FROM n) AS ffr, (SELECT round(corr(a, b), 6) FROM hr JOIN lr USING (src)) AS density,
+    (SELECT round(avg((x.label = y.label)::INTEGER), 6) FROM l JOIN z x ON x.id = src JOIN z y ON y.id = dst, f WHERE rank <= k) AS purity"""
+)
+def decision_panel_frac(spark: SparkSession, root: str) -> DataFrame:
+    """The same with the recall and purity of the nearest max(10, 1 %)."""
+    return _decision_panel(spark, root, _frac(points(spark, root).count()))
+
+
+def _decision_panel(spark: SparkSession, root: str, k: int) -> DataFrame:
+    hi, lo = stage(space_knn(spark, root, 15), "hi"), stage(map_knn(spark, root, max(k, 15)), "lo")
     met = hi.select("src", "dst", F.col("rank").alias("h")).join(lo.select("src", "dst", F.col("rank").alias("l")), ["src", "dst"], "left")
-    ten = (F.col("h") <= 10) & F.col("l").isNotNull()
-    n = met.groupBy("src").agg((F.sum((ten & (F.coalesce("l", F.lit(99)) <= 10)).cast("int")) / 10).alias("recall"), (F.sum(ten.cast("int")) / 10).alias("ffr"))
+    hit = lambda r: F.sum(((F.col("h") <= 10) & F.coalesce(F.col("l") <= r, F.lit(False))).cast("int")) / 10
+    n = met.groupBy("src").agg(hit(10).alias("recall"), hit(k).alias("ffr"))
     top = n.agg(F.count("*").alias("anchors"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ffr"), 6).alias("ffr"))
-    density = metrics.density_preservation(hi.where("rank <= 15"), lo.where("rank <= 15")).select(r6("density"))
-    purity = metrics.label_agreement(lo, flat_map(spark, root).select("id", "label")).agg(F.round(F.avg("share"), 6).alias("purity"))
+    density = metrics.density_preservation(hi, lo.where("rank <= 15")).select(r6("density"))
+    purity = metrics.label_agreement(lo.where(F.col("rank") <= k), flat_map(spark, root).select("id", "label")).agg(F.round(F.avg("share"), 6).alias("purity"))
     return top.crossJoin(density).crossJoin(purity)
 
 
