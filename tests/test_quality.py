@@ -1,4 +1,7 @@
-from quillmap.plans import registry
+import pytest
+from pyspark.sql import functions as F
+
+from quillmap.plans import programs, registry
 
 ROOT = "/root/testdata/sf0.1"  # 2,000 rows, of which 1 % are more than the ten asked for
 
@@ -13,3 +16,12 @@ def test_panels_take_the_share_of_the_table(spark):
     assert rows(spark, "decision_panel")[0]["ffr"] != ffr  # 25 neighbours, as its SQL has it
     assert rows(spark, "region_purity_frac") != rows(spark, "region_purity")
     assert all(abs(r["ffr"] / r["retention"] - ffr) < 1e-4 for r in rows(spark, "out_of_domain_panel_frac") if r["retention"])
+
+
+def test_teacher_is_checked_for_all_rows(spark, monkeypatch):
+    assert len(rows(spark, "teacher_targets_all")) == 2000
+    whole = programs.flat_map
+    monkeypatch.setattr(programs, "flat_map", lambda *a: whole(*a).where(F.col("id") != 1500))
+    for name in ("teacher_targets", "teacher_targets_all"):
+        with pytest.raises(ValueError, match="rows without a teacher"):
+            rows(spark, name)
