@@ -554,10 +554,18 @@ def probe_gap(spark: SparkSession, root: str) -> DataFrame:
     return both.withColumn("gap", F.round(F.col("space") - F.col("map"), 6))
 
 
+#: Rows of the sample that eigenspaces are compared on; smaller tables are taken whole.
+SPECTRAL = 10_000
+
+
 @query()
 def grassmann_score(spark: SparkSession, root: str) -> DataFrame:
-    """Agreement of the leading Laplacian eigenspaces of space and map, on a bounded sample (500 rows) on the driver."""
-    p = sampling.sample(points(spark, root), 500, 37).select("id", "v")
+    """Agreement of the leading Laplacian eigenspaces of space and map, on a sample of at most SPECTRAL rows on the driver."""
+    return _grassmann(spark, root, SPECTRAL)
+
+
+def _grassmann(spark: SparkSession, root: str, size: int) -> DataFrame:
+    p = sampling.sample(points(spark, root), size, 37).select("id", "v")
     z = metrics.as_points(flat_map(spark, root)).join(p.select("id"), "id", "left_semi")
 
     def basis(df: DataFrame, t: int = 10) -> np.ndarray:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.plans import programs, registry
+from quillmap.plans import programs, registry, tables
 
 ROOT = "/root/testdata/sf0.1"  # 2,000 rows, of which 1 % are more than the ten asked for
 
@@ -25,3 +25,9 @@ def test_teacher_is_checked_for_all_rows(spark, monkeypatch):
     for name in ("teacher_targets", "teacher_targets_all"):
         with pytest.raises(ValueError, match="rows without a teacher"):
             rows(spark, name)
+
+
+def test_grassmann_takes_tables_below_its_sample_whole(spark):
+    score = rows(spark, "grassmann_score")[0]["score"]
+    assert score == tables._grassmann(spark, ROOT, 2000).head()["score"]
+    assert score != tables._grassmann(spark, ROOT, 500).head()["score"]
