@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +64,15 @@ def digests(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def priorities(ids: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A random order of ids that is the same everywhere: the finaliser of splitmix64, as non-negative int64."""
+    """A random order of ids that is the same everywhere, as non-negative int64."""
+    # Increment and multipliers of splitmix64's finaliser, which is public.
     x = ids.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
+def best_columns(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k greatest scores of each row, unordered, by way of the maxima of column groups."""
     rows, n = scores.shape
     if n <= 4 * k or n < 64:
@@ -86,33 +88,47 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(columns, inner, axis=1)
 
 
-def top_cosines(queries: np.ndarray, query_ids: np.ndarray | None, corpus: np.ndarray, corpus_ids: np.ndarray, k: int, slack: int = 8, band: float = 4e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chosen_cosines(q: np.ndarray, c: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Cosines of the chosen pairs of unit rows, -3 for others."""
+    if chosen.mean() * 16 > 1:  # one product of matrices is faster than that many of rows
+        return np.where(chosen, q @ c.T, np.float32(-3))
+    scores = np.full(chosen.shape, -3, np.float32)
+    x, y = np.nonzero(chosen)
+    for a in range(0, len(x), 65_536):
+        i, j = x[a : a + 65_536], y[a : a + 65_536]
+        scores[i, j] = np.einsum("ij,ij->i", q[i], c[j])
+    return scores
+
+
+def top_cosines(queries: np.ndarray, query_ids: np.ndarray | None, corpus: np.ndarray, corpus_ids: np.ndarray, k: int, slack: int = 8, band: float = 4e-6, choose: Callable[[int, int], np.ndarray] | None = None, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``row, corpus row, cosine`` of each query's k most similar rows of a block, itself (by id) left out.
 
     Raw vectors in, cosines in double precision rounded to 12 decimals; ties go to the smaller id. A single-precision pass
     takes k and some more; where its last one is within rounding of the k-th, all rows in that band are computed exactly.
-    Without ``query_ids`` nothing is left out.
+    Without ``query_ids`` nothing is left out. ``choose`` says of a range of queries which rows count for each of them, a
+    matrix of booleans; where they are few, only their cosines are computed.
     """
     cu, cl, cw = units(corpus), lengths(corpus), corpus.astype(np.float64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     order = np.argsort(corpus_ids)
     if not len(corpus):
         queries = queries[:0]
-    for a in range(0, len(queries), TILE):
-        q = queries[a : a + TILE]
-        scores = units(q) @ cu.T
+    for a in range(0, len(queries), tile):
+        q = queries[a : a + tile]
+        chosen = choose(a, a + len(q)) if choose else None
+        scores = units(q) @ cu.T if chosen is None else _chosen_cosines(units(q), cu, chosen)
         if query_ids is not None:
-            qid = query_ids[a : a + TILE]
+            qid = query_ids[a : a + tile]
             own = np.minimum(np.searchsorted(corpus_ids, qid, sorter=order), len(order) - 1)
             same = corpus_ids[order[own]] == qid
             scores[np.flatnonzero(same), order[own[same]]] = -3
         take = min(k + slack, len(corpus))
-        picked = _best(scores, take)
+        picked = best_columns(scores, take)
         rough = np.take_along_axis(scores, picked, axis=1)
         ql, qw = lengths(q), q.astype(np.float64)
         if take < len(corpus):
             kth = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
-            unsure = np.flatnonzero(rough.min(axis=1) > kth - band)
+            unsure = np.flatnonzero((rough.min(axis=1) > kth - band) & (kth > -2))
         else:
             unsure = np.empty(0, np.int64)
         exact = np.einsum("ijk,ik->ij", cw[picked], qw) / (ql[:, None] * cl[picked])

@@ -83,38 +83,62 @@ def test_greedy_pivots_are_one_by_one():
     assert (rest + 100).tolist() == [i for i in want if i >= 100]
 
 
-def test_recall_of_the_index(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "READERS", 300)
-    x, q = mixture(3000, 24, 40, 3), mixture(150, 24, 40, 3)
-    df = nearest_vectors(table(spark, x), "vec_id", "vector", 24, 10, table(spark, q), "vec_id", "vector", sample=1000, block=200, reach=600)
-    got = lists(df)
-    ids = np.arange(3000)
-    want = {("corpus", k): v for k, v in brute(x, ids, 10).items()} | {("query", k): v for k, v in brute(x, ids, 10, q, np.arange(150)).items()}
-    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
-    assert sum(len(set(got[k]) & set(v)) for k, v in want.items()) / sum(map(len, want.values())) >= 0.9
+def recall(got, want):
+    assert got.keys() == want.keys() and all(len(got[k]) == len(v) for k, v in want.items())
+    return sum(len(set(got[k]) & set(v)) for k, v in want.items()) / sum(map(len, want.values()))
+
+
+SMALL = {"sample": 1000, "block": 100, "shelf": 300, "keep": 64}
+
+
+def truth(x, q, k):
+    return {("corpus", i): v for i, v in brute(x, np.arange(len(x)), k).items()} | {("query", i): v for i, v in brute(x, np.arange(len(x)), k, q, np.arange(len(q))).items()}
 
 
-def test_large_files_do_not_end_the_reading():
+def test_recall_of_the_index(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "READERS", 100)
+    x, q = mixture(3000, 24, 40, 3), mixture(150, 24, 40, 3)
+    got = lists(nearest_vectors(table(spark, x), "vec_id", "vector", 24, 10, table(spark, q), "vec_id", "vector", **SMALL))
+    want = truth(x, q, 10)
+    assert recall(got, want) >= 0.9
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    tenth = {k: unit[k[1]] @ unit[v[-1]] for k, v in want.items() if k[0] == "corpus"}
+    far = [k for k, c in tenth.items() if c < 0.8]
+    assert len(far) > 100 and recall({k: got[k] for k in far}, {k: want[k] for k in far}) >= 0.9
+
+
+def test_exact_setting(spark):
+    x, q = mixture(1200, 12, 20, 4), mixture(50, 12, 20, 4)
+    x[100:400] = x[100]  # a hot vector, and the file of a group that is split into parts
+    got = lists(nearest_vectors(table(spark, x), "vec_id", "vector", 12, 7, table(spark, q), "vec_id", "vector", exact=True, **SMALL))
+    assert got == truth(x, q, 7)
+
+
+def test_footrule_ranks():
+    rng = np.random.default_rng(7)
+    asked, met = (np.argsort(rng.random((n, 90)), axis=1)[:, :56].astype(np.int32) for n in (9, 200))
+    place = lambda row: {p: t // neighbours.STEP for t, p in enumerate(row)}
+    end = 56 // neighbours.STEP
+    want = np.zeros((9, 200), int)
+    for i, a in enumerate(map(place, asked)):
+        for j, b in enumerate(map(place, met)):
+            want[i, j] = sum(abs(a.get(p, end) - b.get(p, end)) for p in a.keys() | b.keys())
+    got = neighbours.footrule_first(asked, met, 20)
+    for i in range(9):
+        assert (got[i] == (want[i] <= np.sort(want[i])[19])).all()
+
+
+def test_bounds_of_files():
     pivots = units(np.random.default_rng(8).normal(size=(12, 6)))
-    order = neighbours.nearest_pivots(pivots, pivots, 8)[0]
     count = np.full(12, 30)
-    count[:2] = 5000  # the home of one query, and the first rival of another
-    ix = neighbours.PermutationIndex(pivots, order, count, np.full(12, 0.9), np.arange(12), np.ones(12, np.int64), np.ones(12, np.int64), 100, 10)
-    rng = np.random.default_rng(9)
-    near, cosines = ix.nearest(units(np.concatenate([pivots[0] + 0.4 * rng.normal(size=(200, 6)), pivots[5] + 0.4 * rng.normal(size=(200, 6))])))
-    m = ix.closeness[near]
-    spread = np.sqrt((1 - cosines**2) * (1 - m**2) / 6)
-    rivals = cosines[:, :1] * m[:, :1] < cosines[:, 1:] * m[:, 1:] + 3 * spread[:, 1:]
-    seen = [0, 0]
-    for n, read in enumerate(ix.reads(near, cosines)):
-        others = read[1:]
-        assert read[0] == near[n, 0] and near[n, 0] not in others
-        assert set(near[n, 1:][rivals[n]]) <= set(others)
-        if rivals[n].any():
-            seen[0] += near[n, 0] < 2
-            seen[1] += near[n, 0] >= 2 and min(others) < 2
-            assert count[others][count[others] <= 100].sum() + 13 * (count[others] > 100).sum() >= 100
-    assert min(seen) > 20
+    count[3] = 0
+    each = np.arange(12)
+    ix = neighbours.PermutationIndex(pivots, count, np.full(12, 0.9), np.full(12, 0.7), each, each // 3, np.ones(4, np.int64), np.ones(4, np.int64), 3.0, 10, 5, 0.8)
+    rows = units(np.random.default_rng(9).normal(size=(50, 6)))
+    likely = ix.likely(rows @ pivots.T)
+    assert (likely[:, 3] == -2).all() and (ix.opening((rows @ pivots.T).max(axis=1)) >= likely.max(axis=1) - 1e-5).all()
+    for n, shelves in ix.asks(rows, np.full(50, 0.8)):
+        assert set(shelves) == {f // 3 for f in range(12) if likely[n, f] >= 0.8 - 1e-6}
 
 
 def test_index_is_fitted_on_what_is_posted(spark, monkeypatch):
@@ -126,13 +150,6 @@ def test_index_is_fitted_on_what_is_posted(spark, monkeypatch):
     assert fitted[0].count.sum() == 201
 
 
-def test_exact_where_everything_is_read(spark):
-    x = mixture(400, 12, 10, 4)
-    got = lists(nearest_vectors(table(spark, x), "vec_id", "vector", 12, 7, block=60, reach=10_000, sample=200))
-    exact = {("corpus", k): v for k, v in brute(x, np.arange(400), 7).items()}
-    assert sum(got[k] == v for k, v in exact.items()) >= 0.97 * len(exact)
-
-
 def test_copies_unusable_and_ties(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 4)).astype(np.float32)
