@@ -39,7 +39,7 @@ DEVIATIONS = 5.0
 KEEP = 1024
 #: Rows of neighbouring files that meet each other; rows of a shelf of them, which is what readers meet. A file larger than
 #: a shelf is split into parts that meet pairwise.
-BLOCK, SHELF = 4096, 16_384
+BLOCK, SHELF = 2048, 16_384
 #: Readers of a shelf; more are split.
 READERS = 65_536
 #: Owners of equal vectors that get their common list in one task.
@@ -133,7 +133,7 @@ def _first(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns and values of the greatest scores of each row, in order."""
     top = np.asarray(best_columns(scores, most))
     c = np.take_along_axis(scores, top, axis=1)
-    o = np.lexsort((top, -c), axis=1)
+    o = np.argsort(-c, axis=1, kind="stable")
     return np.take_along_axis(top, o, axis=1), np.take_along_axis(c, o, axis=1)
 
 
@@ -156,19 +156,20 @@ def footrule_first(asked: np.ndarray, met: np.ndarray, keep: int) -> np.ndarray:
     table = np.zeros((len(known) + 1, n), np.uint8)
     for t in range(length):
         table[number[asked[:, t]], np.arange(n)] = height[t]
-    local, common = number[met], np.zeros((m, n), np.uint8)
-    for t in range(length):
+    local, common = number[met.T], np.zeros((m, n), np.uint8)
+    for t, pivot in enumerate(local):
         if t % STEP == 0:
             low = np.minimum(table, height[t])
-        at = np.flatnonzero(local[:, t])
-        if len(at) * 3 > m:
-            common += low[local[:, t]]
+        at = np.flatnonzero(pivot)
+        if len(at) * 2 > m:
+            common += low[pivot]
         elif len(at):
-            common[at] += low[local[at, t]]
-    counts = np.bincount((common + (np.arange(n, dtype=np.int32) << 8)[None, :]).ravel(), minlength=n << 8).reshape(n, 256)
+            common[at] += low[pivot[at]]
+    common = np.ascontiguousarray(common.T)
+    counts = np.stack([np.bincount(row, minlength=256) for row in common])
     enough = np.cumsum(counts[:, ::-1], axis=1) >= min(keep, m)
     last = 255 - enough.argmax(axis=1)
-    return (common >= last.astype(np.uint8)[None, :]).T
+    return common >= last.astype(np.uint8)[:, None]
 
 
 def search(asked: tuple[np.ndarray, ...], met: tuple[np.ndarray, ...], k: int, keep: int | None, same: bool, blocks: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
