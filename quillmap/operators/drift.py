@@ -1,28 +1,25 @@
 """Schemas that drift between files: tree edit scripts, and the projections they compile to.
 
-A file's schema is the tree of its member paths. Two successive trees are aligned by the cheapest edit script of their
-nodes: a node that keeps its path costs nothing, a rename (same parent) or move (other parent) less than a deletion and
-an addition, and is allowed only between members whose values agree on the records both files hold. One old node may be
-the source of several new ones. The scripts of a stream compose to one projection for each file: old path to last name.
+A file's schema is the tree of its member paths. The trees of successive files are aligned by the cheapest edit script of
+adding, removing, renaming and moving nodes (see ``trees``); members whose values agree on the records both files hold may
+be the same. The scripts of a stream compose to one projection for each file: old path to last name.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmap.functions.jsontext import canonical
 from quillmap.operators.shred import _KINDS, parse_record
+from quillmap.operators.trees import edit_script
 from quillmap.session import stage, unstage
 
-#: Costs of an edit script's steps.
-COSTS = {"added": 1.0, "removed": 1.0, "renamed": 0.5, "moved": 0.75, "retyped": 0.25}
 FILE = ["stream", "file_name", "written_at"]
-LEAF_SCHEMA = "{keys}, run string, path string, kind string, value string"
+_PAIR = ["stream", "before", "later"]
 
 
 def leaves(record: dict) -> Iterator[tuple[str, str, str | None]]:
@@ -36,49 +33,75 @@ def leaves(record: dict) -> Iterator[tuple[str, str, str | None]]:
                 yield prefix + name, kind, None
                 stack.append((f"{prefix}{name}.", v))
             else:
-                yield prefix + name, kind, _canonical(v)
+                yield prefix + name, kind, canonical(v)
 
 
-def _canonical(v) -> str | None:
-    if v is None or isinstance(v, str):
-        return v
-    if isinstance(v, float) and v.is_integer() and abs(v) < 1e300:
-        v = int(v)
-    if isinstance(v, list):
-        return "[" + ",".join(json.dumps(x) if isinstance(x, str) else _canonical(x) or "null" for x in v) + "]"
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{json.dumps(x) if isinstance(x, str) else _canonical(x) or 'null'}" for k, x in sorted(v.items())) + "}"
-    return json.dumps(v)
+def _fields(lines: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def member_rows(lines: DataFrame, keys: list[str], body: str = "body", run: str = "run_dir") -> DataFrame:
-    """``keys..., run, path, kind, value``: a row for each member of each whole line; others have none."""
-    fields = ", ".join(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in keys)
+def member_rows(lines: DataFrame, keys: list[str], body: str = "body", run: str = "run_dir", only: str | None = None) -> DataFrame:
+    """``keys..., run, path, kind, value``: a row for each member of each whole line; other lines have none.
+
+    ``only``: a column of paths, other members are left out.
+    """
     n = len(keys)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, runs, rows = [], [], []
-            for k, text in enumerate(batch.column(n)):
-                record = parse_record(text.as_py(), wrappers=())
+            wanted = batch.column(n + 1).to_pylist() if only else None
+            for k, text in enumerate(batch.column(n).to_pylist()):
+                record = parse_record(text, wrappers=())
                 if record is None:
                     continue
                 found = list(leaves(record))
-                owner = record.get(run)
+                if wanted is not None:
+                    mine = set(wanted[k])
+                    found = [x for x in found if x[0] in mine]
                 rows += found
                 at += [k] * len(found)
-                runs += [owner if isinstance(owner, str) else _canonical(owner)] * len(found)
+                runs += [canonical(record.get(run))] * len(found)
             index = pa.array(at, pa.int64())
-            own = [pa.array([r[c] for r in rows], pa.string()) for c in range(3)]
+            own = [pa.array(c, pa.string()) for c in zip(*rows)] or [pa.array([], pa.string())] * 3
             yield pa.record_batch([*[batch.column(c).take(index) for c in range(n)], pa.array(runs, pa.string()), *own], names=[*keys, "run", "path", "kind", "value"])
 
-    return lines.select(*keys, F.col(body).alias("_body")).mapInArrow(parse, LEAF_SCHEMA.format(keys=fields))
+    source = lines.select(*keys, F.col(body).alias("_body"), *([only] if only else []))
+    return source.mapInArrow(parse, f"{_fields(lines, keys)}, run string, path string, kind string, value string")
 
 
-def schemas(members: DataFrame) -> DataFrame:
-    """``stream, file_name, written_at, path, kinds``: the paths of each file and the kinds of their non-null values."""
-    kind = F.when(F.col("kind") != "null", F.col("kind"))
-    return members.groupBy(*FILE, "path").agg(F.array_sort(F.collect_set(kind)).alias("kinds"))
+def schemas(lines: DataFrame, body: str = "body") -> DataFrame:
+    """``stream, file_name, written_at, path, kinds``: the paths of each file and the kinds of their non-null values.
+
+    Paths are counted once a batch before they are shuffled; values leave no task.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple, int] = {}
+            files = [batch.column(c).to_pylist() for c in range(2)] + [batch.column(2).cast(pa.int64()).to_pylist()]
+            for k, (text, *file) in enumerate(zip(batch.column(3).to_pylist(), *files)):
+                record = parse_record(text, wrappers=())
+                if record is not None:
+                    for path, kind in _paths(record):
+                        seen.setdefault((*file, path, kind), k)
+            index = pa.array(list(seen.values()), pa.int64())
+            own = [pa.array([x[c] for x in seen], pa.string()) for c in (3, 4)]
+            yield pa.record_batch([*[batch.column(c).take(index) for c in range(3)], *own], names=[*FILE, "path", "kind"])
+
+    found = lines.select(*FILE, F.col(body).alias("_body")).mapInArrow(parse, f"{_fields(lines, FILE)}, path string, kind string")
+    return found.groupBy(*FILE, "path").agg(F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"))
+
+
+def _paths(record: dict) -> Iterator[tuple[str, str]]:
+    stack = [("", record)]
+    while stack:
+        prefix, obj = stack.pop()
+        for name, v in obj.items():
+            kind = _KINDS[type(v)]
+            yield prefix + name, kind
+            if kind == "object":
+                stack.append((f"{prefix}{name}.", v))
 
 
 def successions(schema: DataFrame) -> DataFrame:
@@ -97,107 +120,84 @@ def differences(schema: DataFrame, pairs: DataFrame) -> DataFrame:
     return as_new.unionByName(as_old).groupBy("stream", "before", "later", "path").agg(F.max("old").alias("old"), F.max("new").alias("new"))
 
 
-def agreements(members: DataFrame, changed: DataFrame) -> DataFrame:
+def agreements(lines: DataFrame, changed: DataFrame) -> DataFrame:
     """``stream, before, later, old_path, new_path``: members of which the new one holds the old one's values.
 
     For the runs in both files, wherever neither is missing or null, kind and value must be equal, at least once, and no
-    value may be an object. The join is by pair and run, on the changed members' values only.
+    value may be an object. Only the values of changed members are read, of pairs of files where some came and some went.
     """
-    pair = ["stream", "before", "later"]
-    both = changed.groupBy(*pair).agg(F.sum(F.col("new").isNull().cast("int")).alias("gone"), F.sum(F.col("old").isNull().cast("int")).alias("came"))
-    able = changed.join(both.where("gone > 0 and came > 0").select(*pair), pair, "left_semi")
-    values = members.where((F.col("kind") != "null") & F.col("run").isNotNull()).select("stream", F.struct("written_at", "file_name").alias("file"), "run", "path", "kind", F.when(F.col("kind") != "object", F.col("value")).alias("value"))
-    old = values.join(able.where(F.col("new").isNull()).withColumn("file", F.col("before")).select(*pair, "file", "path"), ["stream", "file", "path"])
-    new = values.join(able.where(F.col("old").isNull()).withColumn("file", F.col("later")).select(*pair, "file", "path"), ["stream", "file", "path"])
-    old = old.select(*pair, "run", F.col("path").alias("old_path"), F.col("kind").alias("old_kind"), F.col("value").alias("old_value")).distinct()
-    new = new.select(*pair, "run", F.col("path").alias("new_path"), F.col("kind").alias("new_kind"), F.col("value").alias("new_value")).distinct()
+    both = changed.groupBy(*_PAIR).agg(F.sum(F.col("new").isNull().cast("int")).alias("gone"), F.sum(F.col("old").isNull().cast("int")).alias("came"))
+    able = changed.join(both.where("gone > 0 AND came > 0").select(*_PAIR), _PAIR, "left_semi")
+    asked = able.where("old IS NULL OR new IS NULL").select("stream", F.when(F.col("new").isNull(), F.col("before")).otherwise(F.col("later")).alias("file"), "path")
+    wanted = asked.groupBy("stream", F.col("file.file_name").alias("file_name"), F.col("file.written_at").alias("written_at")).agg(F.collect_set("path").alias("wanted"))
+    values = member_rows(lines.join(wanted, FILE), FILE, only="wanted").where((F.col("kind") != "null") & F.col("run").isNotNull()).distinct()
+    values = stage(values.select("stream", F.struct("written_at", "file_name").alias("file"), "run", "path", "kind", "value"), "values")
+    side = lambda end, other, x: values.join(able.where(F.col(other).isNull()).withColumn("file", F.col(end)).select(*_PAIR, "file", "path"), ["stream", "file", "path"]).select(*_PAIR, "run", F.col("path").alias(f"{x}_path"), F.col("kind").alias(f"{x}_kind"), F.col("value").alias(f"{x}_value"))
     same = (F.col("old_kind") == F.col("new_kind")) & (F.col("old_kind") != "object") & F.coalesce(F.col("old_value") == F.col("new_value"), F.lit(False))
-    met = old.join(new, [*pair, "run"]).groupBy(*pair, "old_path", "new_path").agg(F.min(same).alias("all"))
-    return met.where("all").select(*pair, "old_path", "new_path")
+    met = side("before", "new", "old").join(side("later", "old", "new"), [*_PAIR, "run"]).groupBy(*_PAIR, "old_path", "new_path").agg(F.min(same).alias("all"))
+    return met.where("all").select(*_PAIR, "old_path", "new_path")
 
 
-def edit_script(old: dict[str, str], new: dict[str, str], agree: list[tuple[str, str]]) -> list[tuple[str, str, str, float]]:
-    """The cheapest script ``step, old_path, new_path, cost`` between two trees of paths, by trying all choices.
-
-    ``old``, ``new``: the kind of each path ('' where only nulls are). Exponential; it defines what ``edit_scripts`` does
-    at any scale and serves its tests.
-    """
-    from itertools import product
-
-    came, gone = sorted(new.keys() - old.keys()), sorted(old.keys() - new.keys())
-    retyped = [("retyped", p, p, COSTS["retyped"]) for p in sorted(old.keys() & new.keys()) if old[p] and new[p] and old[p] != new[p]]
-
-    def step(a: str, b: str) -> tuple[str, str, str, float]:
-        kind = "renamed" if a.rpartition(".")[0] == b.rpartition(".")[0] else "moved"
-        return kind, a, b, COSTS[kind]
-
-    best, least = [], float("inf")
-    for choice in product(*[[None, *[a for a in gone if (a, b) in agree]] for b in came]):
-        steps = [step(a, b) if a else ("added", "", b, COSTS["added"]) for a, b in zip(choice, came)]
-        steps += [("removed", a, "", COSTS["removed"]) for a in gone if a not in choice]
-        cost = sum(s[3] for s in steps)
-        if cost < least:
-            best, least = steps, cost
-    # Sources of equal right to one new node are all named; the copies beyond the first replace a removal each.
-    named = {(s[1], s[2]) for s in best}
-    also = [step(a, b) for a, b in agree if (a, b) not in named]
-    served = {a for a, _ in agree}
-    return [s for s in best if s[0] != "removed" or s[1] not in served] + also + retyped
-
-
-def edit_scripts(members: DataFrame) -> DataFrame:
-    """``stream, before, later, step, old_path, new_path, cost`` for every file and the one written before it.
-
-    Unchanged paths cost nothing and are left out. As one old node may serve several new ones, the choice for one new node
-    never hinders another's: the cheapest script takes each agreement there is (a rename or move costs less than an
-    addition and a removal), adds the new nodes without one, and removes the old nodes that serve none. That makes it a
-    plan of joins, without a task that holds a whole tree. Lines delivered twice change nothing; files without a whole
-    line are not in the series; a file name written at two times is two files.
+def _scripts(trees: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, (nodes, agree) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                old = {x["path"]: x["old"] for x in nodes if x["old"] is not None}
+                new = {x["path"]: x["new"] for x in nodes if x["new"] is not None}
+                steps = edit_script(old, new, [(x["old_path"], x["new_path"]) for x in agree or ()])
+                rows += steps
+                at += [k] * len(steps)
+            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_())
+            own = [pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)]
+            yield pa.record_batch([*[batch.column(c).take(pa.array(at, pa.int64())) for c in range(3)], *own], names=[*_PAIR, "step", "old_path", "new_path", "cost", "leaf"])
+
+    return trees.mapInArrow(run, f"{_fields(trees, _PAIR)}, step string, old_path string, new_path string, cost double, leaf boolean")
+
+
+def edit_scripts(lines: DataFrame) -> DataFrame:
+    """``stream, before, later, step, old_path, new_path, cost, leaf`` for every file and the one written before it.
+
+    The cheapest script of each pair of files, by ``trees.edit_script``; one row of a pair's changed paths and agreements
+    is a task's unit, its size that of two schemas. Unchanged paths are left out. An agreement the one-to-one script
+    doesn't use is reported as ``alike``. Lines delivered twice change nothing; files without a whole line are not in the
+    series; a file name written at two times is two files. Columns other than those of FILE and ``body`` are ignored.
     """
-    pair = ["stream", "before", "later"]
-    schema = stage(schemas(members), "schemas")
+    schema = stage(schemas(lines), "schemas")
     changed = stage(differences(schema, successions(schema)).where("old IS NULL OR new IS NULL OR (size(old) > 0 AND size(new) > 0 AND old != new)"), "changed")
-    agree = stage(agreements(members, changed), "agreements")
-    parent = lambda c: F.regexp_replace(c, r"\.?[^.]*$", "")
-    kin = parent("old_path") == parent("new_path")
-    none = F.lit("")
-
-    def steps(df: DataFrame, step: Column, old: Column, new: Column) -> DataFrame:
-        cost = F.coalesce(*[F.when(F.col("step") == k, F.lit(c)) for k, c in COSTS.items()])
-        return df.select(*pair, step.alias("step"), old.alias("old_path"), new.alias("new_path")).withColumn("cost", cost)
-
-    path = F.col("path")
-    filled = agree.select(*pair, F.col("new_path").alias("path")).distinct()
-    served = agree.select(*pair, F.col("old_path").alias("path")).distinct()
-    added = changed.where("old IS NULL").join(filled, [*pair, "path"], "left_anti")
-    removed = changed.where("new IS NULL").join(served, [*pair, "path"], "left_anti")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            steps(agree, F.when(kin, "renamed").otherwise("moved"), F.col("old_path"), F.col("new_path")),
-            steps(added, F.lit("added"), none, path),
-            steps(removed, F.lit("removed"), path, none),
-            steps(changed.where("old IS NOT NULL AND new IS NOT NULL"), F.lit("retyped"), path, path),
-        ],
-    )
-
-
-def changes(members: DataFrame) -> DataFrame:
-    """``file_name, change_kind, old_path, new_path``: each later file's differences; moves are renames here."""
-    kind = F.when(F.col("step") == "moved", "renamed").otherwise(F.col("step"))
-    return edit_scripts(members).select(F.col("later.file_name").alias("file_name"), kind.alias("change_kind"), "old_path", "new_path")
+    links = agreements(lines, changed).groupBy(*_PAIR).agg(F.collect_list(F.struct("old_path", "new_path")).alias("agree"))
+    nodes = changed.groupBy(*_PAIR).agg(F.collect_list(F.struct("path", "old", "new")).alias("nodes"))
+    return _scripts(nodes.join(links, _PAIR, "left").select(*_PAIR, "nodes", "agree"))
+
+
+def changes(lines: DataFrame) -> DataFrame:
+    """``file_name, change_kind, old_path, new_path``: each later file's differences, read off the scripts.
+
+    A leaf that is renamed, moved, carried or alike is renamed here; an object never is, so one that a script maps is a
+    path removed and another added. Leaves that are alike to others are neither added nor removed.
+    """
+    scripts = stage(edit_scripts(lines), "scripts")
+    name, none = F.col("later.file_name").alias("file_name"), F.lit("")
+    mapped = F.col("step").isin("renamed", "moved", "carried", "alike")
+    renamed = scripts.where(mapped & F.col("leaf")).select(name, F.lit("renamed").alias("change_kind"), "old_path", "new_path")
+    alike = scripts.where("step = 'alike'")
+    left = scripts.where("step IN ('added', 'removed')").join(alike.select(*_PAIR, F.lit("added").alias("step"), F.col("new_path")).distinct(), [*_PAIR, "step", "new_path"], "left_anti")
+    left = left.join(alike.select(*_PAIR, F.lit("removed").alias("step"), F.col("old_path")).distinct(), [*_PAIR, "step", "old_path"], "left_anti")
+    alone = left.select(name, F.col("step").alias("change_kind"), "old_path", "new_path")
+    retyped = scripts.where("step = 'retyped'").select(name, F.lit("retyped").alias("change_kind"), "old_path", "new_path")
+    objects = scripts.where(mapped & ~F.col("leaf"))
+    both = objects.select(name, F.lit("removed").alias("change_kind"), "old_path", none.alias("new_path")).unionByName(objects.select(name, F.lit("added").alias("change_kind"), none.alias("old_path"), "new_path"))
+    return renamed.unionByName(alone).unionByName(retyped).unionByName(both)
 
 
 def final_names(scripts: DataFrame) -> DataFrame:
     """``stream, at, path, name``: each rename's old path, the last file that has it, and what it is called in the end.
 
     Every rename points at the next one of the name it gives; pointers are doubled until none moves, so the number of
-    joins grows with the logarithm of the longest chain and no task holds a stream. Of several targets of one old path the
-    first by name goes on.
+    joins grows with the logarithm of the longest chain and no task holds a stream.
     """
-    renames = scripts.where(F.col("step").isin("renamed", "moved"))
-    events = renames.groupBy("stream", F.col("before").alias("at"), F.col("old_path").alias("path")).agg(F.min_by(F.struct("later", "new_path"), "new_path").alias("to"))
-    events = stage(events.select("stream", "at", "path", F.col("to.later").alias("since"), F.col("to.new_path").alias("name")), "renames")
+    renames = scripts.where(F.col("step").isin("renamed", "moved", "carried"))
+    events = stage(renames.select("stream", F.col("before").alias("at"), F.col("old_path").alias("path"), F.col("later").alias("since"), F.col("new_path").alias("name")), "renames")
     # In the order of a path's files, an arrival's next departure is the first rename of the path at or after its file.
     arrivals = events.select("stream", F.col("name").alias("p"), F.col("since").alias("t"), F.struct("at", "path").alias("arrival"), F.lit(None).cast(events.select(F.struct("at", "path").alias("x")).schema["x"].dataType).alias("departure"), F.lit(0).alias("kind"))
     leaving = events.select("stream", F.col("path").alias("p"), F.col("at").alias("t"), F.lit(None).cast(events.select(F.struct("at", "path").alias("x")).schema["x"].dataType).alias("arrival"), F.struct("at", "path").alias("departure"), F.lit(1).alias("kind"))

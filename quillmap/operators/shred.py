@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmap.functions.jsontext import parse
 from quillmap.session import stage
 
 #: Members under which a record may be wrapped before it is stored.
@@ -26,15 +27,15 @@ NODE_COLUMNS = ("node", "parent", "label", "ordinal", "kind", "scalar")
 def parse_record(body: str | None, wrappers: tuple[str, ...] = WRAPPERS, content: tuple[str, ...] = ()):
     """The object a body holds, without its wrappings (JSON text inside a JSON string, an object around the record).
 
-    ``content``: members by which a record is known; an object that has one isn't unwrapped. Bodies that are null, cut off,
-    nested beyond what the parser takes, or no object give None.
+    ``content``: members by which a record is known; an object that has one isn't unwrapped. Bodies that are null, cut off
+    or no object give None. Wrappings and nesting may have any depth: each unwrapping leaves less text.
     """
     value = body
-    for _ in range(16):
+    while True:
         if isinstance(value, str):
             try:
-                value = json.loads(value.lstrip("\ufeff"))
-            except (ValueError, RecursionError):
+                value = parse(value.lstrip("\ufeff"))
+            except ValueError:
                 return None
         elif isinstance(value, dict) and (inner := next((w for w in wrappers if w in value), None)) and not any(c in value for c in content):
             value = value[inner]

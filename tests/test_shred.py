@@ -1,7 +1,7 @@
 import json
 
 from quillmap.operators.shred import Shredded, adjacency, parse_record, shred, shred_columns
-from quillmap.plans.evidence import children_found
+from quillmap.plans.evidence import EvidenceTables, children_found
 
 REGISTRY = "registry_id long, events array<struct<event_id:string,source_signatures:array<struct<path:string,sha256:string>>>>"
 
@@ -108,3 +108,13 @@ def test_every_scalar_is_kept(spark):
         ("delta", "x", "p/m", "metric", "string", "m"),
         ("delta", "x", "p/m", "mean", "number", "1.5"),
     }
+
+
+def test_any_number_of_wrappings_and_levels(spark):
+    wrapped = {"runs": {"a": {"run_dir": "d"}}}
+    for n in range(24):
+        wrapped = {"payload": wrapped} if n % 3 else json.dumps(wrapped)
+    deep = '{"runs": {"b": {"run_dir": "e", "more": ' + "[" * 20_000 + "]" * 20_000 + "}}}"
+    docs = spark.createDataFrame([(1, json.dumps(wrapped)), (2, deep), (3, deep[:-1])], "record_id long, body string")
+    found = EvidenceTables(docs).runs.select("record_id", "run").collect()
+    assert sorted(tuple(r) for r in found) == [(1, "a"), (2, "b")]
