@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from quillmap.llm.neighbours import nearest_vectors
 from quillmap.llm.pieces import split_documents
 from quillmap.llm.stable_sample import audit_receipts, stable_sample
 from quillmap.llm.tokens import encode_corpus
-from quillmap.session import load
+from quillmap.session import load, shared_dir
 
 SEED, ANCHOR_SEED, TARGET = 42, 1001, 100
 WIDTH, K_HIT = 96, 10
@@ -26,8 +27,13 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_sample(spark: SparkSession, root: str) -> DataFrame:
-    """The stable sample of every testbed, about TARGET rows of its first snapshot."""
-    return stable_sample(load(spark, root, "testbed_rows"), ["testbed_id"], "row_id", "snapshot_no", SEED, ANCHOR_SEED, TARGET)
+    """The stable sample of every testbed, about TARGET rows of its first snapshot.
+
+    Ledger and rates of the folder's table are kept in the shared folder, or where ``quillmap.sample.state`` says.
+    """
+    base = spark.conf.get("quillmap.sample.state", None) or f"{shared_dir(spark)}/quillmap-samples"
+    state = f"{base}/{hashlib.sha256(root.encode()).hexdigest()[:16]}-{TARGET}"
+    return stable_sample(load(spark, root, "testbed_rows"), ["testbed_id"], "row_id", "snapshot_no", SEED, ANCHOR_SEED, TARGET, state)
 
 
 def p4_neighbors(spark: SparkSession, root: str) -> DataFrame:

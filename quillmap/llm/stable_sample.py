@@ -7,8 +7,11 @@ below the rate of its first epoch. Neither number ever changes, so a selected re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillmap.functions.random import seed_key, uniform
 from quillmap.session import stage
@@ -24,26 +27,15 @@ def first_epochs(rows: DataFrame, space: list[str], record: str, epoch: str) ->
     return known.groupBy(*space, record).agg(F.min(epoch).alias("first_epoch"))
 
 
-def freeze_rates(ledger: DataFrame, space: list[str], target: float, frozen: DataFrame | None = None) -> DataFrame:
+def freeze_rates(ledger: DataFrame, space: list[str], target: float) -> DataFrame:
     """Rates ``space..., first_epoch, rate``: the target size over the records known by the end of the epoch, 1 at most.
 
-    An epoch's rate depends on no later epoch. ``frozen``: the rates of earlier runs, which are kept as they are; records
-    of those epochs that come late fall under them.
+    An epoch's rate depends on no later epoch.
     """
     size = ledger.groupBy(*space, "first_epoch").agg(F.count("*").alias("n"))
     upto = Window.partitionBy(*space).orderBy("first_epoch").rowsBetween(Window.unboundedPreceding, 0)
     rate = F.least(F.lit(1.0), F.lit(float(target)) / F.sum("n").over(upto))
-    rates = size.select(*space, "first_epoch", rate.alias("rate"))
-    if frozen is None:
-        return rates
-    old = frozen.select(*space, "first_epoch", "rate")
-    return old.unionByName(rates.join(old, [*space, "first_epoch"], "left_anti"))
-
-
-def extend_ledger(ledger: DataFrame, rows: DataFrame, space: list[str], record: str, epoch: str) -> DataFrame:
-    """The ledger with the records of new rows added; records it holds keep their first epoch."""
-    new = first_epochs(rows, space, record, epoch).join(ledger.select(*space, record), [*space, record], "left_anti")
-    return ledger.select(*space, record, "first_epoch").unionByName(new)
+    return size.select(*space, "first_epoch", rate.alias("rate"))
 
 
 def select_records(ledger: DataFrame, record: str, seed: Column, anchor_seed: Column, rate: Column) -> DataFrame:
@@ -51,15 +43,60 @@ def select_records(ledger: DataFrame, record: str, seed: Column, anchor_seed: Co
     return ledger.where(uniform(F.col(record), seed_key(seed, anchor_seed)) < rate)
 
 
-def stable_sample(rows: DataFrame, space: list[str], record: str, epoch: str, seed: int, anchor_seed: int, target: float, frozen: DataFrame | None = None) -> DataFrame:
+class SampleState:
+    """Ledger and frozen rates of one table, persisted in a folder that all executors share.
+
+    Every run that meets something new adds a folder ``run-N`` with the new records and the rates of new epochs; nothing
+    is rewritten. The rates are written last, and a run without whole rates doesn't count, so a run that breaks off leaves
+    the state as it was. The state belongs to one target; any number of seeds may share it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def runs(self) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        base = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(x.getPath().getName() for x in fs.listStatus(base)) if fs.exists(base) else []
+        return [f"{self.path}/{n}" for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/rates/_SUCCESS"))]
+
+    def read(self, what: str, schema: StructType) -> DataFrame:
+        paths = [f"{r}/{what}" for r in self.runs()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def extended(self, rows: DataFrame, space: list[str], record: str, epoch: str, target: float) -> tuple[DataFrame, DataFrame]:
+        """Ledger and rates with the new records and epochs of ``rows`` added. What was there stays as it was."""
+        seen = first_epochs(rows, space, record, epoch)
+        rate = StructType([*[seen.schema[c] for c in space], seen.schema["first_epoch"], StructField("rate", DoubleType())])
+        ledger, rates = self.read("ledger", seen.schema), self.read("rates", rate)
+        before = len(self.runs())
+        new = stage(seen.join(ledger.select(*space, record), [*space, record], "left_anti"), "ledger") if before else seen
+        if before and new.isEmpty():
+            return ledger, rates
+        run = f"{self.path}/run-{before:08d}-{uuid.uuid4().hex}"
+        new.write.parquet(f"{run}/ledger")
+        whole = ledger.unionByName(self.spark.read.schema(seen.schema).parquet(f"{run}/ledger"))
+        frozen = rates.select(*space, "first_epoch")
+        freeze_rates(whole, space, target).join(frozen, [*space, "first_epoch"], "left_anti").write.parquet(f"{run}/rates")
+        return self.read("ledger", seen.schema), self.read("rates", rate)
+
+
+def stable_sample(rows: DataFrame, space: list[str], record: str, epoch: str, seed: int, anchor_seed: int, target: float, state: str | None = None) -> DataFrame:
     """The sample ``space..., record, first_epoch, rate`` of every space for one pair of seeds.
 
     About ``target`` records of the first epoch, and of each later one as many as its frozen rate gives. The draw depends
-    on the seeds and the record only: neither order nor partitioning nor repeated rows change it.
+    on the seeds and the record only: neither order nor partitioning nor repeated rows change it. ``state``: the folder of
+    ledger and rates (see SampleState), which are read and extended. With it a record that was selected stays selected
+    whatever comes later, records of earlier epochs and earlier epochs of known records included; it stays in the sample
+    even if its row is gone. Without it the rows at hand are all there is, and late rows of an epoch lower its rate.
     """
-    ledger = first_epochs(rows, space, record, epoch)
-    rated = ledger.join(freeze_rates(ledger, space, target, frozen), [*space, "first_epoch"])
-    picked = select_records(rated, record, F.lit(seed), F.lit(anchor_seed), F.col("rate"))
+    if state is None:
+        ledger = first_epochs(rows, space, record, epoch)
+        rates = freeze_rates(ledger, space, target)
+    else:
+        ledger, rates = SampleState(rows.sparkSession, state).extended(rows, space, record, epoch, target)
+    picked = select_records(ledger.join(rates, [*space, "first_epoch"]), record, F.lit(seed), F.lit(anchor_seed), F.col("rate"))
     return picked.select(*space, record, "first_epoch", "rate")
 
 
@@ -71,10 +108,10 @@ SLICE = 256
 def audit_receipts(receipts: DataFrame) -> DataFrame:
     """Pairs ``receipt_a < receipt_b`` of recorded selections that can't both come from one stable sample.
 
-    Receipts of equal testbed, seed and anchor seed are one group; its record of selections is replayed by epoch-rate
-    selection: a record's first epoch is the lowest snapshot whose receipts list it, its frozen rate is 1, so the sample
-    at a snapshot is everything first listed up to it. A receipt that lists all of that breaks nothing with an earlier
-    one. Only receipts that lack some of it are compared, as classes of equal sets, with the group's classes of the same
+    Receipts of equal testbed, seed and anchor seed are one group, and their lists give its ledger: a record's first epoch
+    is the lowest snapshot whose receipts list it. What is selected stays selected, so the sample at a snapshot is the
+    ledger up to it, and a receipt that lists all of that breaks nothing with an earlier one. Draws and rates play no part:
+    the receipts record selections, whatever made them. Only receipts that lack some of it are compared, as classes of equal sets, with the group's classes of the same
     or lower snapshots; a pair is reported if the lower one (either one, at equal snapshots) lists a record the other
     lacks. Large groups are split in slices, each meeting the group's classes once.
 
@@ -93,9 +130,8 @@ def audit_receipts(receipts: DataFrame) -> DataFrame:
     same = [*_GROUP, "snapshot_no", "class"]
     classes = stage(one.groupBy(*same).agg(F.min_by("records", "receipt_id").alias("records")), "classes")
     rows = classes.select(*_GROUP, "snapshot_no", F.explode("records").alias("row_id"))
-    ledger = first_epochs(rows, _GROUP, "row_id", "snapshot_no").withColumn("rate", F.lit(1.0))
-    replayed = select_records(ledger, "row_id", F.col("seed"), F.col("anchor_seed"), F.col("rate"))
-    grown = replayed.groupBy(*_GROUP, "first_epoch").agg(F.count("*").alias("new"))
+    ledger = first_epochs(rows, _GROUP, "row_id", "snapshot_no")
+    grown = ledger.groupBy(*_GROUP, "first_epoch").agg(F.count("*").alias("new"))
     upto = Window.partitionBy(*_GROUP).orderBy("snapshot_no").rangeBetween(Window.unboundedPreceding, 0)
     per_snapshot = classes.groupBy(*_GROUP, "snapshot_no").agg(F.count("*").alias("here"))
     # Every first epoch is the snapshot of some class, but an all-empty snapshot has no first epoch of its own.

@@ -1,7 +1,7 @@
 import random
 
-from quillmap.llm.stable_sample import audit_receipts, extend_ledger, first_epochs, freeze_rates, select_records, stable_sample
-from pyspark.sql import functions as F
+from quillmap.llm.queries import p1_sample
+from quillmap.llm.stable_sample import SampleState, audit_receipts, stable_sample
 
 ROWS = "testbed_id int, row_id long, snapshot_no int, first_epoch string, rate string"
 RECEIPTS = "receipt_id long, testbed_id int, snapshot_no int, seed long, anchor_seed int, sample_indices array<long>, recorded_at timestamp, records string"
@@ -27,19 +27,42 @@ def test_selected_rows_stay_selected(spark):
     assert 40 < len([x for x in before if x[0] == 1]) < 160
 
 
-def test_frozen_rates_and_late_rows(spark):
+def test_late_rows_change_no_rate(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    pick = lambda table, seed=42: drawn(stable_sample(table, ["testbed_id"], "row_id", "snapshot_no", seed, 7, 20, state))
     first = rows(spark, 2, 100)
-    ledger = first_epochs(first, ["testbed_id"], "row_id", "snapshot_no")
-    rates = freeze_rates(ledger, ["testbed_id"], 20)
-    more = rows(spark, 3, 400)
-    grown = extend_ledger(ledger, more, ["testbed_id"], "row_id", "snapshot_no")
-    assert grown.count() == more.count()
-    later = freeze_rates(grown, ["testbed_id"], 20, rates)
-    old = {(r["testbed_id"], r["first_epoch"]): r["rate"] for r in rates.collect()}
-    new = {(r["testbed_id"], r["first_epoch"]): r["rate"] for r in later.collect()}
-    assert all(new[k] == v for k, v in old.items()) and len(new) == 6
-    pick = lambda led, rate: drawn(select_records(led.join(rate, ["testbed_id", "first_epoch"]), "row_id", F.lit(1), F.lit(2), F.col("rate")))
-    assert pick(ledger, rates) <= pick(grown, later)
+    before = pick(first)
+    assert 0 < len(before) < first.count()
+    rates = {(r["testbed_id"], r["first_epoch"]): r["rate"] for r in SampleState(spark, state).read("rates", "testbed_id int, first_epoch int, rate double").collect()}
+    late = spark.createDataFrame([(t, 10_000 + i, 1, "", "") for t in (1, 2) for i in range(3000)], ROWS)
+    known_earlier = spark.createDataFrame([(t, i, 0, "", "") for t, i in before], ROWS)
+    grown = first.union(late).union(known_earlier)
+    after = pick(grown)
+    assert before <= after and any(i >= 10_000 for _, i in after)
+    assert pick(grown.repartition(7)) == after and pick(late) == after
+    now = {(r["testbed_id"], r["first_epoch"]): r["rate"] for r in SampleState(spark, state).read("rates", "testbed_id int, first_epoch int, rate double").collect()}
+    assert all(now[k] == v for k, v in rates.items())
+    assert pick(grown, 43) != after and pick(grown) == after
+
+
+def test_a_run_that_breaks_off_leaves_the_state(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    args = (["testbed_id"], "row_id", "snapshot_no", 42, 7, 20, state)
+    before = drawn(stable_sample(rows(spark, 2, 100), *args))
+    (tmp_path / "state" / "run-00000001-x" / "ledger").mkdir(parents=True)
+    assert drawn(stable_sample(rows(spark, 2, 100), *args)) == before
+    assert before <= drawn(stable_sample(rows(spark, 4, 200), *args))
+
+
+def test_registered_query_loses_no_record(spark, tmp_path):
+    schema = "delivery_id long, testbed_id int, row_id long, snapshot_no int"
+    path = f"file://{tmp_path}/testbed_rows.parquet"
+    table = spark.createDataFrame([(i, 1, 3 * i, 1 + i % 2) for i in range(1500)], schema)
+    table.write.parquet(path)
+    before = drawn(p1_sample(spark, f"file://{tmp_path}"))
+    spark.createDataFrame([(5000 + i, 1, 9000 + i, 1) for i in range(1000)], schema).write.mode("append").parquet(path)
+    after = drawn(p1_sample(spark, f"file://{tmp_path}"))
+    assert 0 < len(before) < 1500 and before < after
 
 
 def test_rows_without_ids_and_empty_tables(spark):
