@@ -1,143 +1,194 @@
-"""Evaluation passages inside a corpus, by spaced-seed hashing."""
+"""Evaluation passages inside a corpus, by spaced-seed hashing.
+
+The seeds of all passages set bits of a filter of fixed size, which goes to the workers; one pass over the corpus gives
+the documents' seeds that pass it, with the words around them. These are joined with the passages' seeds by hash, and
+every pair that meets is followed on its diagonal, over substituted words. Equal passages are one class, equal
+surroundings one stretch; neither items nor documents are gathered anywhere.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.llm.displayed import displayed_words
+from quillmap.operators.joins import split_join
+from quillmap.session import stage
 
 #: Masks over word positions: only the ones are hashed. Every mask spans 12 words or fewer, so a common run of 12 words has
 #: a hit of each; words under the zeros may differ, so overlaps with substituted words are hit too.
 MASKS = ("1101100101", "11100010011")
 RUN = 12
-#: Words of the test passages that one pass over the corpus takes (its tables: about 100 bytes a word in each worker).
-BLOCK_WORDS = 400_000
+#: Bits of the filter, as a power of two: 8 MB at any number of items. Four million seeds let through 1 % of others.
+FILTER = 26
 #: Words of documents that are looked up at once.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 500_000
+#: Codes of words that a task remembers.
+KNOWN_WORDS = 1_000_000
+_PROBES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd numbers; any do
+
+
+@dataclass(frozen=True)
+class Seeds:
+    """Hashes of masked words."""
 
+    masks: tuple[str, ...]
 
-class SeedIndex:
-    """The hashed passages of one block of test items, and the search in tokenised texts."""
+    def offsets(self) -> list[np.ndarray]:
+        return [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == ord("1")) for m in self.masks]
 
-    def __init__(self, items: list[tuple[int, list[str]]], masks: tuple[str, ...], run: int):
-        self.run, self.vocabulary = run, {}
-        ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64) for _, words in items]
-        self.item_of = np.array([i for i, _ in items], np.int64)
-        # One row of word ids with a gap between passages; -2 matches nothing, -1 stands for words that no passage holds.
-        gap = np.full(1, -2, np.int64)
-        self.words = np.concatenate([gap, *[x for i in ids for x in (i, gap)]]) if ids else gap
-        self.number = np.concatenate([np.full(1, -1), *[np.full(len(x) + 1, n) for n, x in enumerate(ids)]]) if ids else np.full(1, -1)
-        self.masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == ord("1")) for m in masks]
+    def keys(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """For each mask the hashes at all places of a row of word codes, and the mask's span."""
         rng = np.random.default_rng(20_310_301)
-        self.factors = [rng.integers(1, 1 << 62, len(m), dtype=np.uint64) | np.uint64(1) for m in self.masks]
-        self.tables = []
-        for offsets, factors in zip(self.masks, self.factors):
-            at, keys = self._keys(self.words, offsets, factors)
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], at[order]))
-
-    @staticmethod
-    def _keys(words: np.ndarray, offsets: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose masked words all are known, and their hashes."""
-        n = len(words) - int(offsets[-1])
-        if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        at = np.flatnonzero(words[:n] >= 0)
-        for o in offsets[1:]:
-            at = at[words[at + o] >= 0]
-        keys = np.zeros(len(at), np.uint64)
-        for o, f in zip(offsets, factors):
-            keys += (words[at + o].astype(np.uint64) + np.uint64(1)) * f
-        keys ^= keys >> np.uint64(29)
-        return at, keys
-
-    def search(self, words: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
-        """Overlaps ``owner, item_id, run, matched, length, start`` of a row of word ids, -2 between texts.
-
-        Around every hit the overlap is followed both ways on its diagonal, ending where texts end or two words in a row
-        differ. ``run``: its longest stretch without a difference; ``matched`` of ``length``: equal words of the whole
-        overlap with its substituted words; ``start``: place of the longest stretch in ``words``. The best overlap of each
-        text and item is given.
-        """
-        pairs = []
-        for (keys, places), offsets, factors in zip(self.tables, self.masks, self.factors):
-            at, own = self._keys(words, offsets, factors)
-            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            n = hi - lo
-            hit = n > 0
-            at, lo, n = at[hit], lo[hit], n[hit]
-            if len(at):
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pairs.append(np.stack([np.repeat(at, n), places[np.repeat(lo, n) + inner]]))
-        found: list[tuple[int, int, int, int, int, int]] = []
-        if pairs:
-            both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            order = np.lexsort((both[0], both[0] - both[1]))
-            done: dict[int, int] = {}
-            for i, j in both[:, order].T.tolist():
-                if done.get(i - j, -1) >= i:
-                    continue
-                run, start, matched, first, last = self._follow(words, i, j)
-                done[i - j] = last
-                if run:
-                    found.append((int(owner[i]), int(self.item_of[self.number[j]]), run, matched, last - first + 1, start))
-        out = pd.DataFrame(found, columns=["owner", "item_id", "run", "matched", "length", "start"])
-        return out.sort_values(["owner", "item_id", "run", "matched", "start"], ascending=[True, True, False, False, True]).drop_duplicates(["owner", "item_id"])
-
-    def _follow(self, words: np.ndarray, i: int, j: int) -> tuple[int, int, int, int, int]:
-        other, a, b = self.words, i, j
-        while a > 0 and b > 0 and words[a - 1] != -2 and other[b - 1] != -2 and (words[a - 1] == other[b - 1] or (a > 1 and b > 1 and words[a - 2] == other[b - 2] != -2)):
-            a, b = a - 1, b - 1
-        best = run = matched = 0
-        start, first, last, n, m = a, a, a, len(words), len(other)
-        while a < n and b < m and words[a] != -2 and other[b] != -2:
-            if words[a] == other[b]:
-                run, matched, last = run + 1, matched + 1, a
-                if run > best:
-                    best, start = run, a - run + 1
-            elif a + 1 < n and b + 1 < m and words[a + 1] == other[b + 1] != -2:
-                run = 0
-            else:
-                break
-            a, b = a + 1, b + 1
-        return best, start, matched, first, last
-
-
-def _search_pass(docs: DataFrame, items: list[tuple[int, list[str]]], masks: tuple[str, ...], run: int, kind: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(shared.value, masks, run)
-        known = index.vocabulary.get
+        for o in self.offsets():
+            factors = rng.integers(1, 1 << 62, len(o), dtype=np.uint64) | np.uint64(1)
+            n, span = len(codes) - int(o[-1]), int(o[-1]) + 1
+            keys = np.zeros(max(n, 0), np.uint64)
+            if n > 0:
+                for at, f in zip(o, factors):
+                    keys += codes[at : at + n] * f
+                keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(_PROBES[1])
+                keys ^= keys >> np.uint64(29)
+            yield keys, span
+
+
+def _bits(keys: np.ndarray) -> Iterator[np.ndarray]:
+    for p in _PROBES:
+        yield (keys * np.uint64(p)) >> np.uint64(64 - FILTER)
+
+
+class Coder:
+    """64-bit hashes of words, equal everywhere."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known = self.known
+        for w in set(words) - known.keys():
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _passages(items: DataFrame, item: str, passage: str) -> DataFrame:
+    """``item, class, words``: the items' passages as word codes; equal ones are of one class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
+        for batch in batches:
+            codes = [coder(displayed_words(t)) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([_digest(c.tobytes()) for c in codes], pa.binary()), pa.array([c.view(np.int64) for c in codes], pa.list_(pa.int64()))], names=["item", "class", "words"])
+
+    source = items.select(items[item].cast("long").alias("item"), items[passage].alias("p")).dropna()
+    return source.mapInArrow(run, "item long, class binary, words array<long>").where(F.size("words") > 0)
+
+
+def _passage_seeds(classes: DataFrame, seeds: Seeds) -> DataFrame:
+    """``key, class, place``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys, places = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for k, codes in enumerate(batch.column(1)):
+                for found, _ in seeds.keys(np.array(codes.values, np.int64).view(np.uint64)):
+                    at.append(np.full(len(found), k))
+                    keys.append(found)
+                    places.append(np.arange(len(found)))
+            own = batch.column(0).take(pa.array(np.concatenate(at)))
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), own, pa.array(np.concatenate(places).astype(np.int32))], names=["key", "class", "place"])
+
+    return classes.select("class", "words").mapInArrow(run, "key long, class binary, place int")
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """The filter's words: all bits that a seed sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(np.concatenate(list(_bits(batch.column(0).to_numpy().view(np.uint64)))))
+            word = (bits >> np.uint64(6)).astype(np.int32)
+            value = np.uint64(1) << (bits & np.uint64(63))
+            yield pa.record_batch([pa.array(word), pa.array(value.view(np.int64))], names=["word", "bits"])
+
+    found = seeds.select("key").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _stretches(docs: DataFrame, seeds: Seeds, bits: np.ndarray, longest: int, kind: str) -> DataFrame:
+    """``k, d, start, words, hits``: of documents the words around seeds that pass the filter, and these.
+
+    ``d`` names the text, ``start`` is the stretch's first word; a passage of at most ``longest`` words that shares a seed
+    lies inside. Stretches that touch are one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def passing(keys: np.ndarray) -> np.ndarray:
+        at = np.arange(len(keys))
+        for b in _bits(np.asarray(keys)):
+            b = b[at]
+            at = at[(shared.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1]
+        return at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
         for batch in batches:
             rows: list[np.ndarray] = []
             at: list[int] = []
-            size, keys = 0, batch.column(0)
+            size, texts = 0, batch.column(1)
 
             def flush() -> Iterator[pa.RecordBatch]:
                 if not at:
                     return
-                words = np.concatenate([x for r in rows for x in (np.full(1, -2, np.int64), r)] + [np.full(1, -2, np.int64)])
-                owner = np.repeat(np.array(at), [len(r) + 1 for r in rows])
-                first = np.cumsum([1, *[len(r) + 1 for r in rows]])
-                hits = index.search(words, np.append(owner, at[-1]))
-                if len(hits):
-                    begin = dict(zip(at, first.tolist()))
-                    place = [s - begin[o] for s, o in zip(hits["start"], hits["owner"])]
-                    ints = [pa.array(hits[c].to_numpy(), pa.int32()) for c in ("run", "matched", "length")]
-                    yield pa.record_batch([keys.take(pa.array(hits["owner"].to_numpy())), pa.array(hits["item_id"].to_numpy(), pa.int64()), *ints, pa.array(place, pa.int32())], names=["k", "item_id", "run", "matched", "length", "start"])
-
-            for n, text in enumerate(batch.column(1)):
+                codes, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+                ends = np.cumsum(sizes)
+                owner = np.repeat(np.arange(len(rows)), sizes)
+                places, keys = [], []
+                for found, span in seeds.keys(codes):
+                    p = passing(found)
+                    p = p[owner[p] == owner[p + span - 1]]
+                    places.append(p)
+                    keys.append(found[p])
+                place, key = np.concatenate(places), np.concatenate(keys)
+                if not len(place):
+                    return
+                order = np.argsort(place, kind="stable")
+                place, key = place[order], key[order]
+                own = owner[place]
+                lo = np.maximum(place - longest, (ends - sizes)[own])
+                hi = np.minimum(place + longest, ends[own])
+                first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1])))
+                last = np.append(first[1:], len(place))
+                reach = np.maximum.reduceat(hi, first)
+                names: dict[int, bytes] = {}
+                out: list[tuple] = []
+                for f, t, end in zip(first, last, reach):
+                    n = int(own[f])
+                    if n not in names:
+                        names[n] = _digest(texts[at[n]].as_py().encode("utf-8", "replace"))
+                    hits = [{"key": x, "at": y} for x, y in zip(key[f:t].view(np.int64).tolist(), (place[f:t] - lo[f]).tolist())]
+                    out.append((at[n], names[n], int(lo[f] - (ends - sizes)[n]), codes[lo[f] : end].view(np.int64), hits))
+                k, d, start, words, hits = zip(*out)
+                hit = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+                yield pa.record_batch([batch.column(0).take(pa.array(k)), pa.array(d, pa.binary()), pa.array(start, pa.int32()), pa.array(list(words), pa.list_(pa.int64())), pa.array(list(hits), hit)], names=["k", "d", "start", "words", "hits"])
+
+            for n, text in enumerate(texts):
                 words = displayed_words(text.as_py())
-                if len(words) >= min(len(m) for m in masks):
-                    rows.append(np.fromiter((known(w, -1) for w in words), np.int64, len(words)))
+                if len(words) >= min(len(m) for m in seeds.masks):
+                    rows.append(coder(words))
                     at.append(n)
                     size += len(words)
                 if size >= CHUNK_WORDS:
@@ -145,36 +196,96 @@ def _search_pass(docs: DataFrame, items: list[tuple[int, list[str]]], masks: tup
                     rows, at, size = [], [], 0
             yield from flush()
 
-    return docs.mapInArrow(find, f"k {kind}, item_id long, run int, matched int, length int, start int")
+    return docs.mapInArrow(run, f"k {kind}, d binary, start int, words array<long>, hits array<struct<key: long, at: int>>")
+
 
+def overlaps(text: np.ndarray, passage: np.ndarray, diagonal: int, offsets: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+    """``run, matched, length, start`` of the overlaps on one diagonal (place in the text less place in the passage) that a mask hits.
 
-def leaked_passages(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", run: int = RUN, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    An overlap ends where text or passage end or two words in a row differ. ``run``: its longest stretch without a
+    difference, which begins at ``start`` of the text; ``matched`` of ``length``: equal words of the whole overlap.
+    """
+    lo, hi = max(diagonal, 0), min(len(text), diagonal + len(passage))
+    if hi <= lo:
+        return
+    same = text[lo:hi] == passage[lo - diagonal : hi - diagonal]
+    ends = np.flatnonzero(~(same[:-1] | same[1:]))  # two different words in a row
+    hit = np.zeros(len(same), bool)
+    for o in offsets:
+        n = len(same) - int(o[-1])
+        if n > 0:
+            hit[np.flatnonzero(np.logical_and.reduce([same[x : x + n] for x in o]))] = True
+    bounds = [0, *(ends + 1).tolist(), len(same)]
+    for a, b in zip(bounds, bounds[1:]):
+        if not hit[a:b].any():
+            continue
+        equal = np.flatnonzero(same[a:b]) + a
+        breaks = np.flatnonzero(np.diff(equal) > 1)
+        starts, stops = np.append(0, breaks + 1), np.append(breaks, len(equal) - 1)
+        best = int((stops - starts).argmax())
+        yield int(stops[best] - starts[best] + 1), len(equal), int(equal[-1] - equal[0] + 1), lo + int(equal[starts[best]])
+
+
+def _verified(pairs: DataFrame, seeds: Seeds) -> DataFrame:
+    """``d, class, run, matched, length, start`` of ``d, start, class, diagonal, words, passage``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offsets = seeds.offsets()
+        for batch in batches:
+            at, rows = [], []
+            start, diagonal = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            for n, (words, passage) in enumerate(zip(batch.column(4), batch.column(5))):
+                for r, m, size, place in overlaps(words.values.to_numpy(), passage.values.to_numpy(), int(diagonal[n]), offsets):
+                    at.append(n)
+                    rows.append((r, m, size, place + int(start[n])))
+            index = pa.array(at, pa.int64())
+            yield pa.record_batch([batch.column(0).take(index), batch.column(2).take(index), *[pa.array([r[c] for r in rows], pa.int32()) for c in range(4)]], names=["d", "class", "run", "matched", "length", "start"])
+
+    return pairs.mapInArrow(run, "d binary, class binary, run int, matched int, length int, start int")
+
+
+def leaked_passages(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", run: int = RUN, masks: tuple[str, ...] = MASKS, least: int = 1) -> DataFrame:
     """``key, item_id, run, matched, length, start``: overlaps of documents and test passages that have a seed hit.
 
     ``run``: the most consecutive equal words; every overlap with ``run`` of at least the parameter ``run`` is found, as
     no mask is longer, and shorter or substituted overlaps as far as a mask hits them. ``matched`` and ``length``: equal
     and all words of the overlap followed over single substituted words. ``start``: word number of the run in the text.
+    The best overlap of a document and an item is given, if its ``run`` is at least ``least``.
 
-    The test set is the query: it goes to the workers in blocks of at most ``BLOCK_WORDS`` words, each a pass over the
-    corpus, which is never shuffled. Items of one id are one row each. Null, empty and short texts and passages have no
-    overlap; repeated documents are each reported; other columns are ignored; empty tables give an empty result.
+    The corpus is read once and never shuffled; only stretches around seeds are. Rows of one document id and of one item
+    id are one document or item with several texts or passages. Null, empty and short texts and passages have no overlap;
+    repeated documents are each reported; other columns are ignored; empty tables give an empty result. Words are compared
+    as 64-bit hashes.
     """
     masks = tuple(m for m in masks if len(m) <= run) or ("1" * run,)
-    kind = docs.schema[key].dataType.simpleString()
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for row in items.select(items[item].cast("long").alias("i"), items[passage].alias("p")).dropna().orderBy("i", "p").toLocalIterator():
-        words = displayed_words(row["p"])
-        if size and size + len(words) > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["i"], words))
-        size += len(words)
-    source = docs.select(docs[key].alias("k"), docs[text].alias("t")).where(F.length("t") >= 2 * min(len(m) for m in masks) - 1)
-    found = reduce(DataFrame.unionByName, [_search_pass(source, b, masks, run, kind) for b in blocks])
-    return found.withColumnRenamed("k", key)
+    seeds, kind = Seeds(masks), docs.schema[key].dataType.simpleString()
+    found = stage(_passages(items, item, passage), "passages")
+    classes = found.groupBy("class").agg(F.first("words").alias("words"))
+    longest = classes.agg(F.max(F.size("words"))).first()[0]
+    if longest is None:
+        return docs.sparkSession.createDataFrame([], f"`{key}` {kind}, item_id long, run int, matched int, length int, start int")
+    keyed = stage(_passage_seeds(classes, seeds), "seeds")
+    source = docs.select(docs[key].alias("k"), docs[text].alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
+    near = stage(_stretches(source, seeds, _filter(keyed), longest, kind), "stretches")
+
+    hits = near.select("d", "start", F.explode("hits").alias("h")).select("d", "start", F.col("h.key").alias("key"), F.col("h.at").alias("at")).distinct()
+    met = split_join(stage(hits, "hits"), keyed, ["key"]).select("d", "start", "class", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    met = split_join(stage(met, "met"), classes.withColumnRenamed("words", "passage"), ["class"])
+    texts = near.groupBy("d", "start").agg(F.first("words").alias("words"))
+    pairs = met.join(texts, ["d", "start"]).select("d", "start", "class", "diagonal", "words", "passage")
+    order = F.struct("run", "matched", (-F.col("start")).alias("early"), "length")
+    best = _verified(pairs, seeds).where(F.col("run") >= least).groupBy("d", "class").agg(F.max(order).alias("o"))
+
+    owners = near.select("k", "d").distinct()
+    held = split_join(stage(owners, "owners"), stage(best, "best"), ["d"])
+    members = found.select("class", F.col("item").alias("item_id")).distinct()
+    each = split_join(stage(held, "held"), members, ["class"])
+    several = lambda df, by: not df.groupBy(by).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if several(members, "item_id") or several(owners, "k"):
+        each = each.groupBy("k", "item_id").agg(F.max("o").alias("o"))
+    return each.select(F.col("k").alias(key), "item_id", "o.run", "o.matched", "o.length", (-F.col("o.early")).alias("start"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, key: str = "doc_id", **columns: str) -> DataFrame:
     """Distinct ``key, item_id``: documents that hold at least ``run`` consecutive words of an item's passage."""
-    return leaked_passages(docs, items, key=key, run=run, **columns).where(F.col("run") >= run).select(key, "item_id").distinct()
+    return leaked_passages(docs, items, key=key, run=run, least=run, **columns).select(key, "item_id")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillmap.llm.displayed import displayed_words
-from quillmap.llm.leaks import MASKS, SeedIndex, leaked_passages, leaks
+from quillmap.llm.leaks import MASKS, Seeds, leaked_passages, leaks, overlaps
 
 PASSAGE = "When twelve boats of Felmu crossed loloish water the passage at Petor fell quolaned under one roof"
 ITEMS = "item_id long, passage string, stem string, doc_id long"
@@ -32,11 +32,12 @@ def test_search_is_exhaustive(text, item, data):
     if item and data.draw(st.booleans()):
         a = data.draw(st.integers(0, len(item)))
         text = text[:20] + item[a : a + data.draw(st.integers(0, 20))] + text[20:]
-    names = [f"w{x}" for x in item]
-    index = SeedIndex([(7, names)], MASKS, 12)
-    ids = np.array([-2, *[index.vocabulary.get(f"w{x}", -1) for x in text], -2], np.int64)
-    hits = index.search(ids, np.zeros(len(ids), np.int64))
-    assert bool((hits["run"] >= 12).any()) == brute([f"w{x}" for x in text], names, 12)
+    text, item = np.array(text, np.int64), np.array(item, np.int64)
+    hits = [h for d in range(-len(item), len(text)) for h in overlaps(text, item, d, Seeds(MASKS).offsets())]
+    assert any(h[0] >= 12 for h in hits) == brute(list(text), list(item), 12)
+    for run, matched, length, start in hits:
+        grams = {tuple(item[i : i + run]) for i in range(len(item) - run + 1)}
+        assert tuple(text[start : start + run]) in grams and run <= matched <= length <= 2 * matched
 
 
 def test_masks_fit_a_run():
@@ -62,14 +63,13 @@ def test_leaks(spark):
     assert leaks(docs_of(spark, texts), items.where("false")).count() == 0
 
 
-def test_many_items_in_blocks(spark, monkeypatch):
+def test_many_items(spark, monkeypatch):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(40)]
     passages = [" ".join(rng.choices(words, k=25)) for _ in range(20)]
     texts = [(i, " ".join(rng.choices(words, k=15)) + " " + (" ".join(passages[i % 20].split()[5:17]) if i % 3 else "none") + " end") for i in range(60)]
     items = spark.createDataFrame([(i, p, "", 0) for i, p in enumerate(passages)], ITEMS)
     want = {(i, n) for i, t in texts for n, p in enumerate(passages) if brute(t.split(), p.split(), 12)}
-    monkeypatch.setattr("quillmap.llm.leaks.BLOCK_WORDS", 60)
     monkeypatch.setattr("quillmap.llm.leaks.CHUNK_WORDS", 100)
     assert {tuple(r) for r in leaks(docs_of(spark, texts), items).collect()} == want
 
@@ -80,3 +80,27 @@ def test_other_runs(spark, run):
     items = spark.createDataFrame([(1, PASSAGE + " " + PASSAGE[::-1], "", 0)], ITEMS)
     texts = docs_of(spark, [(1, " ".join((w + PASSAGE[::-1].split())[:run])), (2, " ".join(w[: run - 1] if run < 10 else w))])
     assert {r["doc_id"] for r in leaks(texts, items, run=run).collect()} == {1}
+
+
+def test_short_texts_of_characters_that_stand_for_several_words(spark):
+    text = "\ufdfa " * 3
+    assert len(text) == 6 and len(displayed_words(text)) >= 12
+    items = spark.createDataFrame([(1, text, "", 0)], ITEMS)
+    assert [tuple(r) for r in leaks(docs_of(spark, [(5, text)]), items).collect()] == [(5, 1)]
+
+
+def test_one_passage_in_many_items_and_documents(spark, monkeypatch):
+    monkeypatch.setattr("quillmap.operators.joins.PAIRS", 100_000)
+    n = 10_000
+    items = spark.range(n).selectExpr("id AS item_id", f"'{PASSAGE}' AS passage", "'' AS stem", "id AS doc_id")
+    texts = spark.range(n).selectExpr("id AS doc_id", f"concat('report ', id % 7, ' says: {PASSAGE}.') AS text", "0 AS item_id")
+    found = leaks(texts, items)
+    assert tuple(found.selectExpr("count(*)", "sum(doc_id)", "sum(item_id)").first()) == (n * n, n * n * (n - 1) // 2, n * n * (n - 1) // 2)
+
+
+def test_ids_with_several_texts_and_null_ids(spark):
+    items = spark.createDataFrame([(1, PASSAGE, "", 0), (1, PASSAGE.upper() + " again", "", 0), (None, PASSAGE, "", 0)], ITEMS)
+    texts = docs_of(spark, [(5, PASSAGE), (5, "so: " + PASSAGE + " again"), (None, PASSAGE), (6, PASSAGE), (6, PASSAGE)])
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"], r["run"], r["start"]) for r in leaked_passages(texts, items).collect())
+    n = len(PASSAGE.split())
+    assert got == [(-1, 1, n, 0), (5, 1, n + 1, 1), (6, 1, n, 0)]
