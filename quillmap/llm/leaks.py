@@ -1,9 +1,10 @@
 """Evaluation passages inside a corpus, by spaced-seed hashing.
 
-The seeds of all passages set bits of a filter of fixed size, which goes to the workers; one pass over the corpus gives
-the documents' seeds that pass it, with the words around them. These are joined with the passages' seeds by hash, and
-every pair that meets is followed on its diagonal, over substituted words. Equal passages are one class, equal
-surroundings one stretch; neither items nor documents are gathered anywhere.
+Passages and documents are joined on the hashes of their seeds, and every pair that meets is followed on its diagonal,
+over substituted words. Equal passages are one class. There are two forms of the join, which give the same rows and read
+the corpus once. Up to a number of words, the passages go to the workers. Beyond it a filter of fixed size does, with the
+bits that their seeds set: the documents' seeds that pass it, with the words around them, are joined with the passages'
+seeds as tables, and neither items nor documents are gathered anywhere.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.llm.displayed import displayed_words
@@ -25,6 +26,10 @@ from quillmap.session import stage
 #: a hit of each; words under the zeros may differ, so overlaps with substituted words are hit too.
 MASKS = ("1101100101", "11100010011")
 RUN = 12
+#: Words of different passages that are sent to the workers; their index takes about 60 bytes a word in each.
+SENT_WORDS = 400_000
+#: Pairs of seeds that a task expands at once.
+PAIRS = 1_000_000
 #: Bits of the filter, as a power of two: 8 MB at any number of items. Four million seeds let through 1 % of others.
 FILTER = 26
 #: Words of documents that are looked up at once.
@@ -63,19 +68,17 @@ def _bits(keys: np.ndarray) -> Iterator[np.ndarray]:
         yield (keys * np.uint64(p)) >> np.uint64(64 - FILTER)
 
 
-class Coder:
-    """64-bit hashes of words, equal everywhere."""
+class Coder(dict):
+    """64-bit hashes of words, equal everywhere; the last ones are remembered."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        self[word] = code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+        return code
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
-        for w in set(words) - known.keys():
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "big")
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def _digest(data: bytes) -> bytes:
@@ -128,6 +131,35 @@ def _filter(seeds: DataFrame) -> np.ndarray:
     return out
 
 
+def _chunks(texts: pa.Array, coder: Coder, least: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Row numbers, word codes and sizes of texts of at least so many words, a bounded number of words at a time."""
+    rows: list[np.ndarray] = []
+    at: list[int] = []
+    size = 0
+    for n, text in enumerate(texts):
+        words = displayed_words(text.as_py())
+        if len(words) >= least:
+            rows.append(coder(words))
+            at.append(n)
+            size += len(words)
+        if size >= CHUNK_WORDS:
+            yield at, np.concatenate(rows), np.array([len(r) for r in rows])
+            rows, at, size = [], [], 0
+    if at:
+        yield at, np.concatenate(rows), np.array([len(r) for r in rows])
+
+
+def _places(codes: np.ndarray, owner: np.ndarray, seeds: Seeds, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask the places inside one text whose keys pass the filter, and the keys."""
+    for keys, span in seeds.keys(codes):
+        at = np.arange(len(keys))
+        for b in _bits(keys):
+            b = b[at]
+            at = at[(bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1]
+        at = at[owner[at] == owner[at + span - 1]]
+        yield at, keys[at]
+
+
 def _stretches(docs: DataFrame, seeds: Seeds, bits: np.ndarray, longest: int, kind: str) -> DataFrame:
     """``k, d, start, words, hits``: of documents the words around seeds that pass the filter, and these.
 
@@ -135,66 +167,37 @@ def _stretches(docs: DataFrame, seeds: Seeds, bits: np.ndarray, longest: int, ki
     lies inside. Stretches that touch are one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def passing(keys: np.ndarray) -> np.ndarray:
-        at = np.arange(len(keys))
-        for b in _bits(np.asarray(keys)):
-            b = b[at]
-            at = at[(shared.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1]
-        return at
+    hit = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in batches:
-            rows: list[np.ndarray] = []
-            at: list[int] = []
-            size, texts = 0, batch.column(1)
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                if not at:
-                    return
-                codes, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-                ends = np.cumsum(sizes)
-                owner = np.repeat(np.arange(len(rows)), sizes)
-                places, keys = [], []
-                for found, span in seeds.keys(codes):
-                    p = passing(found)
-                    p = p[owner[p] == owner[p + span - 1]]
-                    places.append(p)
-                    keys.append(found[p])
-                place, key = np.concatenate(places), np.concatenate(keys)
+            for at, codes, sizes in _chunks(texts := batch.column(1), coder, min(map(len, seeds.masks))):
+                ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+                place, key = (np.concatenate(x) for x in zip(*_places(codes, owner, seeds, shared.value)))
                 if not len(place):
-                    return
+                    continue
                 order = np.argsort(place, kind="stable")
                 place, key = place[order], key[order]
                 own = owner[place]
                 lo = np.maximum(place - longest, (ends - sizes)[own])
                 hi = np.minimum(place + longest, ends[own])
                 first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1])))
-                last = np.append(first[1:], len(place))
-                reach = np.maximum.reduceat(hi, first)
-                names: dict[int, bytes] = {}
-                out: list[tuple] = []
-                for f, t, end in zip(first, last, reach):
-                    n = int(own[f])
-                    if n not in names:
-                        names[n] = _digest(texts[at[n]].as_py().encode("utf-8", "replace"))
-                    hits = [{"key": x, "at": y} for x, y in zip(key[f:t].view(np.int64).tolist(), (place[f:t] - lo[f]).tolist())]
-                    out.append((at[n], names[n], int(lo[f] - (ends - sizes)[n]), codes[lo[f] : end].view(np.int64), hits))
-                k, d, start, words, hits = zip(*out)
-                hit = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
-                yield pa.record_batch([batch.column(0).take(pa.array(k)), pa.array(d, pa.binary()), pa.array(start, pa.int32()), pa.array(list(words), pa.list_(pa.int64())), pa.array(list(hits), hit)], names=["k", "d", "start", "words", "hits"])
-
-            for n, text in enumerate(texts):
-                words = displayed_words(text.as_py())
-                if len(words) >= min(len(m) for m in seeds.masks):
-                    rows.append(coder(words))
-                    at.append(n)
-                    size += len(words)
-                if size >= CHUNK_WORDS:
-                    yield from flush()
-                    rows, at, size = [], [], 0
-            yield from flush()
+                reach, own = np.maximum.reduceat(hi, first), own[first]
+                names = {n: _digest(texts[at[n]].as_py().encode("utf-8", "replace")) for n in np.unique(own).tolist()}
+                begin = lo[first]
+                since = np.repeat(begin, np.diff(np.append(first, len(place))))
+                each = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array((place - since).astype(np.int32))], fields=list(hit.value_type))
+                yield pa.record_batch(
+                    [
+                        batch.column(0).take(pa.array(np.array(at)[own])),
+                        pa.array([names[n] for n in own.tolist()], pa.binary()),
+                        pa.array((begin - (ends - sizes)[own]).astype(np.int32)),
+                        pa.array([codes[a:b].view(np.int64) for a, b in zip(begin, reach)], pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int32)), each).cast(hit),
+                    ],
+                    names=["k", "d", "start", "words", "hits"],
+                )
 
     return docs.mapInArrow(run, f"k {kind}, d binary, start int, words array<long>, hits array<struct<key: long, at: int>>")
 
@@ -226,6 +229,60 @@ def overlaps(text: np.ndarray, passage: np.ndarray, diagonal: int, offsets: list
         yield int(stops[best] - starts[best] + 1), len(equal), int(equal[-1] - equal[0] + 1), lo + int(equal[starts[best]])
 
 
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about PAIRS in sum."""
+    begin = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PAIRS, prepend=-1))
+    return zip(begin.tolist(), [*begin[1:].tolist(), len(sizes)])
+
+
+def _sent(docs: DataFrame, classes: list[tuple[bytes, list[int]]], seeds: Seeds, kind: str) -> DataFrame:
+    """``k, class, run, matched, length, start``: the best overlap of every document row and passage that share a seed."""
+    names = pa.array([c for c, _ in classes], pa.binary())
+    words = [np.array(w, np.int64).view(np.uint64) for _, w in classes]
+    found = [(k, *pair) for k, w in enumerate(words) for pair in enumerate(seeds.keys(w))]
+    tables = []
+    for m in range(len(seeds.masks)):
+        mine = [(k, keys) for k, mask, (keys, _) in found if mask == m]
+        keys = np.concatenate([np.empty(0, np.uint64), *[x for _, x in mine]])
+        place = np.concatenate([np.empty(0, np.int32), *[np.arange(len(x), dtype=np.int32) for _, x in mine]])
+        order = np.argsort(keys, kind="stable")
+        tables.append((keys[order], np.repeat(np.array([k for k, _ in mine], np.int32), [len(x) for _, x in mine])[order], place[order]))
+    bits = np.zeros(1 << (FILTER - 6), np.uint64)
+    for keys, _, _ in tables:
+        for b in _bits(keys):
+            np.bitwise_or.at(bits, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
+    shared = docs.sparkSession.sparkContext.broadcast((names, words, tables, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, passages, tables, bits = shared.value
+        coder, offsets = Coder(), seeds.offsets()
+        for batch in batches:
+            for at, codes, sizes in _chunks(batch.column(1), coder, min(map(len, seeds.masks))):
+                ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+                best: dict[tuple[int, int], tuple] = {}
+                done: set[tuple[int, int, int]] = set()
+                for (place, key), (keys, number, own_place) in zip(_places(codes, owner, seeds, bits), tables):
+                    lo = np.searchsorted(keys, key, "left")
+                    n = np.searchsorted(keys, key, "right") - lo
+                    for a, b in _pieces(n):
+                        inner = np.arange(n[a:b].sum()) + np.repeat(lo[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b])
+                        text = np.repeat(owner[place[a:b]], n[a:b])
+                        diagonal = np.repeat(place[a:b], n[a:b]) - own_place[inner] - (ends - sizes)[text]
+                        for t, c, d in np.unique(np.stack([text, number[inner], diagonal]), axis=1).T.tolist():
+                            if (t, c, d) in done:
+                                continue
+                            done.add((t, c, d))
+                            for r, m, size, start in overlaps(codes[ends[t] - sizes[t] : ends[t]], passages[c], d, offsets):
+                                best[t, c] = max(best.get((t, c), (0,)), (r, m, -start, size))
+                if best:
+                    t, c = zip(*best)
+                    r, m, early, size = zip(*best.values())
+                    own = [pa.array(x, pa.int32()) for x in (r, m, size, [-e for e in early])]
+                    yield pa.record_batch([batch.column(0).take(pa.array([at[n] for n in t])), names.take(pa.array(c)), *own], names=["k", "class", "run", "matched", "length", "start"])
+
+    return docs.mapInArrow(run, f"k {kind}, class binary, run int, matched int, length int, start int")
+
+
 def _verified(pairs: DataFrame, seeds: Seeds) -> DataFrame:
     """``d, class, run, matched, length, start`` of ``d, start, class, diagonal, words, passage``."""
 
@@ -252,7 +309,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     and all words of the overlap followed over single substituted words. ``start``: word number of the run in the text.
     The best overlap of a document and an item is given, if its ``run`` is at least ``least``.
 
-    The corpus is read once and never shuffled; only stretches around seeds are. Rows of one document id and of one item
+    The corpus is read once and never shuffled. Rows of one document id and of one item
     id are one document or item with several texts or passages. Null, empty and short texts and passages have no overlap;
     repeated documents are each reported; other columns are ignored; empty tables give an empty result. Words are compared
     as 64-bit hashes.
@@ -261,29 +318,36 @@ def leaked_passages(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     seeds, kind = Seeds(masks), docs.schema[key].dataType.simpleString()
     found = stage(_passages(items, item, passage), "passages")
     classes = found.groupBy("class").agg(F.first("words").alias("words"))
-    longest = classes.agg(F.max(F.size("words"))).first()[0]
+    longest, words = classes.agg(F.max(F.size("words")), F.sum(F.size("words"))).first()
     if longest is None:
         return docs.sparkSession.createDataFrame([], f"`{key}` {kind}, item_id long, run int, matched int, length int, start int")
-    keyed = stage(_passage_seeds(classes, seeds), "seeds")
     source = docs.select(docs[key].alias("k"), docs[text].alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
-    near = stage(_stretches(source, seeds, _filter(keyed), longest, kind), "stretches")
+    order = F.struct("run", "matched", (-F.col("start")).alias("early"), "length").alias("o")
+    if words <= SENT_WORDS:
+        sent = [(bytes(r["class"]), r["words"]) for r in classes.collect()]
+        held = _sent(source, sent, seeds, kind).where(F.col("run") >= least).select("k", "class", order)
+    else:
+        held = _joined(source, classes, seeds, longest, kind, least, order)
+    held = stage(held, "held")
+    members = found.select("class", F.col("item").alias("item_id")).distinct()
+    each = split_join(held, members, ["class"])
+    several = lambda df, *by: not df.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if several(members, "item_id") or several(held, "k", "class"):
+        each = each.groupBy("k", "item_id").agg(F.max("o").alias("o"))
+    return each.select(F.col("k").alias(key), "item_id", "o.run", "o.matched", "o.length", (-F.col("o.early")).alias("start"))
+
 
+def _joined(source: DataFrame, classes: DataFrame, seeds: Seeds, longest: int, kind: str, least: int, order: Column) -> DataFrame:
+    """``k, class, o``: the same overlaps by joins of tables; equal texts are followed once."""
+    keyed = stage(_passage_seeds(classes, seeds), "seeds")
+    near = stage(_stretches(source, seeds, _filter(keyed), longest, kind), "stretches")
     hits = near.select("d", "start", F.explode("hits").alias("h")).select("d", "start", F.col("h.key").alias("key"), F.col("h.at").alias("at")).distinct()
     met = split_join(stage(hits, "hits"), keyed, ["key"]).select("d", "start", "class", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     met = split_join(stage(met, "met"), classes.withColumnRenamed("words", "passage"), ["class"])
     texts = near.groupBy("d", "start").agg(F.first("words").alias("words"))
     pairs = met.join(texts, ["d", "start"]).select("d", "start", "class", "diagonal", "words", "passage")
-    order = F.struct("run", "matched", (-F.col("start")).alias("early"), "length")
     best = _verified(pairs, seeds).where(F.col("run") >= least).groupBy("d", "class").agg(F.max(order).alias("o"))
-
-    owners = near.select("k", "d").distinct()
-    held = split_join(stage(owners, "owners"), stage(best, "best"), ["d"])
-    members = found.select("class", F.col("item").alias("item_id")).distinct()
-    each = split_join(stage(held, "held"), members, ["class"])
-    several = lambda df, by: not df.groupBy(by).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    if several(members, "item_id") or several(owners, "k"):
-        each = each.groupBy("k", "item_id").agg(F.max("o").alias("o"))
-    return each.select(F.col("k").alias(key), "item_id", "o.run", "o.matched", "o.length", (-F.col("o.early")).alias("start"))
+    return split_join(stage(near.select("k", "d").distinct(), "owners"), stage(best, "best"), ["d"]).select("k", "class", "o")
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, key: str = "doc_id", **columns: str) -> DataFrame:

@@ -44,11 +44,18 @@ def test_masks_fit_a_run():
     assert all(len(m) <= 12 and m[0] == m[-1] == "1" and "0" in m for m in MASKS)
 
 
+@pytest.fixture(params=["sent", "joined"])
+def form(request, monkeypatch):
+    """Both forms of the join, whatever the number of words."""
+    if request.param == "joined":
+        monkeypatch.setattr("quillmap.llm.leaks.SENT_WORDS", -1)
+
+
 def docs_of(spark, texts):
     return spark.createDataFrame([(i, t, 99) for i, t in texts], "doc_id long, text string, item_id int")
 
 
-def test_leaks(spark):
+def test_leaks(spark, form):
     w = PASSAGE.split()
     texts = [
         (1, "Intro. " + PASSAGE.upper() + " end"), (2, " ".join(w[2:14])), (3, " ".join(w[2:13])), (4, None), (5, ""), (6, "  "),
@@ -63,7 +70,7 @@ def test_leaks(spark):
     assert leaks(docs_of(spark, texts), items.where("false")).count() == 0
 
 
-def test_many_items(spark, monkeypatch):
+def test_many_items(spark, monkeypatch, form):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(40)]
     passages = [" ".join(rng.choices(words, k=25)) for _ in range(20)]
@@ -71,6 +78,7 @@ def test_many_items(spark, monkeypatch):
     items = spark.createDataFrame([(i, p, "", 0) for i, p in enumerate(passages)], ITEMS)
     want = {(i, n) for i, t in texts for n, p in enumerate(passages) if brute(t.split(), p.split(), 12)}
     monkeypatch.setattr("quillmap.llm.leaks.CHUNK_WORDS", 100)
+    monkeypatch.setattr("quillmap.llm.leaks.PAIRS", 7)
     assert {tuple(r) for r in leaks(docs_of(spark, texts), items).collect()} == want
 
 
@@ -82,23 +90,23 @@ def test_other_runs(spark, run):
     assert {r["doc_id"] for r in leaks(texts, items, run=run).collect()} == {1}
 
 
-def test_short_texts_of_characters_that_stand_for_several_words(spark):
+def test_short_texts_of_characters_that_stand_for_several_words(spark, form):
     text = "\ufdfa " * 3
     assert len(text) == 6 and len(displayed_words(text)) >= 12
     items = spark.createDataFrame([(1, text, "", 0)], ITEMS)
     assert [tuple(r) for r in leaks(docs_of(spark, [(5, text)]), items).collect()] == [(5, 1)]
 
 
-def test_one_passage_in_many_items_and_documents(spark, monkeypatch):
+def test_one_passage_in_many_items_and_documents(spark, monkeypatch, form):
     monkeypatch.setattr("quillmap.operators.joins.PAIRS", 100_000)
-    n = 10_000
+    n = 3000
     items = spark.range(n).selectExpr("id AS item_id", f"'{PASSAGE}' AS passage", "'' AS stem", "id AS doc_id")
     texts = spark.range(n).selectExpr("id AS doc_id", f"concat('report ', id % 7, ' says: {PASSAGE}.') AS text", "0 AS item_id")
     found = leaks(texts, items)
     assert tuple(found.selectExpr("count(*)", "sum(doc_id)", "sum(item_id)").first()) == (n * n, n * n * (n - 1) // 2, n * n * (n - 1) // 2)
 
 
-def test_ids_with_several_texts_and_null_ids(spark):
+def test_ids_with_several_texts_and_null_ids(spark, form):
     items = spark.createDataFrame([(1, PASSAGE, "", 0), (1, PASSAGE.upper() + " again", "", 0), (None, PASSAGE, "", 0)], ITEMS)
     texts = docs_of(spark, [(5, PASSAGE), (5, "so: " + PASSAGE + " again"), (None, PASSAGE), (6, PASSAGE), (6, PASSAGE)])
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"], r["run"], r["start"]) for r in leaked_passages(texts, items).collect())
