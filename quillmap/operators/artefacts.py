@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,31 @@ def cached(spark: SparkSession, folder: str, key: str, build: Callable[[], DataF
     return spark.read.parquet(path)
 
 
+def file_identity(spark: SparkSession, path: str) -> DataFrame:
+    """``name, size, sha256`` of a file or of all files below a folder. Each is hashed by one task, a megabyte at a time.
+
+    Names are relative to the path. Links and hidden files are none of a folder's files.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            hashes = []
+            for at in batch.column(0).to_pylist():
+                system, inner = fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", at))
+                h = hashlib.sha256()
+                with system.open_input_stream(inner, compression=None) as f:
+                    while piece := f.read(1 << 20):
+                        h.update(piece)
+                hashes.append(h.hexdigest())
+            yield pa.record_batch([*batch.columns, pa.array(hashes, pa.string())], names=["path", "size", "sha256"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+    found = files.mapInArrow(run, "path string, size long, sha256 string")
+    base = path.rstrip("/").rsplit("/", 1)[-1]
+    return found.select(F.concat(F.lit(base), F.element_at(F.split("path", re.escape(base)), -1)).alias("name"), "size", "sha256")
+
+
 def identity_tree(df: DataFrame, key: str, content: Column, width: int = 4096) -> str:
     """The root of a hash tree over rows in the order of a whole-number key: each level hashes ranges of ``width`` keys.
 

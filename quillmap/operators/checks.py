@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,20 @@ def scattered(rows: DataFrame, n: int, key: str = "id") -> DataFrame:
 def order_breaks(df: DataFrame, *order: str) -> DataFrame:
     """Repeated keys of a table that is to be strictly ordered by them."""
     return df.groupBy(*order).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def against_manifest(df: DataFrame, manifest: dict, identity: Callable[[DataFrame], str]) -> str:
+    """Whether a table is the one a manifest (``rows``, ``identity``) was made of: ``ok``, or what differs first."""
+    if df.count() != manifest["rows"]:
+        return "length"
+    return "ok" if identity(df) == manifest["identity"] else "content"
+
+
+def sound_weights(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """The edges, if all weights are finite, none is negative and one is positive; an error otherwise."""
+    w = F.col(weight)
+    bad = w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")) | (w < 0)
+    n = edges.agg(F.sum(bad.cast("int")).alias("bad"), F.sum((w > 0).cast("int")).alias("positive")).first()
+    if n["bad"] or not n["positive"]:
+        raise ValueError(f"{n['bad']} weights are missing, negative or not finite; {n['positive'] or 0} are positive")
+    return edges

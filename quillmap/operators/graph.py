@@ -136,11 +136,13 @@ def running_mass(edges: DataFrame, buckets: int = 64) -> DataFrame:
     """``src, dst, weight, lo, hi``: the half-open part of [0, 1) that each edge has of the total weight, in (src, dst) order.
 
     A prefix sum on two levels: ranges of edges are summed first, then each range on its own, so no task orders all edges.
+    Weights that are missing, negative or not finite, or none that is positive, are an error.
     """
+    from quillmap.operators.checks import sound_weights
     from quillmap.session import stage
 
     placed = stage(edges.select("src", "dst", "weight").repartitionByRange(buckets, "src", "dst").withColumn("part", F.spark_partition_id()), "ranges")
-    sums = placed.groupBy("part").agg(F.sum("weight").alias("w"))
+    sums = sound_weights(placed).groupBy("part").agg(F.sum("weight").alias("w"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("part", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("start"), F.sum("w").over(Window.partitionBy()).alias("total"))
     inner = Window.partitionBy("part").orderBy("src", "dst").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,6 +6,7 @@ told by id, not by place.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -176,7 +177,7 @@ def label_distances(anchors: DataFrame, points: DataFrame, block: int = BLOCK) -
         for s in range(0, len(q), _STRIP):
             part, ids = q[s : s + _STRIP], x.column("id").to_numpy()[s : s + _STRIP]
             other = (ids[:, None] != y.column("id").to_numpy()[None, :]).astype(float) if len(c) else np.empty((len(part), 0))
-            d = np.sqrt(((part[:, None, :] - c[None]) ** 2).sum(axis=2)) if len(c) else np.empty((len(part), 0))
+            d = distances(part, c, "l2") if len(c) else np.empty((len(part), 0))
             rows.append((ids, mine[s : s + _STRIP], (d * other) @ onto, other @ onto))
         out = [np.concatenate(z) for z in ([np.repeat(r[0], len(names)) for r in rows], [np.repeat(r[1], len(names)) for r in rows], [np.tile(names, len(r[0])) for r in rows], [r[3].ravel() for r in rows], [r[2].ravel() for r in rows])] if rows else [np.empty(0)] * 5
         kinds = (x.column("id").type, pa.int64(), pa.int64(), pa.int64(), pa.float64())
@@ -200,9 +201,8 @@ def centroid_labels(points: DataFrame, centroids: np.ndarray, key: str = "id", v
             v = _matrix(pa.chunked_array([batch.column(1)]))
             if not len(v):
                 continue
-            d2 = np.concatenate([((v[a : a + _STRIP, None, :] - c[None]) ** 2).sum(axis=2) for a in range(0, len(v), _STRIP)])
-            best = d2.argmin(axis=1)
-            yield pa.record_batch([batch.column(0), pa.array(best, pa.int32()), pa.array(np.sqrt(d2[np.arange(len(v)), best]))], names=["id", "cid", "dist"])
+            best, least = (np.concatenate(x) for x in zip(*[(d2.argmin(axis=1), d2.min(axis=1)) for _, d2 in squares(v, c)]))
+            yield pa.record_batch([batch.column(0), pa.array(best, pa.int32()), pa.array(np.sqrt(least))], names=["id", "cid", "dist"])
 
     return points.select(F.col(key).alias("id"), doubles(vector).alias("v")).dropna().mapInArrow(run, f"id {kind}, cid int, dist double")
 
@@ -223,10 +223,9 @@ def lloyd(points: DataFrame, k: int, rounds: int, key: str = "id", vector: str =
             total, n = np.zeros_like(c), np.zeros(len(c), np.int64)
             for batch in batches:
                 v = _matrix(pa.chunked_array([batch.column(1)]))
-                for a in range(0, len(v), _STRIP):
-                    part = v[a : a + _STRIP]
-                    best = ((part[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-                    np.add.at(total, best, part)
+                for a, d2 in squares(v, c):
+                    best = d2.argmin(axis=1)
+                    np.add.at(total, best, v[a : a + _STRIP])
                     n += np.bincount(best, minlength=len(c))
             at = np.flatnonzero(n)
             yield pa.record_batch([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["cid", "n", "total"])
@@ -238,15 +237,33 @@ def lloyd(points: DataFrame, k: int, rounds: int, key: str = "id", vector: str =
     return centroids
 
 
-def ivf_knn(queries: DataFrame, corpus: DataFrame, k: int, cells: int, probes: int, rounds: int = 5, sample: int = 20_000, block: int = BLOCK, exclude_self: bool = True) -> DataFrame:
+def squares(v: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Squared distances of strips of rows and centroids, with the strip's first row; the nearest few are computed exactly.
+
+    By one product of matrices, as a strip of differences would be as wide as the vectors are long; rows whose nearest two
+    are within rounding get exact values for all within it.
+    """
+    c2 = (c * c).sum(axis=1)
+    for a in range(0, len(v), _STRIP):
+        part = v[a : a + _STRIP]
+        d2 = np.maximum((part * part).sum(axis=1)[:, None] + c2[None, :] - 2 * (part @ c.T), 0)
+        low = d2.min(axis=1)
+        near = d2 <= (low + 1e-9 * (1 + low + c2.max(initial=0)))[:, None]
+        x, y = np.nonzero(near)
+        d2[x, y] = ((part[x] - c[y]) ** 2).sum(axis=1)
+        yield a, d2
+
+
+def ivf_knn(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int = 16, rounds: int = 5, sample: int = 20_000, block: int = BLOCK, exclude_self: bool = True) -> DataFrame:
     """``src, dst, dist, rank``: approximate l2 neighbours from the ``probes`` nearest of ``cells`` inverted lists.
 
-    Cells are fitted on at most about ``sample`` rows; all rows are listed and all rows of a probed list are compared
+    By default there are as many cells as the square root of the rows, so lists and cells grow alike. Cells are fitted on at most about ``sample`` rows; all rows are listed and all rows of a probed list are compared
     exactly. Lists longer than a block are split, and their queries meet each part.
     """
     n = max(1, corpus.count())
     draw = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") * F.lit(2.0**-53)
-    centroids = lloyd(corpus.where(draw < min(1.0, sample / n)), cells, rounds)
+    cells = cells or max(1, math.isqrt(n))
+    centroids = lloyd(corpus.where(draw < min(1.0, max(sample, 8 * cells) / n)), cells, rounds)
     shared = corpus.sparkSession.sparkContext.broadcast(centroids)
 
     def probe(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
@@ -254,8 +271,7 @@ def ivf_knn(queries: DataFrame, corpus: DataFrame, k: int, cells: int, probes: i
         for batch in batches:
             v = _matrix(pa.chunked_array([batch.column(1)]))
             if len(v):
-                d2 = np.concatenate([((v[a : a + _STRIP, None, :] - c[None]) ** 2).sum(axis=2) for a in range(0, len(v), _STRIP)])
-                near = np.argsort(d2, axis=1, kind="stable")[:, :m].astype(np.int32)
+                near = np.concatenate([np.argsort(d2, axis=1, kind="stable")[:, :m] for _, d2 in squares(v, c)]).astype(np.int32)
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(near), pa.list_(pa.int32()))], names=["id", "v", "cells"])
 
     def listed(df: DataFrame, m: int) -> DataFrame:

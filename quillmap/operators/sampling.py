@@ -50,7 +50,7 @@ def weighted_sample(edges: DataFrame, n: int, seed: int) -> DataFrame:
 def draws_by_mass(mass: DataFrame, n: int, seed: int, buckets: int = 256) -> DataFrame:
     """``draw, src, dst``: ``n`` draws with replacement by inverse distribution, ``lo <= u < hi``.
 
-    ``mass``: ``src, dst, lo, hi``. The range join goes by buckets of [0, 1): an edge is in each bucket it touches.
+    ``mass``: ``src, dst, lo, hi``, as graph.running_mass makes it of sound weights. The range join goes by buckets of [0, 1): an edge is in each bucket it touches.
     """
     at = lambda c: F.least(F.floor(F.col(c) * buckets), F.lit(buckets - 1)).cast("int")
     u = mass.sparkSession.range(n).select(F.col("id").alias("draw"), uniform_draw(seed, F.col("id")).alias("u")).withColumn("b", at("u"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,15 +154,19 @@ def knn_several_k(spark: SparkSession, root: str) -> DataFrame:
 def knn_inverted_lists(spark: SparkSession, root: str) -> DataFrame:
     """Approximate neighbours of the asked rows from inverted lists."""
     p = points(spark, root)
-    return knn.ivf_knn(asked(p), p, K, cells=16, probes=8).select("src", "dst", "rank", r6("dist"))
+    return knn.ivf_knn(asked(p), p, K).select("src", "dst", "rank", r6("dist"))
 
 
 @query()
 def knn_honesty(spark: SparkSession, root: str) -> DataFrame:
     """Recall of the approximate against the exact neighbours."""
     p = points(spark, root)
-    r = knn.recall(knn.ivf_knn(asked(p), p, K, cells=16, probes=8), space_knn(spark, root), K)
-    return r.agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.min("hits").alias("fewest_hits"))
+    truth = stage(space_knn(spark, root), "truth")
+    parts = []
+    for probes in (1, 4, 16):
+        r = knn.recall(knn.ivf_knn(asked(p), p, K, probes=probes), truth, K)
+        parts.append(r.agg(F.lit(probes).alias("probes"), F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.min("hits").alias("fewest_hits")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"WITH {E}, {knn_sql('n', 'e')} SELECT src, count(*) AS n, count(DISTINCT dst) AS distinct_n FROM n WHERE src <> dst GROUP BY src HAVING count(*) <> {K} OR count(DISTINCT dst) <> {K}")
@@ -180,10 +185,9 @@ def nearest_centroid(spark: SparkSession, root: str) -> DataFrame:
     """The nearest of the label means of each row; the means are as many as labels."""
     p = points(spark, root)
     means = p.select("label", F.posexplode(vec.doubles("v")).alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("m"))
-    rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("v")).orderBy("label").collect()
-    found = knn.centroid_labels(p, [r["v"] for r in rows])
-    names = F.array(*[F.lit(r["label"]) for r in rows])
-    return found.select("id", F.get(names, F.col("cid")).alias("cid"), r6("dist"))
+    named = means.groupBy(F.col("label").cast(p.schema["id"].dataType).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("v"))
+    found = knn.exact_knn(p, stage(named, "means"), 1, exclude_self=False)
+    return found.select(F.col("src").alias("id"), F.col("dst").cast(p.schema["label"].dataType).alias("cid"), r6("dist"))
 
 
 @query(f"WITH {E}, {Z}, {knn_sql('n', 'e')} SELECT src, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM n JOIN z ON z.id = dst GROUP BY src")
@@ -209,6 +213,14 @@ _HI = f"WITH {E}, {knn_sql('n', 'e', anchors=False)}"
 _SYM = "pair AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, sum(CASE WHEN src <= dst THEN weight ELSE 0 END) AS a, sum(CASE WHEN src < dst THEN 0 ELSE weight END) - CASE WHEN least(src, dst) = greatest(src, dst) THEN sum(weight) ELSE 0 END AS b FROM w GROUP BY 1, 2), s AS (SELECT u AS src, v AS dst, a + b - a * b AS weight FROM pair UNION ALL SELECT v, u, a + b - a * b FROM pair WHERE u <> v)"
 
 
+@query()
+def fuzzy_graph_lists(spark: SparkSession, root: str) -> DataFrame:
+    """The fuzzy graph over approximate neighbours of all rows: the way where exact ones are too many."""
+    p = points(spark, root)
+    n = stage(knn.ivf_knn(p, p, K), "near")
+    return graph.t_conorm(graph.memberships(n, graph.sigmas(n, K))).select("src", "dst", r6("weight"))
+
+
 @query(f"{_HI} SELECT src, dst, round(1.0 / {K}, 6)::DOUBLE AS weight FROM n")
 def graph_uniform(spark: SparkSession, root: str) -> DataFrame:
     return graph.uniform(_all(spark, root), K).select("src", "dst", r6("weight"))

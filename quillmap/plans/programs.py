@@ -12,7 +12,7 @@ from quillmap.functions import vector as vec
 from quillmap.operators import artefacts, checks, graph, knn, projector, sampling
 from quillmap.operators.metrics import as_points as knn_points
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, map_knn, points, query, r6, space_knn
-from quillmap.plans.quality import _frac
+from quillmap.plans.quality import K_FRAC_OUTSIDE, K_OUTSIDE, _frac
 from quillmap.plans.tables import _h, _RUNS
 from quillmap.session import load, shared_dir, stage
 from quillmap.sources.readers import read_table
@@ -47,14 +47,8 @@ def edge_distances(spark: SparkSession, root: str) -> DataFrame:
     return both.select("src", "dst", (F.round("dist", 6) + 0.0).alias("dist"), (F.row_number().over(w) - 1).cast("long").alias("place"))
 
 
-@query(f"WITH {E}, {Z} SELECT e.id, round(x, 6) AS x, round(y, 6) AS y FROM e JOIN z USING (id) WHERE e.id < 400")
-def teacher_targets(spark: SparkSession, root: str) -> DataFrame:
-    """The first 400 rows of teacher_targets_all; all rows are checked."""
-    return teacher_targets_all(spark, root).where("id < 400")
-
-
 @query(f"WITH {E}, {Z} SELECT e.id, round(x, 6) AS x, round(y, 6) AS y FROM e JOIN z USING (id)")
-def teacher_targets_all(spark: SparkSession, root: str) -> DataFrame:
+def teacher_targets(spark: SparkSession, root: str) -> DataFrame:
     """Row i takes the teacher's place i; a row without one is an error."""
     return _targets(points(spark, root).select("id"), flat_map(spark, root).select("id", "x", "y"))
 
@@ -64,11 +58,11 @@ def _targets(rows: DataFrame, teacher: DataFrame) -> DataFrame:
     return rows.join(teacher, "id").select("id", r6("x"), r6("y"))
 
 
-@query(f"WITH {E}, {knn_sql('n', 'e', anchors=False)} SELECT least(src, dst) * 1000003 + greatest(src, dst) AS pair, count(*) AS n FROM n GROUP BY 1")
+@query(f"WITH {E}, {knn_sql('n', 'e', anchors=False)} SELECT least(src, dst) AS u, greatest(src, dst) AS v, count(*) AS n FROM n GROUP BY 1, 2")
 def pair_buckets(spark: SparkSession, root: str) -> DataFrame:
-    """Both directions of a link under one key of the unordered pair."""
+    """Both directions of a link under one key, the unordered pair itself."""
     n = space_knn(spark, root, anchors=False)
-    return n.groupBy((F.least("src", "dst") * 1000003 + F.greatest("src", "dst")).alias("pair")).agg(F.count("*").alias("n"))
+    return n.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {E}, {knn_sql('n', 'e', anchors=False)} SELECT src, dst FROM n WHERE src % 3 <> 0 ORDER BY {_h(41, 'src', 'dst')}, src, dst LIMIT 100")
@@ -107,26 +101,13 @@ def held_out_queries(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {E}, {Z}, {knn_sql('h', 'e', 50)}, {knn_sql('l', 'z', 50)}, f AS (SELECT h.src, count(l.dst) FILTER (h.rank <= 10) / 10 AS ffr FROM h LEFT JOIN l USING (src, dst) GROUP BY h.src), g AS (SELECT label, avg(ffr) AS ffr FROM f JOIN e ON e.id = src GROUP BY label)
+    f"""WITH {E}, {Z}, {knn_sql('h', 'e')}, {knn_sql('l', 'z', None)}, s AS (SELECT greatest({K_OUTSIDE}, ceil(count(*) * {K_FRAC_OUTSIDE})) AS k FROM e), f AS (SELECT h.src, count(l.dst) FILTER (l.rank <= k) / 10 AS ffr FROM h CROSS JOIN s LEFT JOIN l ON l.src = h.src AND l.dst = h.dst GROUP BY h.src), g AS (SELECT label, avg(ffr) AS ffr FROM f JOIN e ON e.id = src GROUP BY label)
     SELECT label, round(ffr, 6) AS ffr, round(ffr / (SELECT avg(ffr) FROM f), 6) AS retention FROM g"""
 )
 def out_of_domain_panel(spark: SparkSession, root: str) -> DataFrame:
-    """Recall of each group of queries among 50 neighbours, over that of all."""
-    return _out_of_domain(spark, root, 50)
-
-
-@query(
-    f"""WITH {E}, {Z}, {knn_sql('h', 'e')}, {knn_sql('l', 'z', None)}, s AS (SELECT greatest({K}, ceil(count(*) * 0.01)) AS k FROM e), f AS (SELECT h.src, count(l.dst) FILTER (l.rank <= k) / 10 AS ffr FROM h CROSS JOIN s LEFT JOIN l ON l.src = h.src AND l.dst = h.dst GROUP BY h.src), g AS (SELECT label, avg(ffr) AS ffr FROM f JOIN e ON e.id = src GROUP BY label)
-    SELECT label, round(ffr, 6) AS ffr, round(ffr / (SELECT avg(ffr) FROM f), 6) AS retention FROM g"""
-)
-def out_of_domain_panel_frac(spark: SparkSession, root: str) -> DataFrame:
-    """The same among the nearest max(10, 1 %): fixed-fraction recall."""
-    return _out_of_domain(spark, root, _frac(points(spark, root).count()))
-
-
-def _out_of_domain(spark: SparkSession, root: str, k: int) -> DataFrame:
+    """Fixed-fraction recall of each group of queries among the nearest max(50, 1 % of the rows), over that of all."""
     p = points(spark, root)
-    lo = map_knn(spark, root, k)
+    lo = map_knn(spark, root, _frac(p.count(), K_OUTSIDE, K_FRAC_OUTSIDE))
     f = knn.recall(lo, space_knn(spark, root), K).select(F.col("src").alias("id"), "recall")
     met = f.join(p.select("id", "label"), "id")
     per = met.groupBy("label").agg(F.avg("recall").alias("ffr"))
@@ -163,11 +144,11 @@ def reproduction_canary(spark: SparkSession, root: str) -> DataFrame:
     return met.agg(F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("bigint")).alias("missing"), F.sum((F.abs(F.col("da") - F.col("db")) > 1e-7).cast("bigint")).alias("beyond_tolerance"), F.count("*").alias("n"))
 
 
-@query(f"WITH {E} SELECT round(min(c), 6) AS row_floor, round(avg(c), 6) AS mean, min(c) >= 0.95 AS rows_ok, avg(c) >= 0.98 AS mean_ok FROM (SELECT list_cosine_similarity(v, list_transform(v, lambda x: round(x, 2))) AS c FROM e WHERE id % {ASK} = 0)")
+@query(f"WITH {E} SELECT round(min(c), 6) AS row_floor, round(avg(c), 6) AS mean, min(c) >= 0.95 AS rows_ok, avg(c) >= 0.98 AS mean_ok FROM (SELECT list_cosine_similarity(v, list_transform(v, lambda x: round(x, 2))) AS c FROM e)")
 def faithfulness(spark: SparkSession, root: str) -> DataFrame:
     """Cosines of stored and remade vectors (here: rounded to 2 decimals) against a floor for rows and for the mean."""
     v = vec.doubles("v")
-    c = asked(points(spark, root)).select(vec.cosine(v, F.transform(v, lambda x: F.round(x, 2))).alias("c"))
+    c = points(spark, root).select(vec.cosine(v, F.transform(v, lambda x: F.round(x, 2))).alias("c"))
     return c.agg(F.round(F.min("c"), 6).alias("row_floor"), F.round(F.avg("c"), 6).alias("mean"), (F.min("c") >= 0.95).alias("rows_ok"), (F.avg("c") >= 0.98).alias("mean_ok"))
 
 

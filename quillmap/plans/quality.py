@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions import vector as vec
-from quillmap.operators import knn, metrics
+from quillmap.operators import checks, knn, metrics
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, map_knn, points, query, r6, space_knn
 from quillmap.session import stage
 
@@ -14,8 +16,12 @@ _BOTH = f"WITH {E}, {Z}, {knn_sql('h', 'e')}, {knn_sql('l', 'z')}"
 _ANCHORS = f"a AS (SELECT id AS src FROM e WHERE id % {ASK} = 0)"
 
 
-def _frac(n: int, hit: int = K, share: float = 0.01) -> int:
-    return max(hit, -int(-n * share // 1))
+#: The share of all rows whose nearest count at a fixed fraction, and the same for queries from other domains.
+K_FRAC, K_FRAC_OUTSIDE, K_OUTSIDE = 0.001, 0.01, 50
+
+
+def _frac(n: int, hit: int = K, share: float = K_FRAC) -> int:
+    return max(hit, math.ceil(n * share))
 
 
 @query(f"{_BOTH}, {_ANCHORS} SELECT a.src, count(l.dst) AS hits, round(count(l.dst) / {K}, 6) AS recall FROM a JOIN h USING (src) LEFT JOIN l ON l.src = h.src AND l.dst = h.dst GROUP BY a.src")
@@ -25,11 +31,11 @@ def knn_recall(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {E}, {Z}, {knn_sql('h', 'e')}, {knn_sql('m', 'z', None)}, f AS (SELECT greatest({K}, ceil(count(*) * 0.01)) AS k FROM e), l AS (SELECT m.* FROM m, f WHERE rank <= k)
+    f"""WITH {E}, {Z}, {knn_sql('h', 'e')}, {knn_sql('m', 'z', None)}, f AS (SELECT greatest({K}, ceil(count(*) * {K_FRAC})) AS k FROM e), l AS (SELECT m.* FROM m, f WHERE rank <= k)
     SELECT count(*) AS anchors, round(avg(hits / {K}), 6) AS ffr FROM (SELECT h.src, count(l.dst) AS hits FROM h LEFT JOIN l ON l.src = h.src AND l.dst = h.dst GROUP BY h.src)"""
 )
 def fixed_fraction_recall(spark: SparkSession, root: str) -> DataFrame:
-    """The true top 10 found in the nearest max(10, 1 %) of the map."""
+    """The true top 10 found in the nearest max(10, K_FRAC of the rows) of the map."""
     n = points(spark, root).count()
     r = knn.recall(map_knn(spark, root, _frac(n)), space_knn(spark, root), K)
     return r.agg(F.count("*").alias("anchors"), F.round(F.avg("recall"), 6).alias("ffr"))
@@ -166,32 +172,34 @@ def neighbourhood_hit(spark: SparkSession, root: str) -> DataFrame:
     return metrics.label_agreement(map_knn(spark, root, 15), flat_map(spark, root).select("id", "label")).select("src", "label", r6("share"))
 
 
-@query(
-    f"""WITH {E}, {Z}, {knn_sql('h', 'e', 25)}, {knn_sql('l', 'z', 25)}, p AS (SELECT avg((a.label = b.label)::INTEGER) AS hi FROM h JOIN z a ON a.id = src JOIN z b ON b.id = dst), q AS (SELECT avg((a.label = b.label)::INTEGER) AS lo FROM l JOIN z a ON a.id = src JOIN z b ON b.id = dst)
-    SELECT round(hi, 6) AS space_purity, round(lo, 6) AS map_purity, round(lo / hi, 6) AS purity FROM p, q"""
-)
-def region_purity(spark: SparkSession, root: str) -> DataFrame:
-    """Label agreement of 25 neighbours in the map over the same in the space."""
-    return _region_purity(spark, root, 25)
-
-
-_SHARE = f"f AS (SELECT greatest({K}, ceil(count(*) * 0.01)) AS k FROM e)"
+_SHARE = f"f AS (SELECT greatest({K}, ceil(count(*) * {K_FRAC})) AS k FROM e)"
 
 
 @query(
     f"""WITH {E}, {Z}, {knn_sql('h', 'e', None)}, {knn_sql('l', 'z', None)}, {_SHARE}, p AS (SELECT avg((a.label = b.label)::INTEGER) AS hi FROM h JOIN z a ON a.id = src JOIN z b ON b.id = dst, f WHERE rank <= k), q AS (SELECT avg((a.label = b.label)::INTEGER) AS lo FROM l JOIN z a ON a.id = src JOIN z b ON b.id = dst, f WHERE rank <= k)
-    SELECT round(hi, 6) AS space_purity, round(lo, 6) AS map_purity, round(lo / hi, 6) AS purity FROM p, q"""
+    SELECT round(hi, 6) AS space_purity, round(lo, 6) AS map_purity, round(lo / nullif(hi, 0), 6) AS purity FROM p, q"""
 )
-def region_purity_frac(spark: SparkSession, root: str) -> DataFrame:
-    """The same of the nearest max(10, 1 %)."""
-    return _region_purity(spark, root, _frac(points(spark, root).count()))
+def region_purity(spark: SparkSession, root: str) -> DataFrame:
+    """Label agreement of the nearest max(10, K_FRAC of the rows) in space and map, and their ratio."""
+    return _region_purity(spark, root, points(spark, root).select("id", "label"))
+
+
+@query()
+def centroid_purity(spark: SparkSession, root: str) -> DataFrame:
+    """The same for the cells of 256 and 1,024 centroids in place of labels, with both numerators: a ratio above 1 over-separates."""
+    p = points(spark, root)
+    parts = []
+    for cells in (256, 1024):
+        labels = stage(knn.centroid_labels(p, knn.lloyd(p, cells, 5)).select("id", F.col("cid").alias("label")), "cells")
+        parts.append(_region_purity(spark, root, labels).select(F.lit(cells).alias("cells"), "*"))
+    return parts[0].unionByName(parts[1])
 
 
-def _region_purity(spark: SparkSession, root: str, k: int) -> DataFrame:
-    labels = points(spark, root).select("id", "label")
+def _region_purity(spark: SparkSession, root: str, labels: DataFrame) -> DataFrame:
+    k = _frac(points(spark, root).count())
     hi = metrics.label_agreement(space_knn(spark, root, k), labels).agg(F.avg("share").alias("space_purity"))
     lo = metrics.label_agreement(map_knn(spark, root, k), labels).agg(F.avg("share").alias("map_purity"))
-    return hi.crossJoin(lo).select(r6("space_purity"), r6("map_purity"), F.round(F.col("map_purity") / F.col("space_purity"), 6).alias("purity"))
+    return hi.crossJoin(lo).select(r6("space_purity"), r6("map_purity"), F.round(F.try_divide("map_purity", "space_purity"), 6).alias("purity"))
 
 
 @query(
@@ -320,29 +328,19 @@ def per_point_diagnostics(spark: SparkSession, root: str) -> DataFrame:
     return o.join(d, "id", "full_outer")
 
 
-@query(
-    f"""WITH {E}, {Z}, {knn_sql('h', 'e', 25)}, {knn_sql('l', 'z', 25)}, n AS (SELECT h.src, count(l.dst) FILTER (h.rank <= 10 AND l.rank <= 10) / 10 AS recall, count(l.dst) FILTER (h.rank <= 10) / 10 AS ffr FROM h LEFT JOIN l USING (src, dst) GROUP BY h.src),
-    hr AS (SELECT src, ln(avg(dist) + 1e-12) AS a FROM h WHERE rank <= 15 GROUP BY src), lr AS (SELECT src, ln(avg(dist) + 1e-12) AS b FROM l WHERE rank <= 15 GROUP BY src)
-    SELECT (SELECT count(*) FROM n) AS anchors, (SELECT round(avg(recall), 6) FROM n) AS recall, (SELECT round(avg(ffr), 6) FROM n) AS ffr, (SELECT round(corr(a, b), 6) FROM hr JOIN lr USING (src)) AS density,
-    (SELECT round(avg((x.label = y.label)::INTEGER), 6) FROM l JOIN z x ON x.id = src JOIN z y ON y.id = dst) AS purity"""
-)
-def decision_panel(spark: SparkSession, root: str) -> DataFrame:
-    """Recall, 25-neighbour recall, density and purity from one neighbour table of each side."""
-    return _decision_panel(spark, root, 25)
-
-
 @query(
     f"""WITH {E}, {Z}, {knn_sql('h', 'e', 15)}, {knn_sql('l', 'z', None)}, {_SHARE}, n AS (SELECT h.src, count(l.dst) FILTER (h.rank <= 10 AND l.rank <= 10) / 10 AS recall, count(l.dst) FILTER (h.rank <= 10 AND l.rank <= k) / 10 AS ffr FROM h CROSS JOIN f LEFT JOIN l ON l.src = h.src AND l.dst = h.dst GROUP BY h.src),
     hr AS (SELECT src, ln(avg(dist) + 1e-12) AS a FROM h GROUP BY src), lr AS (SELECT src, ln(avg(dist) + 1e-12) AS b FROM l WHERE rank <= 15 GROUP BY src)
     SELECT (SELECT count(*) FROM n) AS anchors, (SELECT round(avg(recall), 6) FROM n) AS recall, (SELECT round(avg(ffr), 6) FROM n) AS ffr, (SELECT round(corr(a, b), 6) FROM hr JOIN lr USING (src)) AS density,
     (SELECT round(avg((x.label = y.label)::INTEGER), 6) FROM l JOIN z x ON x.id = src JOIN z y ON y.id = dst, f WHERE rank <= k) AS purity"""
 )
-def decision_panel_frac(spark: SparkSession, root: str) -> DataFrame:
-    """The same with the recall and purity of the nearest max(10, 1 %)."""
-    return _decision_panel(spark, root, _frac(points(spark, root).count()))
-
+def decision_panel(spark: SparkSession, root: str) -> DataFrame:
+    """Recall at 10 and at a fixed fraction, density and purity, from one neighbour table of each side.
 
-def _decision_panel(spark: SparkSession, root: str, k: int) -> DataFrame:
+    Rows of space or map that aren't finite, or that are all the same, are an error before anything is scored.
+    """
+    k = _frac(points(spark, root).count())
+    checks.require(_unscorable(spark, root), "rows that can't be scored")
     hi, lo = stage(space_knn(spark, root, 15), "hi"), stage(map_knn(spark, root, max(k, 15)), "lo")
     met = hi.select("src", "dst", F.col("rank").alias("h")).join(lo.select("src", "dst", F.col("rank").alias("l")), ["src", "dst"], "left")
     hit = lambda r: F.sum(((F.col("h") <= 10) & F.coalesce(F.col("l") <= r, F.lit(False))).cast("int")) / 10
@@ -353,6 +351,15 @@ def _decision_panel(spark: SparkSession, root: str, k: int) -> DataFrame:
     return top.crossJoin(density).crossJoin(purity)
 
 
+def _unscorable(spark: SparkSession, root: str) -> DataFrame:
+    """``id``: rows without a finite vector or place, and all rows of a map that has collapsed to a point."""
+    z = flat_map(spark, root)
+    bad = F.exists(vec.doubles("v"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    broken = points(spark, root).where(F.col("v").isNull() | bad).select("id").union(z.where("x IS NULL OR y IS NULL OR isnan(x) OR isnan(y)").select("id"))
+    spread = z.agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    return broken.union(spread.where("n > 1 AND w = 0 AND h = 0").select(F.lit(-1).cast("bigint").alias("id")))
+
+
 @query()
 def space_passport(spark: SparkSession, root: str) -> DataFrame:
     """All geometry of one space in a row."""

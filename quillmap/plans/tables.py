@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions import text as words
 from quillmap.functions import vector as vec
-from quillmap.operators import checks, dedup, graph, knn, metrics, projector, sampling
+from quillmap.operators import artefacts, checks, dedup, graph, knn, metrics, projector, sampling
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, points, query, r6, space_knn
 from quillmap.session import load, shared_dir, stage
 from quillmap.sources import generators, shards
@@ -182,19 +182,71 @@ def shard_alignment(spark: SparkSession, root: str) -> DataFrame:
     return met.where("n != sized")
 
 
-@query("SELECT sha256(string_agg(h, '' ORDER BY vec_id)) AS identity FROM (SELECT vec_id, sha256(concat_ws(',', vec_id::VARCHAR, label::VARCHAR)) AS h FROM embeddings WHERE vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 2048) = 0)")
+#: Numbers as whole multiples of 2^-40, which single-precision values of ordinary size are: one text for both engines.
+_WHOLE = "list_transform({v}, lambda x: floor(x::DOUBLE * 1099511627776)::BIGINT)"
+_ROW_HASH = f"sha256(concat_ws(';', vec_id::VARCHAR, coalesce(label::VARCHAR, 'null'), array_to_string({_WHOLE.format(v='embedding')}, ',')))"
+
+
+def _row_hash() -> Column:
+    whole = F.transform(vec.doubles("embedding"), lambda x: F.floor(x * 2.0**40).cast("bigint").cast("string"))
+    return F.sha2(F.concat_ws(";", F.col("vec_id").cast("string"), F.coalesce(F.col("label").cast("string"), F.lit("null")), F.concat_ws(",", whole)), 256)
+
+
+def _fingerprint(e: DataFrame, rows: int) -> DataFrame:
+    hashed = e.where(F.col("vec_id") % max(1, rows // 2048) == 0).select("vec_id", _row_hash().alias("h"))
+    return hashed.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "h"))), lambda x: x["h"])), 256).alias("identity"))
+
+
+_STRIDED = "vec_id % greatest(1, (SELECT count(*) FROM embeddings) // 2048) = 0"
+
+
+@query(f"SELECT sha256(string_agg(h, '' ORDER BY vec_id)) AS identity FROM (SELECT vec_id, {_ROW_HASH} AS h FROM embeddings WHERE {_STRIDED})")
 def data_fingerprint(spark: SparkSession, root: str) -> DataFrame:
-    """One hash over a strided, ordered sample of about 2,048 rows, whatever the table's size: it changes if rows move."""
-    rows = load(spark, root, "embeddings")
-    e = rows.where(F.col("vec_id") % max(1, rows.count() // 2048) == 0).select("vec_id", F.sha2(F.concat_ws(",", F.col("vec_id").cast("string"), F.col("label").cast("string")), 256).alias("h"))
-    ordered = F.array_sort(F.collect_list(F.struct("vec_id", "h")))
-    return e.agg(F.sha2(F.concat_ws("", F.transform(ordered, lambda x: x["h"])), 256).alias("identity"))
+    """One hash over the vectors of a strided, ordered sample of 2,048 to 4,096 rows, whatever the table's size: it changes if vectors do or move."""
+    e = load(spark, root, "embeddings")
+    return _fingerprint(e, e.count())
+
+
+def _marks(pair: str, engine: str) -> str:
+    """A sum over hashes of edges, 60 bits each, which any change of an end or a weight moves."""
+    return f"sum(('0x' || substr(md5({pair}), 1, 15))::BIGINT::HUGEINT)::VARCHAR" if engine == "duckdb" else f"cast(sum(cast(conv(substr(md5({pair}), 1, 15), 16, 10) AS decimal(20, 0))) AS string)"
 
 
-@query(f"WITH {E}, {knn_sql('n', 'e', anchors=False)} SELECT count(*) AS edges, min(src) AS first, max(src) AS last, count(DISTINCT src) AS sources, sum(src * 31 + dst * 17)::BIGINT AS mark FROM n")
+@query(f"WITH {E}, {knn_sql('n', 'e', anchors=False)} SELECT count(*) AS edges, min(src) AS first, max(src) AS last, count(DISTINCT src) AS sources, {_marks("src || '>' || dst || ':' || rank", 'duckdb')} AS mark FROM n")
 def graph_manifest(spark: SparkSession, root: str) -> DataFrame:
-    n = space_knn(spark, root, anchors=False)
-    return n.agg(F.count("*").alias("edges"), F.min("src").alias("first"), F.max("src").alias("last"), F.countDistinct("src").alias("sources"), F.sum(F.col("src") * 31 + F.col("dst") * 17).alias("mark"))
+    """Counts, bounds and a mark of a graph's content; its rows' order doesn't matter, their pairing does."""
+    return _manifest(space_knn(spark, root, anchors=False))
+
+
+def _manifest(n: DataFrame) -> DataFrame:
+    return n.agg(F.count("*").alias("edges"), F.min("src").alias("first"), F.max("src").alias("last"), F.countDistinct("src").alias("sources"), F.expr(_marks("concat(src, '>', dst, ':', rank)", "spark")).alias("mark"))
+
+
+_PRINT = f"sha256(string_agg({_ROW_HASH}, '' ORDER BY vec_id) FILTER ({_STRIDED}))"
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), s AS (SELECT * FROM e WHERE vec_id <> (SELECT max(vec_id) FROM e)),
+    r AS (SELECT vec_id, label, coalesce(lead(embedding) OVER (ORDER BY vec_id), first_value(embedding) OVER (ORDER BY vec_id)) AS embedding FROM e),
+    m AS (SELECT count(*) AS n, {_PRINT} AS h FROM e), t AS (SELECT 'same' AS data, count(*) AS n, {_PRINT} AS h FROM e UNION ALL SELECT 'shorter', count(*), {_PRINT} FROM s UNION ALL SELECT 'rotated', count(*), {_PRINT} FROM r)
+    SELECT data, CASE WHEN t.n <> m.n THEN 'length' WHEN t.h = m.h THEN 'ok' ELSE 'content' END AS verdict FROM t, m"""
+)
+def manifest_check(spark: SparkSession, root: str) -> DataFrame:
+    """A manifest of the embeddings held against them, against a table that lacks a row, and against one whose vectors have moved by one."""
+    e = stage(load(spark, root, "embeddings").select("vec_id", "label", "embedding"), "embeddings")
+    n = e.count()
+    manifest = {"rows": n, "identity": _fingerprint(e, n).first()[0]}
+    ids = sampling.positions(e.select("vec_id"), ["vec_id"])
+    moved = ids.join(e, "vec_id").select("vec_id", "label", "pos").join(ids.join(e, "vec_id").select(F.pmod(F.col("pos") - 1, F.lit(n)).alias("pos"), "embedding"), "pos")
+    last = e.agg(F.max("vec_id")).first()[0]
+    found = [(name, checks.against_manifest(df, manifest, lambda d: _fingerprint(d, n).first()[0])) for name, df in (("same", e), ("shorter", e.where(F.col("vec_id") != last)), ("rotated", moved))]
+    return spark.createDataFrame(found, "data string, verdict string")
+
+
+@query()
+def file_identity(spark: SparkSession, root: str) -> DataFrame:
+    """Name, size and SHA-256 of every file of a folder's embeddings, read in pieces where it lies."""
+    return artefacts.file_identity(spark, f"{root}/embeddings.parquet")
 
 
 # ---- duplicates
@@ -352,11 +404,20 @@ def evenly_spaced_rows(spark: SparkSession, root: str) -> DataFrame:
     return sampling.evenly_spaced(_dense(spark, root).select("id"), 25)
 
 
-@query("SELECT row_id, testbed_id FROM testbed_rows WHERE testbed_id = 0 AND row_id BETWEEN 1000 AND 3000 GROUP BY ALL")
+#: Rows of an aligned chunk of adjacent row ids.
+CHUNK = 64
+
+
+@query(
+    f"""WITH r AS (SELECT DISTINCT testbed_id, row_id FROM testbed_rows WHERE testbed_id IS NOT NULL AND row_id IS NOT NULL), c AS (SELECT testbed_id, row_id // {CHUNK} AS chunk, count(*) AS n FROM r GROUP BY 1, 2),
+    b AS (SELECT testbed_id, chunk FROM c QUALIFY row_number() OVER (PARTITION BY testbed_id ORDER BY {_h(67, 'testbed_id', 'chunk')}, chunk) = 1) SELECT r.testbed_id, r.row_id FROM r JOIN b ON b.testbed_id = r.testbed_id AND b.chunk = r.row_id // {CHUNK}"""
+)
 def calibration_window(spark: SparkSession, root: str) -> DataFrame:
-    """An aligned window of adjacent rows."""
-    t = load(spark, root, "testbed_rows")
-    return t.where((F.col("testbed_id") == 0) & F.col("row_id").between(1000, 3000)).select("row_id", "testbed_id").distinct()
+    """A seeded choice of one aligned chunk of adjacent rows for every testbed."""
+    r = load(spark, root, "testbed_rows").select("testbed_id", "row_id").dropna().distinct().withColumn("chunk", F.floor(F.col("row_id") / CHUNK))
+    order = F.struct(sampling.hash_number(67, F.col("testbed_id"), F.col("chunk")).alias("h"), "chunk")
+    chosen = r.select("testbed_id", "chunk").distinct().groupBy("testbed_id").agg(F.min(order).alias("o")).select("testbed_id", F.col("o.chunk").alias("chunk"))
+    return r.join(chosen, ["testbed_id", "chunk"]).select("testbed_id", "row_id")
 
 
 # ---- aggregates and profiles
