@@ -201,3 +201,13 @@ def communities(edges: DataFrame, rounds: int = 20, resolution: float = 1.0) ->
                 unstage(held)
             held = labels = fresh
     return labels
+
+
+def pairing(edges: DataFrame, rows: int) -> str:
+    """``whole`` if a graph's nodes are as many as a table's rows, ``prefix`` if more, ``too small`` if fewer.
+
+    A graph that only its prefix fits may be cut with ``both_inside`` where the table is known to be its first rows.
+    """
+    top = edges.agg(F.greatest(F.max("src"), F.max("dst")).alias("top")).first()["top"]
+    nodes = 0 if top is None else top + 1
+    return "too small" if nodes < rows else "whole" if nodes == rows else "prefix"

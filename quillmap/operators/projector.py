@@ -1,10 +1,10 @@
-"""A parametric projector: a small perceptron, applied as a map over the rows and fitted on a bounded batch stream."""
+"""A parametric projector: a small perceptron, applied as a map over the rows and fitted in rounds of all edges."""
 
 from __future__ import annotations
 
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions.vector import doubles
 from quillmap.operators.sampling import hash_number
+from quillmap.session import stage
 
 
 @dataclass
@@ -94,52 +95,193 @@ def learning_rate(update: int, total: int, peak: float, warmup: int) -> float:
 
 def correlation_loss(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> float:
     """Minus the correlation of two sets of distances; 0 if either hardly varies."""
+    return _correlation(a, b, eps)[0]
+
+
+def _correlation(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> tuple[float, np.ndarray]:
+    """The correlation loss, and its slope in ``b``."""
     x, y = a - a.mean(), b - b.mean()
-    if (x * x).mean() < eps or (y * y).mean() < eps:
-        return 0.0
-    return float(-(x * y).mean() / np.sqrt((x * x).mean() * (y * y).mean()))
+    xx, yy = (x * x).mean(), (y * y).mean()
+    if xx < eps or yy < eps:
+        return 0.0, np.zeros_like(b)
+    r = (x * y).mean() / np.sqrt(xx * yy)
+    return float(-r), -(x / np.sqrt(xx * yy) - r * y / yy) / len(b)
+
+
+class _Adam:
+    """AdamW over a model's weights and biases, in place; only weights decay."""
+
+    def __init__(self, model: Projector, decay: float):
+        self.model, self.decay, self.n = model, decay, 0
+        self.first = [np.zeros_like(p) for p in model.weights + model.biases]
+        self.second = [np.zeros_like(p) for p in self.first]
+
+    def step(self, grads: list[np.ndarray], rate: float) -> None:
+        self.n += 1
+        for k, (p, g) in enumerate(zip(self.model.weights + self.model.biases, grads)):
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.999 * self.second[k] + 0.001 * g * g
+            move = self.first[k] / (1 - 0.9**self.n) / (np.sqrt(self.second[k] / (1 - 0.999**self.n)) + 1e-8)
+            p -= rate * (move + (self.decay * p if k < len(self.model.weights) else 0))
+
+
+@dataclass(frozen=True)
+class Terms:
+    """Weights of the loss's terms beside cross entropy, and the share of pairs that are edges."""
+
+    correlation: float = 0.1
+    hold: float = 0.0
+    ratio: float = 0.25
+    decay: float = 1e-4
+
 
+def pair_gradients(model: Projector, u: np.ndarray, v: np.ndarray, target: np.ndarray, terms: Terms) -> tuple[list[np.ndarray], float]:
+    """Gradients and loss of a batch of pairs: cross entropy of map similarities, and correlation of distances of both spaces."""
+    n = len(u)
+    acts = model.forward(np.concatenate([u, v]), keep=True)
+    d = acts[-1][:n] - acts[-1][n:]
+    r2 = (d * d).sum(1) + 1e-12
+    q = np.clip(1 / (1 + model.a * r2**model.b), 1e-4, 1 - 1e-4)
+    loss = float(-(target * np.log(q) + (1 - target) * np.log(1 - q)).mean())
+    slope = -(target / q - (1 - target) / (1 - q)) * (-(q**2) * model.a * model.b * r2 ** (model.b - 1)) / n
+    grad = np.clip(2 * slope[:, None] * d, -1, 1)
+    if terms.correlation:
+        low = np.sqrt(r2)
+        c, by = _correlation(np.sqrt(((u - v) ** 2).sum(1)), low)
+        loss += terms.correlation * c
+        grad += terms.correlation * (by / low)[:, None] * d
+    gw, gb = model.backward(acts, np.concatenate([grad, -grad]))
+    return gw + gb, loss
 
-def fit(points: DataFrame, edges: DataFrame, model: Projector, updates: int = 200, batch: int = 512, ratio: float = 0.25, peak: float = 1e-3, decay: float = 1e-4, seed: int = 0) -> tuple[Projector, list[float]]:
-    """Fits the projector to a graph by cross entropy of map similarities, with AdamW on the driver.
 
-    The driver draws at most ``updates * batch`` pairs (edges in hash order, targets their weights; the rest random pairs
-    of target 0) and the vectors of their ends; that bound is the parameter, whatever the size of the tables. Returns the
-    model and the loss of each update.
+def place_gradients(model: Projector, x: np.ndarray, places: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Gradients and loss of the squared distance of rows' places to given ones."""
+    acts = model.forward(x, keep=True)
+    off = acts[-1] - places
+    gw, gb = model.backward(acts, 2 * off / off.size)
+    return gw + gb, float((off**2).mean())
+
+
+def check_anchors(anchors: DataFrame, points: DataFrame) -> None:
+    """Anchors ``id, x, y`` must be there, be of different points of the table, and have finite places; an error otherwise."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    n = anchors.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum((bad("x") | bad("y") | F.col("id").isNull()).cast("int")).alias("bad")).first()
+    if not n["n"] or n["bad"] or n["ids"] != n["n"]:
+        raise ValueError(f"{n['n']} anchors, {n['ids']} ids, {n['bad'] or 0} without a finite place")
+    lost = anchors.join(points.select("id"), "id", "left_anti").head(3)
+    if lost:
+        raise ValueError(f"anchors of no point: {lost}")
+
+
+def split_anchors(anchors: DataFrame, holdout: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Anchors that are held, and those kept aside to measure their drift; by a hash of id and seed."""
+    aside = hash_number(seed + 7, F.col("id")) < holdout * 16.0**13
+    return anchors.where(~aside), anchors.where(aside)
+
+
+def _averaged(rows: DataFrame, model: Projector, local: Callable[[Projector, _Adam, pa.Table], float], decay: float) -> tuple[Projector, float]:
+    """One round: every partition trains a copy of the model on its rows; the copies are averaged by their rows.
+
+    The driver gets as many models as there are partitions.
     """
-    n_pos = max(1, round(batch * ratio))
-    pos = edges.withColumn("h", hash_number(seed, F.col("src"), F.col("dst"))).orderBy("h", "src", "dst").limit(updates * n_pos).select("src", "dst", "weight").toPandas()
-    ids = points.select("id").withColumn("h", hash_number(seed + 1, F.col("id"))).orderBy("h", "id").limit(updates * batch).select("id").toPandas()["id"].to_numpy()
-    if not len(pos) or not len(ids):
-        return model, []
-    wanted = points.sparkSession.createDataFrame([(int(i),) for i in np.unique(np.concatenate([pos["src"], pos["dst"], ids]))], "id long")
-    rows = points.join(wanted, "id", "left_semi").select("id", doubles("v").alias("v")).toPandas()
-    at = {i: n for n, i in enumerate(rows["id"])}
-    x = np.stack(rows["v"].to_numpy())
-    rng = np.random.default_rng(seed)
-    m = [np.zeros_like(p) for p in model.weights + model.biases]
-    v = [np.zeros_like(p) for p in m]
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Projector.load(shared.value.save())
+        adam, n, total = _Adam(own, decay), 0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                total += local(own, adam, pa.Table.from_batches([batch])) * batch.num_rows
+                n += batch.num_rows
+        if n:
+            yield pa.record_batch([pa.array([own.save()], pa.binary()), pa.array([n], pa.int64()), pa.array([total], pa.float64())], names=["model", "n", "loss"])
+
+    # The order of arrival must not change a sum.
+    found = sorted(rows.mapInArrow(run, "model binary, n long, loss double").collect(), key=lambda r: (r["n"], r["loss"], bytes(r["model"])))
+    if not found:
+        return model, 0.0
+    models, n = [Projector.load(bytes(r["model"])) for r in found], np.array([r["n"] for r in found], float)
+    mean = lambda arrays: sum(k * x for k, x in zip(n / n.sum(), arrays))
+    merged = Projector([mean(x) for x in zip(*[m.weights for m in models])], [mean(x) for x in zip(*[m.biases for m in models])], model.residual, model.a, model.b)
+    return merged, float(sum(r["loss"] for r in found) / n.sum())
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    n = len(column)
+    return np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
+
+
+def _ordered(df: DataFrame, workers: int, seed: int, *ids: str) -> DataFrame:
+    """The rows in ``workers`` partitions and an order that depend on their ids and the seed only, stored."""
+    h = hash_number(seed, *[F.col(c) for c in ids])
+    return stage(df.withColumn("h", h), "training").repartition(workers, "h").sortWithinPartitions("h", *ids)
+
+
+def pretrain(points: DataFrame, anchors: DataFrame, model: Projector, epochs: int = 2, rate: float = 1e-3, batch: int = 512, workers: int = 8, decay: float = 1e-4) -> tuple[Projector, list[float]]:
+    """The projector trained to put every anchor (``id, x, y``) at its place, by squared distance; a loss for each epoch."""
+    check_anchors(anchors, points)
+    rows = _ordered(points.select("id", doubles("v").alias("v")).dropna().join(anchors.select("id", "x", "y"), "id"), workers, 3, "id")
+
+    def local(own: Projector, adam: _Adam, t: pa.Table) -> float:
+        x, z = _vectors(t.column("v")), np.stack([t.column(c).to_numpy() for c in "xy"], axis=1).astype(float)
+        losses = []
+        for a in range(0, len(x), batch):
+            grads, loss = place_gradients(own, x[a : a + batch], z[a : a + batch])
+            adam.step(grads, rate)
+            losses.append(loss)
+        return float(np.mean(losses))
+
     losses = []
-    src, dst, target = (pos[c].to_numpy() for c in ("src", "dst", "weight"))
-    pool = np.array([at[i] for i in ids])
-    for u in range(updates):
-        pick = np.arange(u * n_pos, (u + 1) * n_pos) % len(src)
-        i = np.concatenate([[at[k] for k in src[pick]], rng.choice(pool, batch - n_pos)])
-        j = np.concatenate([[at[k] for k in dst[pick]], rng.choice(pool, batch - n_pos)])
-        t = np.concatenate([target[pick], np.zeros(batch - n_pos)])
-        both = model.forward(x[np.concatenate([i, j])], keep=True)
-        z1, z2 = both[-1][:batch], both[-1][batch:]
-        d = z1 - z2
-        r2 = (d * d).sum(1) + 1e-12
-        q = np.clip(1 / (1 + model.a * r2**model.b), 1e-4, 1 - 1e-4)
-        losses.append(float(-(t * np.log(q) + (1 - t) * np.log(1 - q)).mean()))
-        slope = -(t / q - (1 - t) / (1 - q)) * (-(q**2) * model.a * model.b * r2 ** (model.b - 1)) / batch
-        grad = np.clip(2 * slope[:, None] * d, -1, 1)
-        gw, gb = model.backward(both, np.concatenate([grad, -grad]))
-        lr = learning_rate(u, updates, peak, max(1, updates // 10))
-        for n, (p, g) in enumerate(zip(model.weights + model.biases, gw + gb)):
-            m[n] = 0.9 * m[n] + 0.1 * g
-            v[n] = 0.999 * v[n] + 0.001 * g * g
-            step = m[n] / (1 - 0.9 ** (u + 1)) / (np.sqrt(v[n] / (1 - 0.999 ** (u + 1))) + 1e-8)
-            p -= lr * (step + (decay * p if n < len(model.weights) else 0))
+    for _ in range(epochs):
+        model, loss = _averaged(rows, model, local, decay)
+        losses.append(loss)
+    return model, losses
+
+
+def fit(points: DataFrame, edges: DataFrame, model: Projector, epochs: int = 5, batch: int = 512, peak: float = 1e-3, terms: Terms = Terms(), anchors: DataFrame | None = None, workers: int = 8, seed: int = 0) -> tuple[Projector, list[float]]:
+    """Fits the projector to a graph ``src, dst, weight``; the model and the mean loss of each epoch.
+
+    Every epoch goes over all edges, in ``workers`` partitions that train copies of the model, which are then averaged:
+    no edge is left out and the driver holds ``workers`` models at most. An edge is a pair whose target is its weight;
+    for each there are ``1 / ratio - 1`` pairs of target 0, of ends of different edges of the batch. Cross entropy of map
+    similarities, and by ``terms`` the correlation of distances and the hold of ``anchors`` (``id, x, y``) at their places.
+    Edges with an end that is no point, or without a weight, are left out; without edges the model comes back as it was.
+    """
+    p = points.select("id", doubles("v").alias("v")).dropna()
+    a, b = p.select(F.col("id").alias("src"), F.col("v").alias("u")), p.select(F.col("id").alias("dst"), "v")
+    pairs = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).dropna().join(a, "src").join(b, "dst")
+    none = F.lit(None).cast("double")
+    rows = pairs.select("src", "dst", "u", "v", "weight", none.alias("x"), none.alias("y"))
+    if anchors is not None and terms.hold:
+        check_anchors(anchors, points)
+        held = p.join(anchors.select("id", "x", "y"), "id")
+        rows = rows.unionByName(held.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("v").alias("u"), "v", none.alias("weight"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    rows = _ordered(rows, workers, seed, "src", "dst")
+    others = max(1, round(1 / terms.ratio) - 1)
+    losses = []
+    for epoch in range(epochs):
+        rate = learning_rate(epoch, epochs, peak, max(1, epochs // 10))
+
+        def local(own: Projector, adam: _Adam, t: pa.Table, epoch: int = epoch, rate: float = rate) -> float:
+            rng = np.random.default_rng([seed, epoch, t.num_rows])
+            u, v, w = _vectors(t.column("u")), _vectors(t.column("v")), t.column("weight").to_numpy().astype(float)
+            x, y = (t.column(c).to_numpy().astype(float) for c in "xy")
+            order, found = rng.permutation(len(w)), []
+            for start in range(0, len(order), batch):
+                some = order[start : start + batch]
+                edge, anchor = some[np.isfinite(w[some])], some[np.isfinite(x[some])]
+                grads, loss = None, 0.0
+                if len(edge):
+                    i, j = np.tile(edge, others), rng.permutation(np.tile(edge, others))
+                    grads, loss = pair_gradients(own, np.concatenate([u[edge], u[i]]), np.concatenate([v[edge], v[j]]), np.concatenate([w[edge], np.zeros(len(i))]), terms)
+                if len(anchor):
+                    held, off = place_gradients(own, u[anchor], np.stack([x[anchor], y[anchor]], axis=1))
+                    held = [terms.hold * g for g in held]
+                    grads, loss = held if grads is None else [g + k for g, k in zip(grads, held)], loss + terms.hold * off
+                adam.step(grads, rate)
+                found.append(loss)
+            return float(np.mean(found))
+
+        model, loss = _averaged(rows, model, local, terms.decay)
+        losses.append(loss)
     return model, losses

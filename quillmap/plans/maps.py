@@ -313,7 +313,7 @@ def prefix_graph(spark: SparkSession, root: str) -> DataFrame:
     return graph.both_inside(_all(spark, root), points(spark, root).count() // 2).select("src", "dst")
 
 
-@query(f"{_HI}, r AS (SELECT src, (src * 7 + dst) % (SELECT count(*) FROM e) AS dst FROM n) SELECT round(avg(list_cosine_similarity(a.v, b.v)), 6) AS edge_cosine, (SELECT round(avg(list_cosine_similarity(a.v, b.v)), 6) FROM r JOIN e a ON a.id = r.src JOIN e b ON b.id = r.dst WHERE r.src <> r.dst) AS other_cosine FROM n JOIN e a ON a.id = n.src JOIN e b ON b.id = n.dst")
+@query(f"{_HI}, r AS (SELECT src, (src * 7 + dst) % (SELECT count(*) FROM e) AS dst FROM n), c AS (SELECT round(avg(list_cosine_similarity(a.v, b.v)), 6) AS edge_cosine, (SELECT round(avg(list_cosine_similarity(a.v, b.v)), 6) FROM r JOIN e a ON a.id = r.src JOIN e b ON b.id = r.dst WHERE r.src <> r.dst) AS other_cosine FROM n JOIN e a ON a.id = n.src JOIN e b ON b.id = n.dst) SELECT *, round(edge_cosine - other_cosine, 6) AS margin, round(edge_cosine - other_cosine, 6) >= 0.15 AS aligned FROM c")
 def endpoint_alignment(spark: SparkSession, root: str) -> DataFrame:
     """Mean cosine over the ends of edges, and over other pairs of the same rows: a graph of other data has no margin."""
     p = points(spark, root).select("id", vec.doubles("v").alias("v"))
@@ -324,7 +324,23 @@ def endpoint_alignment(spark: SparkSession, root: str) -> DataFrame:
         a, b = p.select(F.col("id").alias("src"), F.col("v").alias("a")), p.select(F.col("id").alias("dst"), F.col("v").alias("b"))
         return pairs.join(a, "src").join(b, "dst").agg(F.round(F.avg(vec.cosine(F.col("a"), F.col("b"))), 6).alias(name))
 
-    return mean(e, "edge_cosine").crossJoin(mean(other, "other_cosine"))
+    both = mean(e, "edge_cosine").crossJoin(mean(other, "other_cosine"))
+    margin = F.round(F.col("edge_cosine") - F.col("other_cosine"), 6)
+    return both.select("edge_cosine", "other_cosine", margin.alias("margin"), (margin >= 0.15).alias("aligned"))
+
+
+@query(f"{_HI}, m AS (SELECT count(*) AS m FROM e), h AS (SELECT greatest(max(src), max(dst)) + 1 AS top FROM n) SELECT part, CASE WHEN top < rows_ THEN 'too small' WHEN top = rows_ THEN 'whole' ELSE 'prefix' END AS pairing FROM h, (SELECT 'all' AS part, m AS rows_ FROM m UNION ALL SELECT 'half', m // 2 FROM m UNION ALL SELECT 'more', m + 1 FROM m)")
+def graph_data_pairing(spark: SparkSession, root: str) -> DataFrame:
+    """How the graph fits tables of all rows, of half of them and of one more: whole, by its prefix only, or not at all."""
+    n, e = points(spark, root).count(), stage(_all(spark, root), "edges")
+    return spark.createDataFrame([(name, graph.pairing(e, rows)) for name, rows in (("all", n), ("half", n // 2), ("more", n + 1))], "part string, pairing string")
+
+
+@query(f"{_HI}, o AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS i FROM n UNION ALL SELECT src, dst, row_number() OVER (ORDER BY src, dst) FROM n WHERE src % 50 = 0), b AS (SELECT src, dst, lag(src) OVER (ORDER BY src, dst) AS s, lag(dst) OVER (ORDER BY src, dst) AS d FROM o) SELECT src, dst FROM b WHERE src = s AND dst = d")
+def repeated_edges(spark: SparkSession, root: str) -> DataFrame:
+    """Edges that stand twice in (src, dst) order, of a graph to which the asked rows' edges were added again."""
+    e = _all(spark, root).select("src", "dst")
+    return e.unionByName(asked(e.withColumn("id", F.col("src"))).drop("id")).groupBy("src", "dst").agg(F.count("*").alias("n")).where("n > 1").select("src", "dst")
 
 
 @query(f"{_HI}, u AS (SELECT src, dst FROM n UNION SELECT dst, src FROM n) SELECT src, dst FROM u WHERE src <> dst")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmap.functions import vector as vec
-from quillmap.operators import artefacts, checks, graph, knn, projector, sampling
+from quillmap.operators import artefacts, checks, graph, knn, projector, receipts, sampling
 from quillmap.operators.metrics import as_points as knn_points
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, map_knn, points, query, r6, space_knn
 from quillmap.plans.quality import K_FRAC_OUTSIDE, K_OUTSIDE, _frac
@@ -263,3 +263,27 @@ def label_modularity(spark: SparkSession, root: str) -> DataFrame:
 def near_collisions(spark: SparkSession, root: str) -> DataFrame:
     """Map points that lie on top of another."""
     return map_knn(spark, root, 1, anchors=False).agg(F.sum((F.col("dist") < 0.01).cast("bigint")).alias("close"), F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {E}, {Z}, {knn_sql('h', 'e')}, {knn_sql('l', 'z', 50)}, f AS (SELECT h.src, count(l.dst) FILTER (l.rank <= 50) / 10 AS a, count(l.dst) FILTER (l.rank <= 10) / 10 AS b FROM h LEFT JOIN l ON l.src = h.src AND l.dst = h.dst GROUP BY h.src), g AS (SELECT label, round(avg(a), 6) AS ffr, round(avg(b), 6) AS prior_ffr FROM f JOIN e ON e.id = src GROUP BY label)
+    SELECT label, ffr, CASE WHEN label <> 0 THEN prior_ffr END AS prior_ffr, CASE WHEN label <> 0 THEN round(ffr - prior_ffr, 6) END AS delta FROM g"""
+)
+def prior_panel_comparison(spark: SparkSession, root: str) -> DataFrame:
+    """A panel held against an earlier one, which saw fewer neighbours and lacks a group."""
+    p, lo, hi = points(spark, root), stage(map_knn(spark, root, 50), "lo"), stage(space_knn(spark, root), "hi")
+
+    def panel(near: DataFrame) -> DataFrame:
+        r = knn.recall(near, hi, K).select(F.col("src").alias("id"), "recall")
+        return r.join(p.select("id", "label"), "id").groupBy("label").agg(F.round(F.avg("recall"), 6).alias("ffr"))
+
+    found = receipts.against_prior(panel(lo), panel(lo.where("rank <= 10")).where("label != 0"), "label", "ffr")
+    return found.select("label", "ffr", "prior_ffr", F.round("delta", 6).alias("delta"))
+
+
+@query("SELECT DISTINCT registry_id, e.event_id AS event_id, e.evidence_id AS evidence_id FROM (SELECT registry_id, unnest(events) AS e FROM status_registry) WHERE e.event_id IS NOT NULL AND e.evidence_id IS NOT NULL AND lower(e.status) = 'accepted' AND NOT coalesce(e.diagnostic_only, false)")
+def evidence_resolve(spark: SparkSession, root: str) -> DataFrame:
+    """The events by which evidence is accepted, those for diagnosis only left out: what a reference to evidence may resolve to."""
+    e = load(spark, root, "status_registry").select("registry_id", F.explode("events").alias("e")).where("e.event_id IS NOT NULL AND e.evidence_id IS NOT NULL")
+    fits = (F.lower("e.status") == "accepted") & ~F.coalesce("e.diagnostic_only", F.lit(False))
+    return e.where(fits).select("registry_id", "e.event_id", "e.evidence_id").distinct()

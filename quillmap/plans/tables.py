@@ -587,14 +587,19 @@ def projector_transform(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def projector_fit(spark: SparkSession, root: str) -> DataFrame:
-    """A projector fitted to the fuzzy graph: the loss at its start and end, and the recall of its map."""
+    """A projector trained on PCA anchors, then fitted to the fuzzy graph while some are held: losses, recall and the drift of those kept aside."""
     p = stage(points(spark, root), "points")
     n = stage(space_knn(spark, root, anchors=False), "near")
     e = graph.t_conorm(graph.memberships(n, graph.sigmas(n, K)))
-    model, losses = projector.fit(p, e, projector.Projector.fresh(64, 64, 2), updates=300)
-    z = metrics.as_points(projector.transform(p, model))
-    r = knn.recall(knn.exact_knn(asked(z), z, K), n.where(F.col("src") % ASK == 0), K).agg(F.round(F.avg("recall"), 6).alias("recall"))
-    return r.select("recall", F.lit(round(float(np.mean(losses[:20])), 6)).alias("first_loss"), F.lit(round(float(np.mean(losses[-20:])), 6)).alias("last_loss"))
+    anchors = stage(metrics.pca_map(p, 64, 5.0).select("id", "x", "y"), "anchors")
+    held, aside = projector.split_anchors(anchors.where(F.col("id") % 10 == 0), 0.2)
+    model, _ = projector.pretrain(p, anchors, projector.Projector.fresh(64, 64, 2))
+    model, losses = projector.fit(p, e, model, terms=projector.Terms(hold=0.1), anchors=stage(held, "held"))
+    places = stage(projector.transform(p, model), "places")
+    z = metrics.as_points(places)
+    r = knn.recall(knn.exact_knn(asked(z), z, K), n.where(F.col("src") % ASK == 0), K).agg(F.round(F.avg("recall"), 4).alias("recall"))
+    moved = places.join(aside.withColumnsRenamed({"x": "tx", "y": "ty"}), "id").agg(F.round(F.avg(F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))), 4).alias("drift"))
+    return r.crossJoin(moved).select("recall", "drift", F.lit(round(losses[0], 4)).alias("first_loss"), F.lit(round(losses[-1], 4)).alias("last_loss"))
 
 
 @query()

@@ -93,9 +93,46 @@ def test_projector_learns(spark):
     from quillmap.sources.generators import clustered
 
     p = clustered(spark, 300, 12, 5, 3)
-    n = knn.exact_knn(p, p, 8)
-    _, losses = projector.fit(p, graph.t_conorm(graph.uniform(n, 8)), projector.Projector.fresh(12, 24, 2), updates=150, batch=256)
-    assert np.mean(losses[-20:]) < np.mean(losses[:10])
+    e = graph.t_conorm(graph.uniform(knn.exact_knn(p, p, 8), 8))
+    _, losses = projector.fit(p, e, projector.Projector.fresh(12, 24, 2), epochs=12, batch=128, workers=2)
+    assert len(losses) == 12 and losses[-1] < losses[0] - 0.05
+    anchors = p.selectExpr("id", "v[0] * 3 AS x", "v[1] - v[2] AS y")
+    start, off = projector.pretrain(p, anchors, projector.Projector.fresh(12, 24, 2), epochs=30, batch=32, rate=5e-3, workers=2)
+    assert off[-1] < off[0] / 4
+    held, aside = projector.split_anchors(anchors, 0.25)
+    assert held.count() + aside.count() == 300 and 40 < aside.count() < 110 and held.join(aside, "id").count() == 0
+
+    def drift(model):
+        z = projector.transform(p, model).withColumnsRenamed({"x": "mx", "y": "my"})
+        return z.join(held, "id").selectExpr("avg(hypot(mx - x, my - y))").first()[0]
+
+    free, tied = (projector.fit(p, e, start, epochs=10, batch=128, workers=2, terms=projector.Terms(hold=h), anchors=held)[0] for h in (0.0, 20.0))
+    assert drift(tied) < drift(free)
+    assert projector.fit(p, e.where("false"), start)[1] == [0.0] * 5
+
+
+def test_unsound_anchors_are_refused(spark):
+    p = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, v array<double>")
+    for rows in ([], [(1, 0.0, 0.0), (1, 1.0, 1.0)], [(1, None, 0.0)], [(1, float("nan"), 0.0)], [(9, 0.0, 0.0)], [(None, 0.0, 0.0)]):
+        with pytest.raises(ValueError, match="anchors"):
+            projector.check_anchors(spark.createDataFrame(rows, "id long, x double, y double"), p)
+
+
+def test_gradients_of_pairs():
+    rng = np.random.default_rng(2)
+    m = projector.Projector.fresh(5, 7, 2, seed=3)
+    u, v, t = rng.normal(size=(9, 5)), rng.normal(size=(9, 5)), rng.random(9)
+    terms = projector.Terms(correlation=0.7)
+    grads, _ = projector.pair_gradients(m, u, v, t, terms)
+    for k, p in enumerate(m.weights + m.biases):
+        at = tuple(rng.integers(0, n) for n in p.shape)
+        held, eps = p[at], 1e-6
+        p[at] = held + eps
+        up = projector.pair_gradients(m, u, v, t, terms)[1]
+        p[at] = held - eps
+        down = projector.pair_gradients(m, u, v, t, terms)[1]
+        p[at] = held
+        assert grads[k][at] == pytest.approx((up - down) / (2 * eps), abs=1e-5)
 
 
 def test_learning_rate():
