@@ -48,7 +48,7 @@ OWNERS = 50_000
 _LEFT, _RIGHT, _READER, _SHELF = range(4)
 _TILE = 256
 _NEAR = "side int, id long, neighbor long, similarity double, open double, kth double, vector binary"
-_PLACED = "shelf int, a int, b int, salt int, role int, side int, id long, block int, meetings int, open double, perm binary, vector binary"
+_PLACED = "shelf int, a int, b int, salt int, role int, side int, id long, block int, asked long, meetings int, open double, perm binary, vector binary"
 
 
 @dataclass
@@ -70,8 +70,10 @@ class PermutationIndex:
 
     def __post_init__(self) -> None:
         self.heads = len(self.count)
-        self.starts = np.flatnonzero(np.diff(self.shelf, prepend=-1))
-        self.alone = np.maximum.reduceat(self.block, self.starts) == np.minimum.reduceat(self.block, self.starts)  # shelves of one block
+        self.starts = np.flatnonzero(np.diff(self.block, prepend=-1))  # first files of blocks
+        self.shelf_of = self.shelf[self.starts]
+        place = np.arange(len(self.starts)) - np.flatnonzero(np.diff(self.shelf_of, prepend=-1))[self.shelf_of]
+        self.bit = np.int64(1) << np.minimum(place, 62).astype(np.int64)  # of a block among those of its shelf
         width = self.pivots.shape[1]
         off = np.float32((self.deviations or 0) / np.sqrt(width))
         self.reach = [(m.astype(np.float32), (off * np.sqrt(np.clip(1 - m**2, 0, 1))).astype(np.float32)) for m in (self.core, self.stray)]
@@ -111,22 +113,29 @@ class PermutationIndex:
         return self.envelope[at]
 
     def begins(self, heads: np.ndarray, cosines: np.ndarray, side: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """The shelves each query reads first beside its own block, and the bound of all other files."""
+        """The blocks each query reads first beside its own, and the bound of what other files hold."""
         stray = (cosines[:, 0] < self.separation) | (self.count[heads[:, 0]] <= 2 * self.k)
         own = 1 if side == 0 else 0  # a row of the corpus meets its own block anyway
-        reads = [np.unique(self.shelf[h[own : FIRST if s else 1]]) for h, s in zip(heads, stray)]
+        reads = [np.setdiff1d(self.block[h[own : FIRST if s else 1]], self.block[h[:own]]) for h, s in zip(heads, stray)]
         at = np.where(stray, np.minimum(FIRST, heads.shape[1] - 1), min(1, heads.shape[1] - 1))
         return reads, self.opening(cosines[np.arange(len(cosines)), at])
 
     def asks(self, rows: np.ndarray, kth: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Row numbers and the shelves with files that may hold more similar rows than the k-th found."""
+        """Row numbers and the blocks with files that may hold more similar rows than the k-th found."""
         tile = max(64, (1 << 21) // self.heads)
         for a in range(0, len(rows), tile):
             c = rows[a : a + tile] @ self.pivots[: self.heads].T
             files = (self.likely(c) >= kth[a : a + tile, None].astype(np.float32) - np.float32(1e-6)) if self.deviations is not None else np.broadcast_to(self.count > 0, c.shape)
-            shelves = np.logical_or.reduceat(files, self.starts, axis=1)
-            for i, read in enumerate(shelves):
-                yield a + i, self.shelf[self.starts[read]]
+            for i, read in enumerate(np.logical_or.reduceat(files, self.starts, axis=1)):
+                yield a + i, np.flatnonzero(read)
+
+    def by_shelf(self, blocks: np.ndarray) -> list[tuple[int, int]]:
+        """Shelves of blocks, and which of a shelf's blocks they are, as bits."""
+        out: dict[int, int] = {}
+        for b in blocks.tolist():
+            s = int(self.shelf_of[b])
+            out[s] = out.get(s, 0) | int(self.bit[b])
+        return list(out.items())
 
 
 def _first(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,33 +181,30 @@ def footrule_first(asked: np.ndarray, met: np.ndarray, keep: int) -> np.ndarray:
     return common >= last.astype(np.uint8)[:, None]
 
 
-def search(asked: tuple[np.ndarray, ...], met: tuple[np.ndarray, ...], k: int, keep: int | None, same: bool, blocks: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(asked: tuple[np.ndarray, ...], met: tuple[np.ndarray, ...], k: int, keep: int | None, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``row, met row, cosine``: the k most similar of the first by footrule.
 
-    ``asked``, ``met``: vectors, permutations, ids. ``same``: rows aren't their own neighbours. ``blocks``: of both sides;
-    those of equal blocks have met before.
+    ``asked``, ``met``: vectors, permutations, ids. ``same``: rows aren't their own neighbours.
     """
     (q, q_order, q_ids), (c, c_order, c_ids) = asked, met
     if not len(q) or not len(c):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    ranked = keep is not None and keep < len(c)
-
-    def choose(a: int, b: int) -> np.ndarray | None:
-        if not ranked and blocks is None:
-            return None
-        mask = footrule_first(q_order[a:b], c_order, keep) if ranked else np.ones((b - a, len(c)), bool)
-        if blocks is not None:
-            mask &= blocks[0][a:b, None] != blocks[1][None, :]
-        return mask
-
+    if keep is None or keep >= len(c):
+        return top_cosines(q, q_ids if same else None, c, c_ids, k)
     # Rows of the same files beside each other have many pivots in common, which makes ranking them cheap.
-    order = np.lexsort((q_ids, q_order[:, 0])) if ranked else np.arange(len(q))
+    order = np.lexsort((q_ids, q_order[:, 0]))
     q, q_order, q_ids = q[order], q_order[order], q_ids[order]
-    blocks = None if blocks is None else (blocks[0][order], blocks[1])
-    row, best, sim = top_cosines(q, q_ids if same else None, c, c_ids, k, choose=choose if ranked or blocks is not None else None, tile=_TILE if ranked else 1024)
+    row, best, sim = top_cosines(q, q_ids if same else None, c, c_ids, k, choose=lambda a, b: footrule_first(q_order[a:b], c_order, keep), tile=_TILE)
     return order[row], best, sim
 
 
+def _first_of(row: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the k first by similarity, then id, of each row."""
+    order = np.lexsort((ids, -sim, row))
+    starts = np.flatnonzero(np.diff(row[order], prepend=-1))
+    return order[np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order)))) < k]
+
+
 def sample_units(vectors: DataFrame, width: int, size: int, n: int) -> np.ndarray:
     """About ``size`` usable vectors of ``n`` in a random order that depends on their ids only."""
     share = min(1.0, size / max(n, 1))
@@ -275,7 +281,7 @@ def fit(vectors: DataFrame, width: int, k: int, sample: int = SAMPLE, separation
     index = PermutationIndex(pivots, total, mean[0], mean[1], blocks, shelves[blocks], parts, np.ones(len(parts), np.int64), deviations, keep, k, separation)
     # How many rows read each shelf is estimated from the sample, only to split the work evenly.
     near, cosines, _ = index.orders(rows)
-    load = np.bincount(np.concatenate(index.begins(near, cosines, 0)[0]), minlength=len(parts)) + np.bincount(index.shelf[near[:, 0]], minlength=len(parts)) * readers
+    load = np.bincount(index.shelf_of[np.concatenate(index.begins(near, cosines, 0)[0]).astype(np.int64)], minlength=len(parts)) + np.bincount(index.shelf[near[:, 0]], minlength=len(parts)) * readers
     index.salts = np.maximum(1, np.ceil(load * (total.sum() / len(rows)) / READERS)).astype(np.int64)
     return index
 
@@ -294,20 +300,21 @@ def _place(vectors: DataFrame, index: PermutationIndex, width: int, side: int, b
             heads, cosines, orders = ix.orders(units(raw))
             block = ix.block[heads[:, 0]]
             part, draw = priorities(ids, 1), priorities(ids, 2)
-            reads, opening = ix.begins(heads, cosines, side) if begin else ([()] * len(ids), np.zeros(len(ids)))
-            rows: list[tuple[int, int, int, int, int, int]] = []
+            reads, opening = ix.begins(heads, cosines, side) if begin else ([block[:0]] * len(ids), np.zeros(len(ids)))
+            rows: list[tuple[int, int, int, int, int, int, int]] = []
             meetings = np.zeros(len(ids), np.int32)
             for n, home in enumerate(ix.shelf[heads[:, 0]].tolist()):
                 before = len(rows)
                 if side == 0:
+                    own = int(ix.bit[block[n]])
                     parts = int(ix.parts[home])
                     mine = int(part[n] % parts)
                     if begin:
-                        rows += [(n, home, min(mine, other), max(mine, other), 0, _LEFT if mine <= other else _RIGHT) for other in range(parts)]
-                    rows += [(n, home, mine, mine, salt, _SHELF) for salt in range(int(begin), int(ix.salts[home]))]
-                rows += [(n, int(s), c, c, int(draw[n] % ix.salts[s]), _READER) for s in reads[n] for c in range(int(ix.parts[s]))]
+                        rows += [(n, home, min(mine, other), max(mine, other), 0, _LEFT if mine <= other else _RIGHT, own) for other in range(parts)]
+                    rows += [(n, home, mine, mine, salt, _SHELF, own) for salt in range(int(begin), int(ix.salts[home]))]
+                rows += [(n, s, c, c, int(draw[n] % ix.salts[s]), _READER, bits) for s, bits in ix.by_shelf(reads[n]) for c in range(int(ix.parts[s]))]
                 meetings[n] = sum(r[5] != _SHELF for r in rows[before:])
-            yield from _placed(np.array(rows, np.int64).reshape(-1, 6), np.full(len(ids), side), ids, block, meetings, opening, orders, raw, ix)
+            yield from _placed(np.array(rows, np.int64).reshape(-1, 7), np.full(len(ids), side), ids, block, meetings, opening, orders, raw, ix)
 
     return vectors.mapInArrow(place, _PLACED)
 
@@ -318,12 +325,12 @@ def _placed(table: np.ndarray, side: np.ndarray, ids: np.ndarray, block: np.ndar
         some = table[a : a + 50_000]
         n = some[:, 0]
         ints = [pa.array(some[:, c].astype(np.int32)) for c in range(1, 6)]
-        own = [pa.array(side[n].astype(np.int32)), pa.array(ids[n]), pa.array(block[n].astype(np.int32)), pa.array(meetings[n].astype(np.int32)), pa.array(opening[n].astype(np.float64))]
-        yield pa.record_batch([*ints, *own, _pack_orders(orders[n]), pack(raw[n])], names=["shelf", "a", "b", "salt", "role", "side", "id", "block", "meetings", "open", "perm", "vector"])
+        own = [pa.array(side[n].astype(np.int32)), pa.array(ids[n]), pa.array(block[n].astype(np.int32)), pa.array(some[:, 6]), pa.array(meetings[n].astype(np.int32)), pa.array(opening[n].astype(np.float64))]
+        yield pa.record_batch([*ints, *own, _pack_orders(orders[n]), pack(raw[n])], names=["shelf", "a", "b", "salt", "role", "side", "id", "block", "asked", "meetings", "open", "perm", "vector"])
 
 
 def _read_on(unsettled: DataFrame, index: PermutationIndex, width: int) -> DataFrame:
-    """The rows of ``side, id, kth, vector`` as readers of all shelves they ask for and haven't read."""
+    """The rows of ``side, id, kth, vector`` as readers of all blocks they ask for and haven't met."""
     shared = unsettled.sparkSession.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,13 +345,11 @@ def _read_on(unsettled: DataFrame, index: PermutationIndex, width: int) -> DataF
             block, draw = ix.block[heads[:, 0]], priorities(ids, 2)
             done = [ix.begins(heads[n : n + 1], cosines[n : n + 1], int(s))[0][0] for n, s in enumerate(side)]
             rows = []
-            for n, shelves in ix.asks(u, kth):
-                for s in np.setdiff1d(shelves, done[n]).tolist():
-                    parts = int(ix.parts[s])
-                    if ix.alone[s] and side[n] == 0 and ix.shelf[heads[n, 0]] == s:  # its own block, met whole
-                        continue
-                    rows += [(n, s, c, c, int(draw[n] % ix.salts[s]), _READER) for c in range(parts)]
-            yield from _placed(np.array(rows, np.int64).reshape(-1, 6), side, ids, block, np.zeros(len(ids)), np.zeros(len(ids)), orders, raw, ix)
+            for n, blocks in ix.asks(u, kth):
+                met = np.append(done[n], block[n]) if side[n] == 0 else done[n]
+                for s, bits in ix.by_shelf(np.setdiff1d(blocks, met)):
+                    rows += [(n, s, c, c, int(draw[n] % ix.salts[s]), _READER, bits) for c in range(int(ix.parts[s]))]
+            yield from _placed(np.array(rows, np.int64).reshape(-1, 7), side, ids, block, np.zeros(len(ids)), np.zeros(len(ids)), orders, raw, ix)
 
     return unsettled.mapInArrow(place, _PLACED)
 
@@ -358,27 +363,35 @@ def _rerank(placed: DataFrame, width: int, k: int, keep: int | None, narrow: boo
     """
 
     def meet(table: pa.Table) -> pa.Table:
-        role, ids, sides, block, meetings, opening = (table.column(c).to_numpy() for c in ("role", "id", "side", "block", "meetings", "open"))
+        role, ids, sides, block, bits, meetings, opening = (table.column(c).to_numpy() for c in ("role", "id", "side", "block", "asked", "meetings", "open"))
         vectors = unpack(table.column("vector"), width)
         bare = table.column("perm").combine_chunks()
         orders = np.frombuffer(_bytes(bare), np.int16 if narrow else np.int32).reshape(len(bare), -1)
         rows = lambda at: (vectors[at], orders[at], ids[at])
         left, right, reader, shelf = (np.flatnonzero(role == r) for r in (_LEFT, _RIGHT, _READER, _SHELF))
-        jobs: list[tuple[np.ndarray, np.ndarray, bool, bool]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # queries, and rows of the table and cosines of what they meet
         if table.column("a")[0] != table.column("b")[0]:
-            jobs += [(left, right, False, False), (right, left, False, False)]
+            jobs = [(left, right, False), (right, left, False)]
         else:
             order = left[np.argsort(block[left], kind="stable")]
-            jobs += [(x, x, True, False) for x in np.split(order, np.flatnonzero(np.diff(block[order])) + 1)]
-        held = np.concatenate([left, shelf])
-        own = sides[reader] == 0
-        jobs += [(reader[own], held, False, True), (reader[~own], held, False, False)]
+            jobs = [(x, x, True) for x in np.split(order, np.flatnonzero(np.diff(block[order])) + 1)]
+        for q, c, same in jobs:
+            row, best, sim = search(rows(q), rows(c), k, keep, same)
+            found.append((q, row, c[best], sim))
+        held, several = np.concatenate([left, shelf]), []
+        for bit in np.unique(bits[held]).tolist():
+            at, c = np.flatnonzero(bits[reader] & bit), held[bits[held] == bit]
+            row, best, sim = search(rows(reader[at]), rows(c), k, keep, False)
+            several.append((at[row], c[best], sim))
+        if len(reader) and several:
+            row, best, sim = (np.concatenate(x) for x in zip(*several))
+            first = _first_of(row, ids[best], sim, k)
+            found.append((reader, row[first], best[first], sim[first]))
         out, open_rows = [], []
-        for q, c, same, apart in jobs:
+        for q, row, best, sim in found:
             if not len(q):
                 continue
-            row, best, sim = search(rows(q), rows(c), k, keep, same, (block[q], block[c]) if apart else None)
-            out.append((sides[q[row]], ids[q[row]], ids[c[best]], sim))
+            out.append((sides[q[row]], ids[q[row]], ids[best], sim))
             if meetings[q[0]]:
                 full, least = np.bincount(row, minlength=len(q)) >= k, np.full(len(q), np.inf)
                 np.minimum.at(least, row, sim)

@@ -137,8 +137,9 @@ def test_bounds_of_files():
     rows = units(np.random.default_rng(9).normal(size=(50, 6)))
     likely = ix.likely(rows @ pivots.T)
     assert (likely[:, 3] == -2).all() and (ix.opening((rows @ pivots.T).max(axis=1)) >= likely.max(axis=1) - 1e-5).all()
-    for n, shelves in ix.asks(rows, np.full(50, 0.8)):
-        assert set(shelves) == {f // 3 for f in range(12) if likely[n, f] >= 0.8 - 1e-6}
+    for n, blocks in ix.asks(rows, np.full(50, 0.8)):
+        assert set(blocks) == {f for f in range(12) if likely[n, f] >= 0.8 - 1e-6}
+    assert ix.by_shelf(np.array([0, 2, 4, 11])) == [(0, 5), (1, 2), (3, 4)]
 
 
 def test_index_is_fitted_on_what_is_posted(spark, monkeypatch):
