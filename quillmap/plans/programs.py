@@ -14,7 +14,7 @@ from quillmap.operators.metrics import as_points as knn_points
 from quillmap.plans.base import ASK, E, K, Z, asked, flat_map, knn_sql, map_knn, points, query, r6, space_knn
 from quillmap.plans.quality import K_FRAC_OUTSIDE, K_OUTSIDE, _frac
 from quillmap.plans.tables import _h, _RUNS
-from quillmap.session import load, shared_dir, stage
+from quillmap.session import delete_at_exit, load, shared_dir, stage
 from quillmap.sources.readers import read_table
 from quillmap.streaming.transform import stream_files, stream_transform
 
@@ -116,12 +116,14 @@ def out_of_domain_panel(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {E}, {knn_sql('n', 'e')} SELECT src, dst, rank::INTEGER AS rank FROM n")
 def cached_truth(spark: SparkSession, root: str) -> DataFrame:
-    """The map-independent neighbours, written under a key of their data and settings and read back at the next use."""
+    """The map-independent neighbours, written under a key of their data and settings and read back at the next use in this application."""
     p = points(spark, root)
     key = artefacts.table_key(p.select("id", "v"), {"k": K, "metric": "l2", "ask": ASK})
     build = lambda: space_knn(spark, root)
-    first = artefacts.cached(spark, f"{shared_dir(spark)}/quillmap-truth", key, build)
-    again = artefacts.cached(spark, f"{shared_dir(spark)}/quillmap-truth", key, build)
+    folder = f"{shared_dir(spark)}/quillmap-truth-{spark.sparkContext.applicationId}"
+    delete_at_exit(spark, folder)
+    first = artefacts.cached(spark, folder, key, build)
+    again = artefacts.cached(spark, folder, key, build)
     checks.require(first.select("src", "dst").exceptAll(again.select("src", "dst")), "the cache differs")
     return again.select("src", "dst", "rank")
 

@@ -36,10 +36,12 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where that is unset (tests, local mode)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or in local mode an own one where that is unset."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="quillmap-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], True)
@@ -67,6 +69,10 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_delete, spark, path)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     for path in df.inputFiles()[:1]:
